@@ -17,22 +17,27 @@ CACHE_SCHEMA = "tokenizer string, digest binary, n_tokens long"
 
 
 def _pieces(path: str):
-    """A sentencepiece model's counts. Where no piece reaches over a space and normalising a text only marks its spaces (and the mark itself is not in it),
+    """A sentencepiece model's counts. Where normalising only marks the spaces of a text and no piece reaches over one,
     its parts between single spaces merge apart from each other, so each distinct part is encoded once and remembered."""
     import sentencepiece
+    from sentencepiece.sentencepiece_model_pb2 import ModelProto
 
     model, mark = sentencepiece.SentencePieceProcessor(model_file=path), "\u2581"
-    apart = all(mark not in model.id_to_piece(i).lstrip(mark) for i in range(model.get_piece_size()))
+    (spec := ModelProto()).ParseFromString(model.serialized_model_proto())
+    plain = not spec.normalizer_spec.precompiled_charsmap and spec.normalizer_spec.add_dummy_prefix and spec.normalizer_spec.escape_whitespaces and not spec.normalizer_spec.remove_extra_whitespaces
+    apart = plain and all(mark not in piece.piece.lstrip(mark) for piece in spec.pieces)
     memo: dict[str, int] = {}
 
     def count(text: str) -> int:
         parts = text.split(" ")
-        if not apart or mark in text or "" in parts or model.normalize(text) != mark + text.replace(" ", mark):
+        if not apart or mark in text or "" in parts:
             return len(model.encode(text))
-        if new := [x for x in dict.fromkeys(parts) if x not in memo]:
+        try:
+            return sum(map(memo.__getitem__, parts))
+        except KeyError:
             if len(memo) > MEMO:
                 memo.clear()
-                new = list(dict.fromkeys(parts))
+            new = [x for x in dict.fromkeys(parts) if x not in memo]
             memo.update(zip(new, map(len, model.encode(new, num_threads=1)), strict=True))
         return sum(map(memo.__getitem__, parts))
 
