@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import documents, workspace
 from .media_tiff import tiff_digests, tiff_from_text
+from .quality_rules import quality_verdicts
+from .secret_scan import KINDS, find_secrets, span_text
 from .token_counts import token_counts
 
 
@@ -21,9 +24,20 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), workspace(spark, "token-cache"))
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_secrets(documents(spark, sf_dir)).withColumn("base", F.filter("secrets", lambda x: x["kind"] < KINDS.index("random")))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", *(count(k) for k in KINDS[:3]), F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_digests(tiff_from_text(documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_counts, op10_media_tiff)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_counts, op7_secret_scan, op9_quality_rules, op10_media_tiff)}
 ORACLES: dict[str, str] = {}
