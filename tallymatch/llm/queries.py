@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, workspace
+from .common import documents, remainder, workspace
+from .lm_suffix_tree import lm_scores
 from .media_tiff import tiff_digests, tiff_from_text
+from .mixing import mix
 from .quality_rules import quality_verdicts
 from .secret_scan import KINDS, find_secrets, span_text
 from .token_counts import token_counts
@@ -20,10 +22,18 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op4_lm_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(documents(spark, sf_dir), remainder(F.col("doc_id"), 7) == 2)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), workspace(spark, "token-cache"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(documents(spark, sf_dir)).select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(documents(spark, sf_dir)).withColumn("base", F.filter("secrets", lambda x: x["kind"] < KINDS.index("random")))
     count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
@@ -39,5 +49,5 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_digests(tiff_from_text(documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op5_token_counts, op7_secret_scan, op9_quality_rules, op10_media_tiff)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op4_lm_suffix_tree, op5_token_counts, op6_mixing, op7_secret_scan, op9_quality_rules, op10_media_tiff)}
 ORACLES: dict[str, str] = {}
