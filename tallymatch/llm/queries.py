@@ -11,6 +11,7 @@ from .common import documents, remainder, workspace
 from .lm_suffix_tree import lm_scores
 from .media_tiff import tiff_digests, tiff_from_text
 from .mixing import mix
+from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .quality_rules import quality_verdicts
 from .secret_scan import KINDS, find_secrets, span_text
@@ -46,6 +47,10 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *(count(k) for k in KINDS[:3]), F.sha2(span_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), span_text(F.col("secrets")).alias("spans"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(documents(spark, sf_dir))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return verdicts.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -55,5 +60,5 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_digests(tiff_from_text(documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_packing, op4_lm_suffix_tree, op5_token_counts, op6_mixing, op7_secret_scan, op9_quality_rules, op10_media_tiff)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_packing, op4_lm_suffix_tree, op5_token_counts, op6_mixing, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_media_tiff)}
 ORACLES: dict[str, str] = {}
