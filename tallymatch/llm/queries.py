@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, remainder, workspace
+from .language_id import fit, identify
 from .lm_suffix_tree import lm_scores
 from .media_tiff import tiff_digests, tiff_from_text
 from .mixing import mix
@@ -24,6 +25,12 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = remainder(F.col("doc_id"), 3) == 1
+    return identify(docs, fit(docs.where(~held_out)), "text", "doc_id", held_out.alias("held_out"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -60,5 +67,5 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_digests(tiff_from_text(documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_packing, op4_lm_suffix_tree, op5_token_counts, op6_mixing, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_media_tiff)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_packing, op4_lm_suffix_tree, op5_token_counts, op6_mixing, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_media_tiff)}
 ORACLES: dict[str, str] = {}
