@@ -16,6 +16,7 @@ from .ngram_join import jaccard_components
 from .packing import pack_documents
 from .quality_rules import quality_verdicts
 from .secret_scan import KINDS, find_secrets, span_text
+from .substring_dedup import repeated_passages
 from .token_counts import token_counts
 
 
@@ -31,6 +32,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fit(docs.where(~held_out)), "text", "doc_id", held_out.alias("held_out"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = pack_documents(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -67,5 +72,5 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_digests(tiff_from_text(documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op3_packing, op4_lm_suffix_tree, op5_token_counts, op6_mixing, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_media_tiff)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_packing, op4_lm_suffix_tree, op5_token_counts, op6_mixing, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_media_tiff)}
 ORACLES: dict[str, str] = {}
