@@ -37,7 +37,7 @@ def corpus_ctes(dialect: str) -> dict[str, str]:
     ceil_bps = lambda x, bps: div(f"({x} * {bps} + 9999)", "10000")
     return {
         "items": f"""
-            SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20))) AS item,
+            SELECT concat(CAST(l_orderkey AS VARCHAR(20)), '-', CAST(l_linenumber AS VARCHAR(20)), '-', CAST(l_partkey AS VARCHAR(20)), '-', CAST(l_suppkey AS VARCHAR(20)), '-', {ymd("l_shipdate")}) AS item,
                    l_orderkey AS order_no, l_suppkey AS merchant_no, CAST(l_shipdate AS DATE) AS day, year(l_shipdate) * 12 + month(l_shipdate) AS month_no,
                    CAST(round(l_extendedprice * 100) AS BIGINT) AS amount_minor, l_returnflag AS flag, (l_orderkey * 31 + l_partkey * 17 + l_linenumber * 7 + l_suppkey * 3) % 100 AS no
             FROM lineitem""",
