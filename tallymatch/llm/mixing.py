@@ -84,10 +84,13 @@ def mixed_texts(df: DataFrame, places: DataFrame, id_col: str, text_col: str = "
     places: mix(df) with the same id_col, which must tell rows apart. Nothing is returned for a row that gives no words.
     """
     own = places.select(F.col(id_col).alias("_id"), "size", "at", "repeats", "extra", "n_blocks", "first", "taken").where(F.col("taken") > 0)
-    out = df.join(own, df[id_col] == own["_id"]).withColumn("_words", F.when(F.col("taken") > F.col("repeats") * F.col("size"), F.regexp_extract_all(text_col, F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))))
+    rows = df.select(F.col(id_col).alias("_id"), F.struct(*(F.col(c) for c in df.columns)).alias("_row"))
+    text = F.col("_row")[text_col]
+    out = rows.join(own, "_id").withColumn("_words", F.when(F.col("taken") > F.col("repeats") * F.col("size"), F.regexp_extract_all(text, F.lit(f"[^{SPACE}]+[{SPACE}]*"), F.lit(0))))
     blocks = F.filter(F.sequence(F.floor(F.col("at") / block_words), F.floor((F.col("at") + F.col("size") - 1) / block_words)), lambda b: is_extra(b) > 0)
     begin = lambda b: F.greatest(b * block_words - F.col("at"), F.lit(0)).cast("int")
     end = lambda b: F.least((b + 1) * block_words - F.col("at"), F.col("size")).cast("int")
     part = F.array_join(F.flatten(F.transform(blocks, lambda b: F.slice("_words", begin(b) + 1, end(b) - begin(b)))), "")
-    texts = F.concat(F.array_repeat(F.col(text_col), F.col("repeats").cast("int")), F.when(F.col("_words").isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")))
-    return out.withColumn(text_col, F.explode(texts)).select(*df.columns)
+    texts = F.concat(F.array_repeat(text, F.col("repeats").cast("int")), F.when(F.col("_words").isNotNull(), F.array(part)).otherwise(F.array().cast("array<string>")))
+    made = out.select("_row", F.explode(texts).alias("_text"))
+    return made.select(*(F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in df.columns))
