@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 #: The usual constants of BM25.
 K1, B = 1.2, 0.75
 #: Words that a worker remembers the ids of, before it starts anew.
-MEMO = 1_000_000
+MEMO = 1_500_000
+#: ASCII marks that may follow letters; an apostrophe may belong to them, and a bracket begin a special token.
+MARKS = b".,;:!?|*%$#&)]}\"+=/-"
 
 PIECES = "doc {}, start long, length long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -43,6 +45,28 @@ def _encoder(path: str) -> Callable[[bytes], bytes]:
     if not (drops_space and plain and special):
         return lambda text: as_bytes(model.encode(text.decode(), add_special_tokens=False))
     memo: dict[bytes, bytes] = {}
+    suffix = (spec["model"].get("end_of_word_suffix") or "") if parts[-1].get("type") == "ByteLevel" else ""
+    ends = np.zeros(model.get_vocab_size(), bool)
+    if suffix:
+        ends[[i for t, i in model.get_vocab().items() if t.endswith(suffix)]] = True
+
+    def learn(new: list[bytes]) -> None:
+        """New words' ids. Runs of letters end in one id with the end mark each, so many go through the library at once;
+        a run of marks after letters has ids of its own, and case does not count."""
+        parted = {w: (low, stem) for w in new if suffix and (stem := (low := w.lower()).rstrip(MARKS)).decode().lower().isalpha()}
+        stems = [x for x in dict.fromkeys(stem for _, stem in parted.values()) if x not in memo]
+        ids = np.array(model.encode(" ".join(x.decode() for x in stems), add_special_tokens=False).ids, "<u4")
+        after = np.flatnonzero(ends[ids]) + 1
+        if len(after) == len(stems):
+            found = ids.tobytes()
+            at = [0, *(after * 4).tolist()]
+            memo.update(zip(stems, (found[i:j] for i, j in zip(at, at[1:], strict=False)), strict=True))
+        tails = dict.fromkeys(low[len(stem) :] for low, stem in parted.values() if stem in memo and low != stem)
+        alone = [w for w in new if w not in parted or parted[w][1] not in memo] + [t for t in tails if t not in memo]
+        memo.update(zip(alone, map(as_bytes, model.encode_batch_fast([w.decode() for w in alone], add_special_tokens=False)), strict=True))
+        for w, (low, stem) in parted.items():
+            if w not in memo:
+                memo[w] = memo[stem] + (memo[low[len(stem) :]] if low != stem else b"")
 
     def encode(text: bytes) -> bytes:
         words = text.split()
@@ -51,8 +75,7 @@ def _encoder(path: str) -> Callable[[bytes], bytes]:
         except KeyError:
             if len(memo) > MEMO:
                 memo.clear()
-            new = [w for w in dict.fromkeys(words) if w not in memo]
-            memo.update(zip(new, map(as_bytes, model.encode_batch_fast([w.decode() for w in new], add_special_tokens=False)), strict=True))
+            learn([w for w in dict.fromkeys(words) if w not in memo])
         return b"".join(map(memo.__getitem__, words))
 
     return encode
