@@ -13,6 +13,7 @@ from .lm_suffix_tree import lm_scores
 from .media_tiff import tiff_digests, tiff_from_text
 from .mixing import mix
 from .ngram_join import jaccard_components
+from .oracles import ORACLES as ORACLES
 from .packing import pack_documents
 from .quality_rules import quality_verdicts
 from .secret_scan import KINDS, find_secrets, span_text
@@ -73,4 +74,3 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_packing, op4_lm_suffix_tree, op5_token_counts, op6_mixing, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_media_tiff)}
-ORACLES: dict[str, str] = {}
