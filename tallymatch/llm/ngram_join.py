@@ -22,8 +22,8 @@ COUNTERS, BLOCK = 1 << 22, 1 << 14
 MEMO = 500_000
 #: Shared prefix tokens that may be asked for, and what a longer prefix costs against a candidate.
 MOST_MATCHES, TOKEN_COST = 4, 0.02
-#: Estimated documents with a token from which its run is dealt to several tasks.
-HOT = 1 << 13
+#: Estimated distinct texts with a token for each task that its run is dealt to; the salt of a run that is not dealt out.
+HOT, ALONE = 1 << 13, -1
 #: In a run longer than LONG, each member is also paired with so many before it.
 LONG, BEFORE = 16, 12
 
@@ -179,9 +179,33 @@ def prefixes(texts: DataFrame, counts: np.ndarray, n: int, percent: int) -> Data
     return texts.mapInArrow(run, "sig binary, matches int, tokens binary")
 
 
-def tokens_of(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
-    """(token, salt, node, size, matches) of all prefixes; a token that very many documents have gets several salts."""
-    shared = nodes.sparkSession.sparkContext.broadcast(counts)
+def crowds(lists: DataFrame, counts: np.ndarray) -> np.ndarray:
+    """Counters of what distinct texts' lists of hashes hold, where the counters of all texts could call for several salts."""
+    if counts.max() < 2 * HOT:
+        return np.zeros(COUNTERS, np.uint32)
+    shared = lists.sparkSession.sparkContext.broadcast(counts >= 2 * HOT)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = Counters()
+        for batch in batches:
+            for x in batch.column(0):
+                hashes = np.frombuffer(x.as_py(), "<u8")
+                counters.add(hashes[shared.value[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)]])
+        blocks = list(counters.blocks())
+        yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in blocks], pa.int32()), pa.array([c for _, c in blocks], pa.binary())], names=["block", "counts"])
+
+    return _summed(lists.mapInArrow(run, "block int, counts binary"))
+
+
+def salts_of(hashes: np.ndarray, nodes: np.ndarray, crowded: np.ndarray) -> np.ndarray:
+    """A salt from 0 by node for each hash that very many distinct texts have, and ALONE for all others."""
+    parts = crowded[(hashes & np.uint64(COUNTERS - 1)).astype(np.int64)] // HOT
+    return np.where(parts > 1, nodes % np.maximum(parts, 1), ALONE).astype(np.int32)
+
+
+def tokens_of(nodes: DataFrame, crowded: np.ndarray) -> DataFrame:
+    """(token, salt, node, packed size and matches) of all prefixes; a token that very many sets have gets several salts."""
+    shared = nodes.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,9 +215,8 @@ def tokens_of(nodes: DataFrame, counts: np.ndarray) -> DataFrame:
                 continue
             tokens = np.concatenate(lists)
             nodes = np.repeat(batch.column(0).to_numpy(), lengths)
-            parts = np.maximum(1, shared.value[(tokens & np.uint64(COUNTERS - 1)).astype(np.int64)] // HOT)
             sizes, matches = (np.repeat(batch.column(i).to_numpy(), lengths) for i in (1, 2))
-            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array((nodes % parts).astype(np.int32)), pa.array(nodes), pa.array((sizes << 8) | matches)], names=["token", "salt", "node", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(salts_of(tokens, nodes, shared.value)), pa.array(nodes), pa.array((sizes << 8) | matches)], names=["token", "salt", "node", "packed"])
 
     return nodes.select("node", "size", F.col("matches").cast("long").alias("matches"), "tokens").mapInArrow(run, "token long, salt int, node long, packed long")
 
@@ -205,7 +228,8 @@ def runs(tokens: DataFrame, percent: int) -> DataFrame:
     Along a run by size, the first member is the centre of those after it up to the first too large for it, which is the
     next centre; each member comes once with its centre as other (member true). Past the LONGth of a run, members come
     with the BEFORE ones before them too, as in a large group of near copies many don't reach the similarity to the centre.
-    Rows stream through in sorted order; nothing holds a run whole.
+    Rows stream through in sorted order; nothing holds a run whole. A token with salts has one such run per salt, of one
+    member or more; the first members of these runs are then met with each other along a run of their own.
     """
 
     def stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,6 +238,8 @@ def runs(tokens: DataFrame, percent: int) -> DataFrame:
             out = []
             for token, salt, packed, node in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if key != (token, salt):
+                    if waiting and key[1] != ALONE:  # alone under its salt, not with its token
+                        out.append(waiting)
                     key, centre, waiting, place = (token, salt), (node, packed), (token, node, packed, node, packed, 1), 1
                     before.clear()
                 else:
@@ -228,11 +254,17 @@ def runs(tokens: DataFrame, percent: int) -> DataFrame:
                         out += [(token, node, packed, *x, 0) for x in before if x[0] != centre[0] and 100 * (x[1] >> 8) >= percent * (packed >> 8)]
                 before.append((node, packed))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["token", "node", "packed", "other", "of_other", "member"])
+                yield batch_of(out)
+        if waiting and key[1] != ALONE:
+            yield batch_of([waiting])
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["token", "node", "packed", "other", "of_other", "member"])
 
-    dealt = tokens.repartition("token", "salt").sortWithinPartitions("token", "salt", "packed", "node").select("token", "salt", "packed", "node")
     size, matches = lambda c: F.shiftright(c, 8), lambda c: F.col(c).bitwiseAND(255)
-    found = dealt.mapInArrow(stream, "token long, node long, packed long, other long, of_other long, member long")
+    deal = lambda rows: rows.repartition("token", "salt").sortWithinPartitions("token", "salt", "packed", "node").select("token", "salt", "packed", "node").mapInArrow(stream, "token long, node long, packed long, other long, of_other long, member long")
+    firsts = tokens.where(F.col("salt") != ALONE).groupBy("token", "salt").agg(F.min(F.struct("packed", "node")).alias("f")).select("token", F.lit(ALONE).alias("salt"), "f.packed", "f.node")
+    found = deal(tokens).unionAll(deal(firsts).withColumn("member", F.lit(0).cast("long")))
     return found.select("token", "node", size("packed").alias("size"), matches("packed").alias("matches"), "other", size("of_other").alias("other_size"), matches("of_other").alias("other_matches"), (F.col("member") > 0).alias("member"))
 
 
@@ -318,7 +350,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sized = members.where("size > 0").groupBy("sig").agg(F.min("id").alias("least_id"), F.first("size").alias("size"))
     distinct = prefixes(texts, counts, n, percent).groupBy("sig").agg(F.first("matches").alias("matches"), F.first("tokens").alias("tokens"))
     nodes = kept(distinct.join(sized, "sig").withColumn("node", F.monotonically_increasing_id()), "nodes")
-    met = kept(runs(tokens_of(nodes, counts), percent), "runs")
+    met = kept(runs(tokens_of(nodes, crowds(nodes.select("tokens"), counts)), percent), "runs")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = kept(pairs, "pairs")

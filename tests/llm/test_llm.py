@@ -322,3 +322,29 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert ids("ngram_join") == {r.doc_id for r in ngram_join.jaccard_components(last["language_id"]).where("doc_id = component_id").collect()}
     assert ids("secret_scan") == ids("ngram_join") and not last["secret_scan"].where("text like '%hunter2%'").count()
     assert ids("mixing") <= ids("secret_scan") and ids("packing") == ids("mixing")
+
+
+@pytest.mark.parametrize("hot", [1, 2])
+def test_salts_lose_no_text(spark, monkeypatch, hot):
+    """Tokens and seeds dealt to a salt for each text or two, over groups of near copies, exact copies and shared passages."""
+    rng = random.Random(hot)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    made = []
+    for size in (2, 2, 2, 3, 5):
+        base = [word() for _ in range(80)]
+        for k in range(size):
+            made += [" ".join(base[: 10 + 12 * k] + [word()] + base[11 + 12 * k :])] * (1 + k % 3)
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3).cache()
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in map(str.split, made)]
+    expected = list(range(len(made)))
+    for i, a in enumerate(sets):  # groups share no word, and within one all reach the similarity
+        expected[i] = min(j for j, b in enumerate(sets) if 100 * len(a & b) >= 75 * len(a | b))
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    assert {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df).collect()} == dict(enumerate(expected))
+    shared = " ".join(f"p{i}" for i in range(60))
+    found = substring_dedup.repeated_passages(spark.createDataFrame([(i, " ".join(word() for _ in range(30 + i)) + f" {shared} {word()}") for i in range(9)], "doc_id long, text string").repartition(3)).collect()
+    pairs = {frozenset((r.doc_id, r.other_id)) for r in found}
+    reached = {0}
+    for _ in range(9):
+        reached |= {i for p in pairs if p & reached for i in p}
+    assert reached == set(range(9))
