@@ -348,3 +348,24 @@ def test_salts_lose_no_text(spark, monkeypatch, hot):
     for _ in range(9):
         reached |= {i for p in pairs if p & reached for i in p}
     assert reached == set(range(9))
+
+
+def test_chain_with_a_gap_keeps_its_passages(spark):
+    """Two equal passages up to 1.3 times their length apart, where the whole is not alike enough."""
+    rng = random.Random(4)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    made, wanted = [], []
+    for length in (50, 60, 120, 200):
+        for gap in (0.5, 0.75, 1, 1.3):
+            one, two = some(length), some(length)
+            for _ in range(2):
+                head = some(rng.randint(0, 40))
+                made.append([*head, *one, *some(int(gap * length)), *two, *some(20)])
+                wanted.append([(len(head), len(head) + length), (len(head) + length + int(gap * length), len(head) + 2 * length + int(gap * length))])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(made)], "doc_id long, text string").repartition(3)
+    found = defaultdict(list)
+    for r in substring_dedup.repeated_passages(df).collect():
+        assert r.other_id == r.doc_id ^ 1 and r.equal >= 0.8 * max(r.end - r.begin, r.other_end - r.other_begin)
+        found[r.doc_id].append((r.begin, r.end))
+    for i, runs in enumerate(wanted):
+        assert all(any(b <= begin and end <= e for b, e in found[i]) for begin, end in runs)
