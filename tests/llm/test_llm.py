@@ -369,3 +369,21 @@ def test_chain_with_a_gap_keeps_its_passages(spark):
         found[r.doc_id].append((r.begin, r.end))
     for i, runs in enumerate(wanted):
         assert all(any(b <= begin and end <= e for b, e in found[i]) for begin, end in runs)
+
+
+def test_passage_whose_seeds_all_have_other_partners(spark):
+    """Two texts share a passage of three stock lines, each line common, in thousands of ways; one has the lines before, too."""
+    rng = random.Random(6)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    lines = [some(20) for _ in range(3)]
+    edges = [lines[0][8:] + lines[1][:12], lines[1][8:] + lines[2][:12]]
+    stock = [some(5) + line + some(40) for line in (*lines, *edges) for _ in range(25)]
+    passage = [w for line in lines for w in line]
+    ends = [some(40) + passage + some(30), [w for line in (*lines[::-1], *edges) for w in (*line, *some(10))] + passage + some(10)]
+    for order in (stock + ends, ends + stock, stock[:60] + ends[:1] + stock[60:] + ends[1:]):
+        df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(order)], "doc_id long, text string").repartition(3)
+        got = substring_dedup.repeated_passages(df).collect()
+        one, two = (order.index(t) for t in ends)
+        begins = {one: 40, two: len(ends[1]) - 70}
+        for a, b in ((one, two), (two, one)):
+            assert any(r.doc_id == a and r.other_id == b and r.begin <= begins[a] and begins[a] + 60 <= r.end for r in got)
