@@ -15,7 +15,7 @@ ACCESS = "AKIA[A-Z0-9]{16,}"
 HEX = "[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "random")
 
-CANDIDATE = "(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}"
+CANDIDATE = "(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Encodings to infer, the first that fits: name, pattern that the whole candidate must have, alphabet.
 ENCODINGS = (

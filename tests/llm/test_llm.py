@@ -387,3 +387,14 @@ def test_passage_whose_seeds_all_have_other_partners(spark):
         begins = {one: 40, two: len(ends[1]) - 70}
         for a, b in ((one, two), (two, one)):
             assert any(r.doc_id == a and r.other_id == b and r.begin <= begins[a] and begins[a] + 60 <= r.end for r in got)
+
+
+def test_secrets_after_a_sign(spark):
+    """Random values right after an equals sign, with a name that no base pattern knows."""
+    rng = random.Random(10)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    shapes = ("AWS_ACCESS_KEY={}", "https://host/path?sig={}&x=1", 'PRIVATE="{}"', "auth={} end")
+    made = [(i, shapes[i % 4], "".join(rng.choice(alphabet) for _ in range(64))) for i in range(80)]
+    df = spark.createDataFrame([(i, shape.format(key), shape.index("{")) for i, shape, key in made], "doc_id int, text string, at int")
+    found = {r.doc_id for r in secret_scan.find_secrets(df, ("doc_id", "at")).where("exists(secrets, x -> x.kind = 3 and x.start = at and x.end = at + 64)").collect()}
+    assert all(len([i for i in found if i % 4 == k]) >= 17 for k in range(4))
