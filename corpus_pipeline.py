@@ -41,8 +41,12 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their source's target takes them, the last time the words of the chosen blocks alone."""
-    return mixed_texts(docs, mix(docs), "doc_id").withColumn("n_chars", F.char_length("text").cast("long"))
+    """Documents as often as their source's target takes them, the last time the words of the chosen blocks alone.
+
+    Rows are written with a key, as ids may be null or repeat.
+    """
+    keyed = kept(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    return mixed_texts(keyed, mix(keyed, key_col="_key"), "_key").drop("_key").withColumn("n_chars", F.char_length("text").cast("long"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ def _number(digest: Column, n: Column) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") % n
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 32, shard_words: int = 262_144) -> DataFrame:
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 32, shard_words: int = 262_144, key_col: str | None = None) -> DataFrame:
     """Per row of df: id, source, size, source_size, target, taken, and where its words lie: at, repeats, extra, n_blocks, first.
 
     Each source is cut into shards by a hash of the ids, and each shard, in seeded order, into blocks of block_words. A
@@ -48,22 +48,24 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     rounds over the shard's blocks (repeats), then one more for extra blocks evenly spaced from a seeded first one. So
     taken follows from a row's place alone, and no block or row is taken more than MOST times. Reruns agree.
     A null text has no words and takes none; a null id orders as an empty one; rows alike in id share a shard and are
-    ordered by size; equal ones then have equal parts, whichever comes first.
+    ordered by size; equal ones then have equal parts, whichever comes first. key_col, which tells rows apart where ids
+    may not, comes last in that order and is handed on.
     """
-    rows = kept(df.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size")), "sizes")
+    key = [key_col] if key_col else []
+    rows = kept(df.select(*key, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size")), "sizes")
     sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "of")
     placed = rows.join(sources, rows["source"].eqNullSafe(sources["of"])).drop("of", "weight")
     digest = _hash(F.col("id"))
     placed = placed.withColumn("digest", digest).withColumn("shard", _number(F.col("digest"), F.ceil(F.col("source_size") / shard_words) + (F.col("source_size") == 0).cast("int")))
     shard = Window.partitionBy("source", "shard")
-    order = shard.orderBy("digest", "id", "size")
+    order = shard.orderBy("digest", "id", "size", *key)
     placed = placed.withColumns({"at": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "shard_size": F.sum("size").over(shard)})
     n_blocks = F.ceil(F.col("shard_size") / block_words)
     seats = F.least(MOST * n_blocks, F.floor(F.col("target") * F.col("shard_size") / F.greatest(F.col("source_size"), F.lit(1)) / block_words + 0.5))
     placed = placed.withColumns({"n_blocks": F.greatest(n_blocks, F.lit(1)), "seats": seats}).withColumns({"repeats": F.floor(F.col("seats") / F.col("n_blocks")), "extra": F.col("seats") % F.col("n_blocks"), "first": _number(_hash(F.coalesce("source", F.lit("\0")), F.col("shard")), F.col("n_blocks"))})
     upto = lambda x: block_words * _chosen(F.floor(x / block_words)) + x % block_words * is_extra(F.floor(x / block_words))
     taken = F.col("repeats") * F.col("size") + upto(F.col("at") + F.col("size")) - upto(F.col("at"))
-    return placed.select(F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"), "at", "repeats", "extra", "n_blocks", "first")
+    return placed.select(*key, F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"), "at", "repeats", "extra", "n_blocks", "first")
 
 
 def _chosen(b: Column) -> Column:
@@ -81,7 +83,7 @@ def is_extra(b: Column) -> Column:
 def mixed_texts(df: DataFrame, places: DataFrame, id_col: str, text_col: str = "text", block_words: int = 32) -> DataFrame:
     """df's rows as the mix takes them: the whole text repeats times, then the words of its extra blocks as one more text.
 
-    places: mix(df) with the same id_col, which must tell rows apart. Nothing is returned for a row that gives no words.
+    places: mix(df) with the same id_col, or with it as key_col; it must tell rows apart. Nothing is returned for a row that gives no words.
     """
     own = places.select(F.col(id_col).alias("_id"), "size", "at", "repeats", "extra", "n_blocks", "first", "taken").where(F.col("taken") > 0)
     rows = df.select(F.col(id_col).alias("_id"), F.struct(*(F.col(c) for c in df.columns)).alias("_row"))

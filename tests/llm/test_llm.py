@@ -398,3 +398,12 @@ def test_secrets_after_a_sign(spark):
     df = spark.createDataFrame([(i, shape.format(key), shape.index("{")) for i, shape, key in made], "doc_id int, text string, at int")
     found = {r.doc_id for r in secret_scan.find_secrets(df, ("doc_id", "at")).where("exists(secrets, x -> x.kind = 3 and x.start = at and x.end = at + 64)").collect()}
     assert all(len([i for i in found if i % 4 == k]) >= 17 for k in range(4))
+
+
+def test_mixing_stage_keeps_rows_without_an_own_id(spark):
+    """Null and repeated ids: every row gives as many words as the mix takes of it."""
+    made = [(None if i % 3 == 0 else i % 7 if i % 3 == 1 else 100 + i, " ".join(f"{i}_{k}" for k in range(20 + i)), f"s{i % 4}", 0) for i in range(90)]
+    df = spark.createDataFrame(made, "doc_id long, text string, source string, n_chars long").repartition(3).cache()
+    taken = {r["size"] - 20: r.taken for r in mixing.mix(df).collect()}
+    out = Counter(int(w.split("_")[0]) for r in corpus_pipeline.mixed(spark, df, "").collect() for w in r.text.split())
+    assert sum(out.values()) and all(out[i] == taken[i] for i in range(90))
