@@ -8,9 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .common import kept
 
@@ -22,6 +21,8 @@ SMOOTH = 0.5
 EVIDENCE = 20
 #: Entries that a worker holds before it hands them on or starts anew.
 HELD = 300_000
+#: Languages whose row counts are broadcast to the rows; of more, they are joined. Longest entry that the model has.
+FEW, LONGEST = 10_000, 64
 
 
 def letters(token: str) -> list[str]:
@@ -63,13 +64,14 @@ def _logs(table: list, languages: list[str], totals: dict) -> tuple[dict[str, in
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 6_000, max_words: int = 120_000, max_grams: int = 160_000) -> Model:
     """A model of the languages in lang_col, from a sample of about per_language labelled rows of each.
 
-    The sample is the rows whose hash of the whole row is low, so a language's hot rows don't fill it. The most frequent words
-    and n-grams are kept, max_words and max_grams entries over all languages: that bounds what each worker gets. Rows with
-    a null text or label don't train.
+    The sample is the rows whose hash of the whole row is low, so a language's hot rows don't fill it. max_words and
+    max_grams bound what each worker gets: every language names its most frequent entries up to its equal share of them,
+    and an entry that one names has the counts of all. Words over LONGEST letters are left to their n-grams. Rows with a
+    null text or label don't train.
     """
     rows = df.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(*df.columns).alias("hash")).where("text is not null and lang is not null")
     sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    sample = rows.join(sizes, "lang").where(F.pmod("hash", F.lit(1 << 20)) * F.col("n") < F.lit(per_language << 20)).select("lang", "text")
+    sample = rows.join(F.broadcast(sizes) if sizes.count() <= FEW else sizes, "lang").where(F.pmod("hash", F.lit(1 << 20)) * F.col("n") < F.lit(per_language << 20)).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: Counter[tuple[str, str]] = Counter()
@@ -111,10 +113,12 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_langu
     languages = sorted({lang for _, lang in totals})
 
     def best(where: str, most: int) -> list:
-        entries = tables.where(where).where(F.char_length("entry") <= 64).orderBy(F.desc("n"), "size", "entry", "lang").limit(most)
-        return [(r["size"], r.entry, r.lang, r.n) for r in entries.select("size", "entry", "lang", "n").collect()]
+        entries = tables.where(where).where(F.char_length("entry") <= LONGEST)
+        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "size", "entry"))
+        named = entries.withColumn("place", place).where(F.col("place") <= most // max(1, len(languages))).select("size", "entry").distinct()
+        return [(r["size"], r.entry, r.lang, r.n) for r in entries.join(named, ["size", "entry"], "left_semi").select("size", "entry", "lang", "n").collect()]
 
-    return Model(languages, *_logs(best("size = 0 and n > 1", max_words), languages, totals), *_logs(best("size > 0 and n > 1", max_grams), languages, totals))
+    return Model(languages, *_logs(best("size = 0", max_words), languages, totals), *_logs(best("size > 0", max_grams), languages, totals))
 
 
 class Identifier:
@@ -161,20 +165,24 @@ class Identifier:
         return self.model.languages[best], min(1.0, float(shares[best]))
 
 
+def language_of(spark: SparkSession, model: Model, text: Column) -> Column:
+    """A struct (lang_pred, score) of each whole text, from that alone; the text is all that goes to the Python worker."""
+    shared = spark.sparkContext.broadcast(model)
+
+    @F.arrow_udf("struct<lang_pred: string, score: double>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        identifier = Identifier(shared.value)
+        for texts in batches:
+            rows = [identifier.text(t.as_py()) for t in texts]
+            yield pa.StructArray.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.float64())], ["lang_pred", "score"])
+
+    return found(text)
+
+
 def identify(df: DataFrame, model: Model, text_col: str, *keep: Column) -> DataFrame:
     """keep, then lang_pred and score (its share of the likelihood, 0 to 1) of each row's whole text, from that alone.
 
     A null text or one without a letter is und with score 0, and so is any text where no language was learned. Ties go to
     the first language in order. Repeated rows are kept; an empty table gives no rows.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    rows = df.select(*keep, F.col(text_col).alias("_text"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        identifier = Identifier(shared.value)
-        for batch in batches:
-            found = [identifier.text(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[*batch.schema.names[:-1], "lang_pred", "score"])
-
-    schema = StructType(rows.schema.fields[:-1]).add("lang_pred", StringType()).add("score", DoubleType())
-    return rows.mapInArrow(run, schema)
+    return df.select(*keep, F.inline(F.array(language_of(df.sparkSession, model, F.col(text_col)))))
