@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallymatch.llm.common import documents, kept
-from tallymatch.llm.language_id import UNKNOWN, fit, identify
+from tallymatch.llm.language_id import UNKNOWN, fit, language_of
 from tallymatch.llm.mixing import mix, mixed_texts
 from tallymatch.llm.ngram_join import jaccard_components
 from tallymatch.llm.packing import pack_documents
@@ -20,8 +20,7 @@ Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents without a language: a null text or one without a letter."""
-    found = identify(docs, fit(docs), "text", *docs.columns)
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return docs.where(language_of(spark, fit(docs), F.col("text"))["lang_pred"] != UNKNOWN)
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
