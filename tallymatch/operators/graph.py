@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import allocate
 from ..schema import DEFAULTS, Config
+from ..sources.shared import shared_folder
 
 
 def tier4(payments: DataFrame, settlement_links: DataFrame, payment_links: DataFrame, credits: DataFrame, config: Config = DEFAULTS) -> DataFrame:
@@ -46,9 +47,7 @@ def reachable(edges: DataFrame, sources: DataFrame, most: int = 32) -> DataFrame
     """
     context = edges.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(edges.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tallymatch-"))
+        context.setCheckpointDir(shared_folder(edges.sparkSession))
     seen = front = sources.select(F.col("node").alias("source"), "node").distinct().checkpoint()
     for _ in range(most):
         front = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("source", F.col("dst").alias("node")).distinct().join(seen, ["source", "node"], "left_anti").checkpoint()

@@ -2,27 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-
-_own: list[str] = []
+from .shared import new_path
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the folder of spark.checkpoint.dir, so that later tiers neither redo it nor lose it."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="tallymatch-"))
-        top = _own[0]
-    path = f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """df as a table in the shared folder, so that later tiers neither redo it nor lose it."""
+    path = new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def running_balance(bank: DataFrame, opening_minor: int) -> DataFrame:
