@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import new_path
+
 #: ASCII white space, the only characters that part words.
 SPACE = r"\x20\x09-\x0D"
 WORD = f"[^{SPACE}]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-_own_folder: list[str] = []
-
 
 def words(text: Column) -> Column:
     """The words of a text, in order; an empty array for a null or empty text."""
@@ -30,21 +32,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def workspace(spark: SparkSession, name: str) -> str:
-    """A new folder under the session's spark.checkpoint.dir, which driver and executors share.
-
-    Only where that setting is missing, as in local tests, one temporary folder of this process is used.
-    """
-    top = spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        if not _own_folder:
-            _own_folder.append(tempfile.mkdtemp(prefix="tallymatch-"))
-        top = _own_folder[0]
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: cut lineage that outlives an executor."""
-    spark, path = df.sparkSession, workspace(df.sparkSession, name)
+    spark, path = df.sparkSession, new_path(df.sparkSession, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def slices(batches: Iterator[pa.RecordBatch], *columns: int, size: int = 1 << 22, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The batches without empty ones, cut so that the binary columns have about size bytes, or one row, at most."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ends = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
+        begin = 0
+        while begin < batch.num_rows:
+            before = int(ends[begin - 1]) if begin else 0
+            end = min(max(int(np.searchsorted(ends, before + size, "right")), begin + 1), begin + rows, batch.num_rows)
+            yield batch.slice(begin, end - begin)
+            begin = end

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, slices
 from .hashing import MIX, word_hashes
 
 #: Counters of the frequency sketch, which goes to every worker; they are handed on in blocks.
@@ -109,7 +109,7 @@ def survey(texts: DataFrame, kind: str, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counters = Shingles(n), Counters()
-        for batch in batches:
+        for batch in slices(batches, 1):
             sigs, sizes = [], []
             for found in shingles.of(batch.column(1)):
                 counters.add(found)
@@ -164,7 +164,7 @@ def prefixes(texts: DataFrame, counts: np.ndarray, n: int, percent: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(n), set()
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for found in shingles.of(batch.column(1)):
                 sig = _digest(found)
@@ -208,7 +208,7 @@ def tokens_of(nodes: DataFrame, crowded: np.ndarray) -> DataFrame:
     shared = nodes.sparkSession.sparkContext.broadcast(crowded)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 3):
             lists = [np.frombuffer(x.as_py(), "<u8") for x in batch.column(3)]
             lengths = np.array([len(x) for x in lists], np.int64)
             if not lengths.sum():
@@ -282,7 +282,7 @@ def sets_of(texts: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen, bits = Shingles(n), set(), marked.value
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = []
             for found in shingles.of(batch.column(1)):
                 sig = _digest(found)

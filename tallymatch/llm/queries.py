@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, remainder, workspace
+from ..sources.shared import new_path
+from .common import documents, remainder
 from .language_id import fit, identify
 from .lm_suffix_tree import lm_scores
 from .media_tiff import tiff_digests, tiff_from_text
@@ -47,7 +48,7 @@ def op4_lm_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), workspace(spark, "token-cache"))
+    return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"), new_path(spark, "token-cache"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
