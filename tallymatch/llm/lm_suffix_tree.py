@@ -1,285 +1,182 @@
-"""Language-model scores by a probabilistic suffix tree over characters, beside a unigram base over words."""
+"""Language-model scores by a probabilistic suffix tree over bytes, beside a unigram base over words."""
 
 from __future__ import annotations
 
-import uuid
-from array import array
 from collections.abc import Iterator
-from math import log10, nan
+from math import log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import kept, slices
 from .hashing import ends_among, words_at
 
-#: The end of a text among words, and among symbols; neither occurs in a word.
-END_WORD, END = b"", "\n"
-CODE_POINTS = 0x110000
-#: Symbols of the word before that a context can hold, and symbols of a word that may follow such a context.
-TAIL, HEAD = 3, 4
+#: Symbols that a context has at most: with the next one they fill 48 bits of a key, and a text's number the other 16.
+DEPTH = 5
+#: Bytes that no UTF-8 text has: before a text's first, and after its last.
+START, END = b"\xfe", b"\xff"
+SYMBOLS = 256
+#: The weight of the shorter context for each kind of symbol that a context was seen with.
 STRENGTH = 4
-#: Entries that a worker holds before it hands them on or forgets them.
-HELD = 300_000
+#: Bytes of texts that are sorted at once, and that share one table of values; entries that a worker holds before it sums them.
+PART, BATCH, HELD = 1 << 21, 1 << 26, 3_000_000
+#: What marks the key of a word, its hash otherwise; keys of symbols are below.
+WORD_KEY = np.uint64(1 << 63)
 
-ROWS = "id {}, held_out boolean, n_tokens long, n_known long, logs double, score double, rare array<struct<word:binary,n:long>>"
+READ = "batch long, key long, n long, docs binary"
 
 
-def _tail(word: bytes) -> str:
-    return f" {word.decode()}"[-TAIL:]
+def symbol_keys(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each symbol of each lower-case text and for its end: the depth symbols before it and itself as one number, the
+    latest in the highest byte; and how many symbols each text has."""
+    joined = b"".join(START * depth + t + END for t in texts)
+    data = np.frombuffer(joined, np.uint8)
+    eights = np.ndarray((len(joined) - depth,), "<u8", joined + bytes(8), strides=(1,))
+    keys = eights[data[depth:] != START[0]]
+    keys &= np.uint64((1 << 8 * (depth + 1)) - 1)
+    return keys, np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
 
 
-def _head(word: bytes) -> str:
-    return f"{word.decode()} "[:HEAD] if word else END
+def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each word of each lower-case text, and how many words each text has."""
+    begins, _, hashes = words_at(b" ".join(texts))
+    hashes |= WORD_KEY
+    return hashes, np.diff(ends_among(begins, texts), prepend=0)
 
 
-class Lexicon:
-    """Numbers for words, their tails and their heads, so that a batch of texts is a few arrays."""
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return [(keys[first], np.add.reduceat(n[order], first))]
 
-    def __init__(self) -> None:
-        self.clear()
 
-    def clear(self) -> None:
-        self.words, self.names, self.tails, self.heads = {}, [], {"": 0}, {END: 0}
-        self.tail_of, self.head_of = array("i"), array("i")
-
-    def add(self, word: bytes) -> None:
-        self.words[word] = len(self.names)
-        self.names.append(word)
-        self.tail_of.append(self.tails.setdefault(_tail(word), len(self.tails)))
-        self.head_of.append(self.heads.setdefault(_head(word), len(self.heads)))
-
-    def read(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Words' numbers over all texts in a row, texts' lengths, and the seams of each text and its end in a row.
-
-        A seam is the tail of what comes before and the head of what follows, as tail << 32 | head.
-        """
-        joined, words = b" ".join(texts).lower(), self.words
-        begins, sizes, hashes = words_at(joined)
-        lengths = np.diff(ends_among(begins, texts), prepend=0)
-        _, first, kind = np.unique(hashes, return_index=True, return_inverse=True)  # of a batch's words, equal hashes are equal words
-        names = [joined[b : b + s] for b, s in zip(begins[first].tolist(), sizes[first].tolist(), strict=True)]
-        for w in names:
-            if w not in words:
-                self.add(w)
-        at = np.fromiter(map(words.__getitem__, names), np.int64, len(names))[kind]
-        ends = np.cumsum(lengths + 1) - 1
-        inside = np.ones(len(at) + len(texts), bool)
-        inside[ends] = False
-        tails, heads = np.zeros(len(inside), np.int64), np.zeros(len(inside), np.int64)
-        heads[inside] = np.frombuffer(self.head_of, np.int32)[at] if len(at) else 0
-        tails[1:][inside[:-1]] = np.frombuffer(self.tail_of, np.int32)[at] if len(at) else 0
-        return at, lengths, tails << 32 | heads
-
-
-def _some(batches: Iterator[pa.RecordBatch], column: int, size: int = 1 << 22) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches cut so that each has about size bytes of texts, or one text."""
-    for batch in batches:
-        texts, begin, held = batch.column(column).to_pylist(), 0, 0
-        for i, text in enumerate(texts):
-            held += len(text)
-            if held >= size or i + 1 == len(texts):
-                yield batch.slice(begin, i + 1 - begin), texts[begin : i + 1]
-                begin, held = i + 1, 0
-
-
-def training_counts(texts: DataFrame) -> DataFrame:
-    """(word, n) and (tail, head, n) rows over a single binary column of texts; a text's end is the empty word.
-
-    Tail and head are those of neighbours, or of the last word and the end. Tasks hand on sums, so hot keys cost a row each.
-    """
+def read_batches(rows: DataFrame, depth: int) -> DataFrame:
+    """rows (id, held_out, text) as batches of about BATCH bytes: (batch, key, n) of each key in a batch, n counting training
+    texts alone, and one row (batch, n, docs) with the number of those and the rows themselves, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon, seen, ends = Lexicon(), np.zeros(0, np.int64), 0
-        seams, times = np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-        def out() -> pa.RecordBatch:
-            used = np.flatnonzero(seen)
-            tails, heads = list(lexicon.tails), list(lexicon.heads)
-            words = [*(lexicon.names[i] for i in used), END_WORD]
-            none = [None]
-            columns = [words + none * len(seams), none * len(words) + [tails[k] for k in (seams >> 32).tolist()], none * len(words) + [heads[k] for k in (seams & 0xFFFFFFFF).tolist()], [*seen[used].tolist(), ends, *times.tolist()]]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.binary(), pa.string(), pa.string(), pa.int64()), strict=True)], names=["word", "tail", "head", "n"])
-
-        for _, some in _some(batches, 0):
-            at, lengths, pairs = lexicon.read(some)
-            seen = np.pad(seen, (0, len(lexicon.names) - len(seen))) + np.bincount(at, minlength=len(lexicon.names))
-            ends += len(lengths)
-            more = np.unique(pairs, return_counts=True)
-            seams, same = np.unique(np.concatenate((seams, more[0])), return_inverse=True)
-            times = np.bincount(same, np.concatenate((times, more[1])), len(seams)).astype(np.int64)
-            if len(seams) > 2 * HELD or len(lexicon.names) > 2 * HELD:
-                yield out()
-                lexicon.clear()
-                seen, ends, seams, times = np.zeros(0, np.int64), 0, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if ends:
-            yield out()
-
-    return texts.mapInArrow(run, "word binary, tail string, head string, n long").groupBy("word", "tail", "head").agg(F.sum("n").alias("n"))
-
-
-def context_counts(counts: DataFrame, depth: int) -> DataFrame:
-    """(context, symbols, total) over training_counts: how often each symbol follows each context.
-
-    A text's symbols are its words' characters, a space after each word, and an end. Contexts within a word reach back up
-    to depth symbols, at most to the space before it; those that reach over that space have up to TAIL symbols before it
-    and fewer than HEAD after it. So the counts of words and of seams hold all there is to know. Each place is summed with
-    its longest context first, and those sums then with every shorter one.
-    """
-    word = F.col("word").cast("string")
-    line = F.when(word == "", F.lit(f" {END}")).otherwise(F.concat(F.lit(" "), word, F.lit(" ")))
-    upto = F.explode(F.sequence(F.lit(2), F.char_length("line"))).alias("to")
-    places = counts.where("word is not null").select(line.alias("line"), "n").select("line", "n", upto)
-    places = places.select(F.expr(f"substring(line, greatest(1, to - {depth}), least(to, {depth + 1}))").alias("gram"), "n", F.lit(0).alias("least"))
-    seams = counts.where("tail != ''").select(F.concat_ws(" ", "tail", "head").alias("line"), F.char_length("tail").alias("t"), "n").select("line", "t", "n", F.explode(F.sequence(F.col("t") + 2, F.char_length("line"))).alias("to"))
-    places = places.unionAll(seams.select(F.expr("substring(line, 1, to)").alias("gram"), "n", (F.col("to") - F.col("t")).alias("least")))
-    summed = places.groupBy("gram", "least").agg(F.sum("n").alias("n"))
-    shorter = F.explode(F.sequence(F.lit(1), F.char_length("gram") - F.col("least"))).alias("begin")
-    grams = summed.select("gram", "n", shorter).select(F.expr("substring(gram, begin, char_length(gram) - begin)").alias("context"), F.expr("right(gram, 1)").alias("symbol"), "n")
-    grams = grams.groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-    return grams.groupBy("context").agg(F.map_from_entries(F.collect_list(F.struct("symbol", "n"))).alias("symbols"), F.sum("n").alias("total"))
-
-
-def suffix_tree(counts: DataFrame, depth: int = 6, least: int = 4, divergence: float = 2.0, max_states: int = 50_000) -> dict[str, tuple[dict[str, int], int]]:
-    """The states that are worth keeping: context -> (symbols' counts, total), the root among them.
-
-    A context is retained if it was seen least times and total * KL(its next symbols || those of its suffix) is at least
-    divergence nats for each of its next symbols and one more, which is about what chance alone would give. A tree goes to every worker, so max_states bounds its size: those with the largest divergence.
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        docs, size, training, number = [], 0, 0, TaskContext.get().partitionId() << 32
+        schema = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in READ.split(", ")])
+
+        def out() -> Iterator[pa.RecordBatch]:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, docs[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
+                for d in docs:
+                    stream.write_batch(d)
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), pa.array([training], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=schema)
+            for keys, n in _summed(parts):
+                for i in range(0, len(keys), 1 << 17):
+                    some = keys[i : i + (1 << 17)].view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(some), pa.array(n[i : i + len(some)]), pa.nulls(len(some), pa.binary())], schema=schema)
+
+        for batch in slices(batches, 2, size=PART):
+            docs.append(batch)
+            held = batch.column(1).to_pylist()
+            texts = [t.lower() for t in batch.column(2).to_pylist()]
+            for train in (True, False):
+                some = [t for t, h in zip(texts, held, strict=True) if (h is False) == train]
+                if some:
+                    for keys, n in (np.unique(of(some), return_counts=True) for of in (lambda t: symbol_keys(t, depth)[0], lambda t: word_keys(t)[0])):
+                        parts.append((keys, n if train else np.zeros(len(keys), np.int64)))
+                training += len(some) * train
+            size += sum(map(len, texts))
+            if sum(len(k) for k, _ in parts) > HELD:
+                parts = _summed(parts)
+            if size >= BATCH:
+                yield from out()
+                parts, docs, size, training, number = [], [], 0, 0, number + 1
+        if docs:
+            yield from out()
+
+    return rows.mapInArrow(run, READ)
+
+
+def suffix_tree(counts: DataFrame, depth: int = DEPTH, least: int = 4, divergence: float = 2.0) -> DataFrame:
+    """(key, value) over (key, n) of symbols: the log10 probability of a key's last symbol after those before it.
+
+    A context is a state of the tree if it was seen least times and total * KL(its next symbols || those of its suffix) is
+    at least divergence nats for each kind of its next symbols and one more, which is about what chance alone would give.
+    A symbol's probability in a state is n + w * (that in the longest state its suffix ends in) over total + w, where w is
+    STRENGTH for each kind of symbol that the state was seen with (Witten and Bell); in the root that rest is evenly spread.
+    What is no state has the value of its longest suffix that is one. Level by level, a context's own table is one window
+    and its suffix's values come by one join, so the tree is as large as the corpus makes it.
     """
-    contexts = kept(context_counts(counts, depth), "contexts")
-    parents = contexts.select(F.col("context").alias("suffix"), F.col("symbols").alias("of"), F.col("total").alias("all"))
-    longer = contexts.where((F.col("context") != "") & (F.col("total") >= least)).withColumn("suffix", F.expr("substring(context, 2)")).join(parents, "suffix")
-    gain = F.aggregate(F.map_entries("symbols"), F.lit(0.0), lambda a, x: a + x["value"] * F.log(x["value"] * F.col("all") / (F.element_at("of", x["key"]) * F.col("total"))))
-    retained = longer.withColumn("gain", gain).where(F.col("gain") >= divergence * (1 + F.size("symbols"))).orderBy(F.desc("gain"), "context").limit(max_states)
-    rows = [*retained.select("context", "symbols", "total").collect(), *contexts.where(F.col("context") == "").select("context", "symbols", "total").collect()]
-    return {r.context: (r.symbols, r.total) for r in rows}
-
-
-class Scorer(Lexicon):
-    """log10 probabilities by the longest suffix states of a tree, each smoothed by those above it (Witten and Bell, STRENGTH times as much)."""
-
-    def __init__(self, tree: dict[str, tuple[dict[str, int], int]], known: dict[bytes, float]) -> None:
-        self.known, self.nodes, self.depth = known, {}, max(map(len, tree), default=0)
-        self.begun = {"", *(context[:i] for context in tree for i in range(1, len(context) + 1))}
-        for context in sorted(tree, key=len):
-            symbols, total = tree[context]
-            unseen = STRENGTH * len(symbols)
-            rest = unseen / (total + unseen)
-            above = self.state(context[1:]) if context else None
-            self.nodes[context] = ({s: log10(n / (total + unseen) + rest * 10 ** self.symbol(above, s)) for s, n in symbols.items()}, log10(rest), above)
-        self.clear()
-
-    def clear(self) -> None:
-        super().clear()
-        self.bodies, self.logs, self.seams, self.places, self.n_steps = array("d"), array("d"), {}, {}, 0
-
-    def add(self, word: bytes) -> None:
-        super().add(word)
-        head = _head(word)
-        rest = f"{word.decode()} "[HEAD:]  # what comes after the head, the space included
-        self.bodies.append(self.walk(f" {head}", rest) if rest else 0.0)
-        self.logs.append(self.known.get(word, nan))
-
-    def state(self, history: str) -> str | None:
-        for start in range(max(0, len(history) - self.depth), len(history) + 1):
-            if history[start:] in self.nodes:
-                return history[start:]
-        return None
-
-    def symbol(self, state: str | None, symbol: str) -> float:
-        spared = 0.0
-        while state is not None:
-            logs, rest, above = self.nodes[state]
-            if symbol in logs:
-                return spared + logs[symbol]
-            spared += rest
-            state = above
-        return spared - log10(CODE_POINTS)
-
-    def place(self, history: str) -> dict:
-        """Where a history stands: at its longest end that a context begins with. Holds its steps by symbol, and its text.
-
-        Every context that a history ends in is an end of that text too, and so is what any longer history can end in.
-        """
-        while history not in self.begun:
-            history = history[1:]
-        got = self.places.get(history)
-        if got is None:
-            got = self.places[history] = {"": history}
-        return got
-
-    def walk(self, history: str, symbols: str) -> float:
-        at, total = self.place(history), 0.0
-        for symbol in symbols:
-            step = at.get(symbol)
-            if step is None:
-                step = at[symbol] = (self.symbol(self.state(at[""]), symbol), self.place(at[""] + symbol))
-                self.n_steps += 1
-            total += step[0]
-            at = step[1]
-        return total
-
-    def score(self, texts: list[bytes]) -> tuple[np.ndarray, ...]:
-        """By text: words, log10 probability, known words and their logs; and words that are not known: text, word, times."""
-        if max(len(self.names), len(self.seams), self.n_steps) > 2 * HELD:
-            self.clear()
-        at, lengths, pairs = self.read(texts)
-        tails, heads = list(self.tails), list(self.heads)
-        kinds, kind_of = np.unique(pairs, return_inverse=True)
-        for k in kinds.tolist():
-            if k not in self.seams:
-                tail, head = tails[k >> 32], heads[k & 0xFFFFFFFF]
-                self.seams[k] = self.walk(f"{tail} ", head)
-        owner, n = np.repeat(np.arange(len(texts)), lengths), len(texts)
-        seams = np.bincount(np.repeat(np.arange(n), lengths + 1), np.array([self.seams[k] for k in kinds.tolist()])[kind_of], n)
-        logs = np.frombuffer(self.logs)[at] if len(at) else np.zeros(0)
-        bodies = np.bincount(owner, np.frombuffer(self.bodies)[at], n) if len(at) else np.zeros(n)
-        rare = np.isnan(logs)
-        others, times = np.unique(owner[rare] << 32 | at[rare], return_counts=True)
-        return lengths, seams + bodies, np.bincount(owner, ~rare, n), np.bincount(owner, np.where(rare, 0.0, logs), n), others >> 32, others & 0xFFFFFFFF, times
-
-
-#: The scorer that a worker has made, by the name of what it is made from; its next tasks go on with it.
-_made: dict[str, Scorer] = {}
-
-
-def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", common: int = 65_536, **tree: float) -> DataFrame:
+    levels = [counts.select("key", "n")]
+    for _ in range(depth):
+        levels.append(levels[-1].groupBy(F.shiftright("key", 8).alias("key")).agg(F.sum("n").alias("n")))
+    above = None
+    for k, level in enumerate(reversed(levels)):
+        rows = level.withColumn("context", F.col("key").bitwiseAND(F.lit((1 << 8 * k) - 1)))
+        rows = rows.withColumn("suffix", F.shiftright("key", 8)).join(above, "suffix") if k else rows.withColumns({"p_above": F.lit(1 / SYMBOLS)})
+        own = Window.partitionBy("context")
+        rows = rows.withColumns({"total": F.sum("n").over(own), "kinds": F.count(F.when(F.col("n") > 0, 1)).over(own)})
+        state = F.col("total") > 0
+        if k:
+            gain = F.sum(F.when(F.col("n") > 0, F.col("n") * F.log(F.col("n") * F.col("total_above") / (F.col("n_above") * F.col("total"))))).over(own)
+            state = (F.col("total") >= least) & (F.coalesce(gain, F.lit(0.0)) >= divergence * (1 + F.col("kinds")))
+        weight = STRENGTH * F.col("kinds")
+        p = F.when(state, (F.col("n") + weight * F.col("p_above")) / (F.col("total") + weight)).otherwise(F.col("p_above"))
+        above = rows.select(F.col("key").alias("suffix"), F.col("n").alias("n_above"), F.col("total").alias("total_above"), p.alias("p_above"))
+    return above.select(F.col("suffix").alias("key"), F.log10("p_above").alias("value"))
+
+
+def scored(values: pa.Table, docs: pa.Table, depth: int) -> pa.Table:
+    """(id, held_out, n_words, n_known, logs, score) of a batch's texts by the values of its keys: of symbols their log10
+    probability, of words their training count."""
+    keys, value = values["key"].to_numpy().view(np.uint64), values["value"].to_numpy()
+    order = np.argsort(keys)
+    keys, value = keys[order], value[order]
+    out = []
+    for blob in docs["docs"]:
+        for batch in pa.ipc.open_stream(blob.as_buffer()):
+            texts = [t.lower() for t in batch.column(2).to_pylist()]
+            n = len(texts)
+            symbols, sizes = symbol_keys(texts, depth)
+            symbols <<= np.uint64(16)
+            symbols |= np.repeat(np.arange(n, dtype=np.uint64), sizes)
+            symbols.sort()
+            own = symbols >> np.uint64(16)
+            first = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+            logs = np.repeat(value[np.searchsorted(keys, own[first])], np.diff(first, append=len(own)))
+            score = np.bincount((symbols & np.uint64(0xFFFF)).astype(np.int64), logs, n)
+            words, lengths = word_keys(texts)
+            kinds, kind = np.unique(words, return_inverse=True)
+            seen = value[np.searchsorted(keys, kinds)] if len(kinds) else np.zeros(0)
+            owner = np.repeat(np.arange(n), lengths)
+            known, base = (np.bincount(owner, of[kind], n) for of in ((seen > 0).astype(float), np.log10(seen + 1)))
+            out.append(pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lengths), pa.array(known.astype(np.int64)), pa.array(base), pa.array(score)], names=["id", "held_out", "n_words", "n_known", "logs", "score"]))
+    return pa.Table.from_batches(out)
+
+
+def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, **tree: float) -> DataFrame:
     """Per row of df: id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities of the text).
 
     Both models learn from the rows where held_out is false; where it is null (as with a null id) a row only gets scores.
-    Words' counts stay a table: the most common words (at most common of them, of 64 bytes at most) go to every worker,
-    all others are joined to the texts that hold them. A null text is an empty one, whose only token is its end. With no
-    training rows every token is unknown. Repeated rows are kept, and each trains.
+    The tree's symbols are the bytes of the text, A-Z as a-z, and its end; contexts reach back up to depth of them, over
+    words' borders and to a mark before the text. Counts of words and of symbols after their contexts are tables. A batch
+    of texts asks for each of its keys once, by a join, and gets all their values as one group, which is no larger than
+    the batch. Words are told apart by 63 bits of a hash. A null text is an empty one, whose only token and symbol is its
+    end. With no training rows every token is unknown and every symbol as likely as any. Repeated rows are kept, and each trains.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    counted = kept(training_counts(rows.where(~F.col("held_out")).select("text")), "counts")
-    counts = counted.where("word is not null").select("word", "n")
-    n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    ends = sum(r.n for r in counts.where(F.col("word") == END_WORD).collect())
-    top = counts.where(F.octet_length("word").between(1, 64)).orderBy(F.desc("n"), "word").limit(common).collect()
-    shared, name = spark.sparkContext.broadcast(({bytes(r.word): log10(r.n + 1) for r in top}, suffix_tree(counted, **tree), ends)), uuid.uuid4().hex
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, states, ends = shared.value
-        if name not in _made:
-            _made.clear()
-            _made[name] = Scorer(states, known)
-        scorer = _made[name]
-        for batch, texts in _some(batches, 2):
-            lengths, scores, seen, logs, owners, words, times = scorer.score(texts)
-            names = scorer.names
-            entries = pa.StructArray.from_arrays([pa.array([names[w] for w in words.tolist()], pa.binary()), pa.array(times, pa.int64())], ["word", "n"])
-            offsets = np.searchsorted(owners, np.arange(len(texts) + 1)).astype(np.int32)
-            columns = [lengths + 1, seen.astype(np.int64) + (ends > 0), logs + log10(ends + 1), scores]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *map(pa.array, columns), pa.ListArray.from_arrays(pa.array(offsets), entries)], names=["id", "held_out", "n_tokens", "n_known", "logs", "score", "rare"])
-
+    if not 1 <= depth <= DEPTH:
+        raise ValueError(f"depth must be from 1 to {DEPTH}")
     kind = df.schema[id_col].dataType.simpleString()
-    scored = kept(rows.mapInArrow(score, ROWS.format(kind)).withColumn("row", F.monotonically_increasing_id()), "scored")
-    rare = scored.select("row", F.explode("rare").alias("x")).select("row", F.col("x.word").alias("word"), F.col("x.n").alias("times"))
-    more = rare.join(counts, "word").groupBy("row").agg(F.sum("times").alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_logs"))
-    out = scored.drop("rare").join(more, "row", "left")
-    base = F.col("logs") + F.coalesce("more_logs", F.lit(0.0)) - F.col("n_tokens") * F.lit(log10(n + v + 1))
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    rows = df.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    read = kept(read_batches(rows, depth), "lm-read")
+    found, docs = read.where("key is not null").select("batch", "key", "n"), read.where("docs is not null").select("batch", "n", "docs")
+    counts = kept(found.groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
+    words = counts.where("key < 0")
+    n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("n") > 0, 1))).first()
+    ends = docs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    model = kept(suffix_tree(counts.where("key >= 0"), depth, **tree), "lm-tree").unionAll(words.select("key", F.col("n").cast("double")))
+    values = found.select("batch", "key").join(model, "key").select("batch", "key", "value")
+    out = values.groupBy("batch").cogroup(docs.select(F.col("batch").alias("of"), "docs").groupBy("of")).applyInArrow(lambda a, b: scored(a, b, depth), f"id {kind}, held_out boolean, n_words long, n_known long, logs double, score double")
+    tokens = F.col("n_words") + 1
+    base = F.col("logs") + F.lit(log10(ends + 1)) - tokens * F.lit(log10(n + ends + v + (ends > 0) + 1))
+    return out.select(F.col("id").alias(id_col), "held_out", tokens.alias("n_tokens"), (F.col("n_known") + F.lit(int(ends > 0))).alias("n_known"), F.lit(n + ends).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -139,28 +139,59 @@ def test_index_scores():
     assert got.tolist() == pytest.approx([weight(1, 1, 4) * 2 + weight(2, 2, 4), weight(2, 1, 2), 0])
 
 
-def test_lm(docs, rows, none, twice):
-    got = lm_suffix_tree.lm_scores(docs, remainder(F.col("doc_id"), 7) == 2, common=20).collect()
-    train = [tokens(r.text) + [""] for i, r in rows.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+def plain_tree(train, depth, least, divergence):
+    """log10 probability of a text by the same tree, worked out from dictionaries of counts."""
+    lines = lambda t: [0xFE] * depth + list((t or "").encode().lower()) + [0xFF]
+    after = defaultdict(Counter)
+    for t in train:
+        line = lines(t)
+        for i in range(depth, len(line)):
+            for k in range(depth + 1):
+                after[tuple(line[i - k : i])][line[i]] += 1
+    states = {()}
+    for context, of in after.items():
+        if context and (total := sum(of.values())) >= least:
+            rest, all_rest = after[context[1:]], sum(after[context[1:]].values())
+            if sum(n * math.log(n * all_rest / (rest[s] * total)) for s, n in of.items()) >= divergence * (1 + len(of)):
+                states.add(context)
+
+    def p(context, symbol):
+        while context not in states:
+            context = context[1:]
+        of, above = after[context], p(context[1:], symbol) if context else 1 / 256
+        weight = lm_suffix_tree.STRENGTH * len(of)
+        return (of[symbol] + weight * above) / (sum(of.values()) + weight) if of else above
+
+    return states, p, lambda t: sum(math.log10(p(tuple((line := lines(t))[i - depth : i]), line[i])) for i in range(depth, len(lines(t))))
+
+
+@pytest.mark.parametrize("depth", [5, 2])
+def test_lm(docs, rows, none, twice, depth, monkeypatch):
+    monkeypatch.setattr(lm_suffix_tree, "BATCH", 4_000)
+    monkeypatch.setattr(lm_suffix_tree, "PART", 1_500)
+    monkeypatch.setattr(lm_suffix_tree, "HELD", 2_000)
+    got = lm_suffix_tree.lm_scores(docs, remainder(F.col("doc_id"), 7) == 2, depth=depth).collect()
+    learned = [r.text for i, r in rows.items() if zlib.crc32(str(i).encode()) % 7 != 2]
+    train = [tokens(t) + [""] for t in learned]
     counts = Counter(w for t in train for w in t)
     n, v = sum(counts.values()), len(counts)
+    states, p, score = plain_tree(learned, depth, 4, 2.0)
+    assert len({len(c) for c in states}) == depth + 1
+    for context in states:
+        assert sum(p(context, s) for s in range(256)) == pytest.approx(1)
+    assert len(got) == len(rows)
     for r in got:
         own = tokens(rows[r.doc_id].text) + [""]
-        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n) and r.score < 0
+        assert (r.n_tokens, r.n_known, r.train_tokens) == (len(own), sum(counts[w] > 0 for w in own), n)
         assert r.base_score == pytest.approx(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in own))
-    assert lm_suffix_tree.lm_scores(none, F.lit(False)).count() == 0
-    assert lm_suffix_tree.lm_scores(docs, F.lit(True)).where("n_known > 0").count() == 0
-    assert lm_suffix_tree.lm_scores(twice, F.lit(False)).count() == twice.count()
+        assert r.score == pytest.approx(score(rows[r.doc_id].text))
 
 
-def test_scorer_is_a_distribution():
-    tree = {"": ({"a": 3, "b": 1, " ": 2, "\n": 1}, 7), "a": ({"b": 2, " ": 1}, 3), " ": ({"a": 2, "\n": 1}, 3)}
-    s = lm_suffix_tree.Scorer(tree, {})
-    for context in ("", "a", "xa", " "):
-        seen = "ab \n"
-        known = sum(10 ** s.symbol(s.state(context), c) for c in seen)
-        unseen = 10 ** s.symbol(s.state(context), "z") * (lm_suffix_tree.CODE_POINTS - len(seen))
-        assert known + unseen == pytest.approx(1)
+def test_lm_without_rows_or_training(docs, none, twice):
+    assert lm_suffix_tree.lm_scores(none, F.lit(False)).count() == 0
+    untrained = lm_suffix_tree.lm_scores(docs, F.lit(True)).collect()
+    assert not any(r.n_known for r in untrained) and all(math.isclose(r.score, (len((t or "").encode()) + 1) * math.log10(1 / 256)) for r, t in [(r, {x.doc_id: x.text for x in docs.collect()}[r.doc_id]) for r in untrained])
+    assert lm_suffix_tree.lm_scores(twice, F.lit(False)).count() == twice.count()
 
 
 def test_token_counts(spark, docs, rows, none, twice, tmp_path):
