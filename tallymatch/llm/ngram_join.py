@@ -26,6 +26,9 @@ MOST_MATCHES, TOKEN_COST = 4, 0.02
 HOT, ALONE = 1 << 13, -1
 #: In a run longer than LONG, each member is also paired with so many before it.
 LONG, BEFORE = 16, 12
+#: Square of an open run's length for each of its members above which centres are tried first, how many times at most, and
+#: how often open runs are narrowed in a row.
+MANY, CENTRES, NARROWINGS = 8, 4, 3
 
 
 class Shingles:
@@ -332,15 +335,80 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots after more links (a, b): only the components that these connect are worked on."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
+    joined = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+    onto = components(joined).select(F.col("node").alias("root"), F.col("root").alias("onto"))
+    old = roots.join(onto, "root", "left").select("node", F.coalesce("onto", "root").alias("root"))
+    new = onto.select(F.col("root").alias("node"), F.col("onto").alias("root")).join(roots, "node", "left_anti")
+    return kept(old.unionAll(new), "roots")
+
+
+def size_bands(rows: DataFrame, percent: int) -> DataFrame:
+    """rows with band and home: each in its own band of sizes (home) and in the next larger one, where smaller sizes are met.
+
+    Sizes that can reach the similarity are at most a factor of 100 / percent apart, a little less than a band is wide.
+    """
+    own = F.floor(F.log("size") / (math.log(100 / percent) + 1e-6)).cast("int")
+    bands = F.array(F.struct(own.alias("band"), F.lit(True).alias("home")), F.struct((own + 1).alias("band"), F.lit(False).alias("home")))
+    return rows.withColumn("_b", F.explode(bands)).select("*", "_b.band", "_b.home").drop("_b")
+
+
+def open_rows(known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
+    """Members (token, band, home, node, size, matches, root, open) of runs that span components, in their bands of sizes,
+    without those that share too few open tokens with anyone to reach the similarity.
+
+    open counts a member's tokens that one of another component has in its bands: no partner can share more of its prefix.
+    The least that any partner of the sizes there would need follows from enough(), which falls in one part with the
+    partner's size and rises in the other. Members that go leave other runs narrower, so this is done a few times over.
+    """
+    rows = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    spans = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
+    rows = size_bands(rows.join(spans, "token"), percent)
+    for _ in range(NARROWINGS):
+        runs = rows.groupBy("token", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("home").alias("met"), F.min("size").alias("least"), F.max("size").alias("most"), F.min("matches").alias("fewest")).where("low != high and met").drop("low", "high", "met")
+        rows = rows.select("token", "band", "home", "node", "size", "matches", "root").join(runs, ["token", "band"])
+        partners = rows.groupBy("node").agg(F.first("size").alias("n"), F.first("matches").alias("m"), F.countDistinct("token").alias("open"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("fewest").alias("fewest"))
+        least = F.greatest("least", F.ceil(F.col("n") * percent / 100))
+        most = F.least("most", F.floor(F.col("n") * 100 / percent))
+        overlap = lambda other: F.ceil(percent * (F.col("n") + other) / (100 + percent))
+        own = overlap(least) - F.ceil(percent * F.col("n") / 100) + F.col("m")
+        theirs = F.floor(percent * (F.col("n") + most) / (100 + percent) - percent * most / 100 - 1e-9) + F.col("fewest")
+        stay = partners.where((least <= most) & (F.col("open") >= F.greatest(F.least("m", "fewest"), F.least(own, theirs)))).select("node", "open")
+        rows = kept(rows.drop("least", "most", "fewest").join(stay, "node"), "open")
+    return rows
+
+
+def near_sizes(percent: int) -> Column:
+    return (100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a"))
+
+
+def centre_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Each member of an open run beside the one with most open tokens, where that is of another component."""
+    side = lambda c: [F.col(x).alias(f"{x}_{c}") for x in ("size", "matches", "root")]
+    best = rows.groupBy("token", "band").agg(F.max(F.struct("open", "node", "size", "matches", "root", "home")).alias("x")).select("token", "band", F.col("x.node").alias("a"), *(F.col(f"x.{c}").alias(f"{c}_a") for c in ("size", "matches", "root")), F.col("x.home").alias("home_a"))
+    pairs = rows.select("token", "band", "home", F.col("node").alias("b"), *side("b")).join(best, ["token", "band"])
+    return pairs.where((F.col("root_a") != F.col("root_b")) & (F.col("home") | F.col("home_a")) & near_sizes(percent))
+
+
+def all_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """All pairs of members that open runs have between components, once for each token that they share."""
+    sides = [rows.select("token", "band", F.col("home").alias(f"home_{c}"), F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in ("size", "matches", "root"))) for c in "ab"]
+    return sides[0].join(sides[1], ["token", "band"]).where((F.col("root_a") < F.col("root_b")) & (F.col("home_a") | F.col("home_b")) & near_sizes(percent))
+
+
 def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 75) -> DataFrame:
     """Per row of df: id, n_shingles and component_id, the least id reachable by links of that similarity.
 
     Sets alike are one node, so copies cost nothing more. A node's prefix meets others in runs of equal tokens. First members
-    of a run are held against its centres and, in long runs, against those before them, and what links forms components; then, of every run that still
-    spans components, all pairs that two of them have between them and that share enough tokens are verified. So no link
-    that could change a component is left out, and pairs within one are not formed. Sets of shingles are compared as
-    64-bit hashes. Texts without a word link with nothing and keep their own id; null ids count only where a component
-    has no other; rows with one id and different texts stay apart unless linked.
+    of a run are held against its centres and, in long runs, against those before them, and what links forms components.
+    Of the runs that still span components, members that share too little with anyone are put aside; while the rest would
+    make many pairs, each is held against the run's most connected member, as long as that links any; then all pairs that two
+    components have between them and that share enough tokens are verified. So no link that could change a component is
+    left out, and pairs within one are not formed. Sets of shingles are compared as 64-bit hashes. Texts without a word
+    link with nothing and keep their own id; null ids count only where a component has no other; rows with one id and
+    different texts stay apart unless linked.
     """
     kind = df.schema[id_col].dataType.simpleString()
     texts = _texts(df, id_col, text_col)
@@ -353,7 +421,6 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     met = kept(runs(tokens_of(nodes, crowds(nodes.select("tokens"), counts)), percent), "runs")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        pairs = kept(pairs, "pairs")
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "sig"), "node")
         return kept(links(pairs, kept(sets_of(texts, wanted, n), "sets"), percent), "links")
 
@@ -363,17 +430,27 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     starred = met.where("node != other").select(F.col("other").alias("a"), F.col("node").alias("b"), F.col("other_size").alias("size_a"), F.col("other_matches").alias("matches_a"), F.col("size").alias("size_b"), F.col("matches").alias("matches_b"))
-    tried = kept(plausible(starred), "tried")
-    first = verified(tried)
-    roots = components(first)
-    known = kept(met.where("member").join(roots, "node", "left").select("token", "node", "size", "matches", F.coalesce("root", "node").alias("root")), "rooted")
-    open_runs = known.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-    rest = known.join(open_runs, "token")
-    sides = [rest.select("token", *(F.col(c).alias(f"{c}_{side}") for c in ("node", "size", "matches", "root"))) for side in "ab"]
-    near = (F.col("root_a") < F.col("root_b")) & (100 * F.col("size_a") >= percent * F.col("size_b")) & (100 * F.col("size_b") >= percent * F.col("size_a"))
-    across = plausible(sides[0].join(sides[1], "token").where(near).withColumnsRenamed({"node_a": "a", "node_b": "b"}))
-    linked = components(first.unionAll(verified(ordered(across).join(ordered(tried), ["a", "b"], "left_anti"))))
-    named = nodes.select("node", "sig", "least_id").join(linked, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    tried = kept(ordered(plausible(starred)), "tried")
+    roots = components(verified(tried))
+    known = kept(met.where("member").select("token", "node", "size", "matches"), "known")
+    untried = lambda pairs: kept(ordered(plausible(pairs)).join(tried, ["a", "b"], "left_anti"), "tried")
+    for turn in range(CENTRES + 1):
+        rows = open_rows(known, roots, percent)
+        sums = rows.groupBy("token", "band").agg(F.count("*").alias("n")).agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("pairs")).first()
+        if not sums.members:
+            break
+        whole = turn == CENTRES or sums.pairs <= MANY * sums.members
+        pairs = untried((all_pairs if whole else centre_pairs)(rows, percent))
+        found = verified(pairs)
+        if not whole and found.isEmpty():  # no centre links any more
+            whole, pairs = True, untried(all_pairs(rows, percent))
+            found = verified(pairs)
+        if not found.isEmpty():
+            roots = merged(roots, found)
+        if whole:
+            break
+        known, tried = rows.select("token", "node", "size", "matches").distinct(), tried.unionAll(pairs)
+    named = nodes.select("node", "sig", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = named.join(least, "root").select("sig", "component_id")
     out = members.join(classes, "sig", "left")

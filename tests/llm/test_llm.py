@@ -276,6 +276,42 @@ def test_ngram_join(docs, rows, none, twice):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def linked(sets):
+    """The least id of each id's component, by all pairs."""
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize("many", [0, 10**9])
+def test_ngram_join_of_many_near_copies(spark, monkeypatch, many):
+    """Copies of one text with 0 to 6 words changed, most of which don't link with each other, and shorter cuts of it."""
+    monkeypatch.setattr(ngram_join, "MANY", many)
+    rng = random.Random(11)
+    base = [f"b{rng.randint(0, 400)}" for _ in range(150)]
+    made = []
+    for i in range(90):
+        own = list(base)
+        for _ in range(i % 7):
+            own[rng.randrange(len(own))] = f"x{rng.randint(0, 30) if i % 3 else i}"
+        made.append(" ".join(own[: rng.choice((150, 150, 150, 118, 113, 90))]))
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string").repartition(3)
+    shingles = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in enumerate(made)}
+    want = linked(shingles)
+    got = {r.doc_id: r.component_id for r in ngram_join.jaccard_components(df).collect()}
+    assert got == want and 5 < len(set(want.values())) < 80
+
+
 def test_ngram_prefix_loses_no_pair():
     rng = np.random.default_rng(3)
     counts = rng.integers(0, 50, ngram_join.COUNTERS).astype(np.uint32)
