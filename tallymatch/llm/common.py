@@ -35,7 +35,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df written as a Parquet table in the shared folder and read again: cut lineage that outlives an executor."""
     spark, path = df.sparkSession, new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -22,7 +22,7 @@ SYMBOLS = 256
 #: The weight of the shorter context for each kind of symbol that a context was seen with.
 STRENGTH = 4
 #: Bytes of texts that are sorted at once, and that share one table of values; entries that a worker holds before it sums them.
-PART, BATCH, HELD = 1 << 21, 1 << 26, 3_000_000
+PART, BATCH, HELD = 1 << 20, 48 << 20, 1_500_000
 #: What marks the key of a word, its hash otherwise; keys of symbols are below.
 WORD_KEY = np.uint64(1 << 63)
 
@@ -60,15 +60,13 @@ def read_batches(rows: DataFrame, depth: int) -> DataFrame:
     texts alone, and one row (batch, n, docs) with the number of those and the rows themselves, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        docs, size, training, number = [], 0, 0, TaskContext.get().partitionId() << 32
         schema = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in READ.split(", ")])
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        sink = stream = None
+        size, waiting, training, number = 0, 0, 0, TaskContext.get().partitionId() << 32
 
         def out() -> Iterator[pa.RecordBatch]:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, docs[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as stream:
-                for d in docs:
-                    stream.write_batch(d)
+            stream.close()
             yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), pa.array([training], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=schema)
             for keys, n in _summed(parts):
                 for i in range(0, len(keys), 1 << 17):
@@ -76,7 +74,10 @@ def read_batches(rows: DataFrame, depth: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(some), pa.array(n[i : i + len(some)]), pa.nulls(len(some), pa.binary())], schema=schema)
 
         for batch in slices(batches, 2, size=PART):
-            docs.append(batch)
+            if stream is None:
+                sink = pa.BufferOutputStream()
+                stream = pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+            stream.write_batch(batch)
             held = batch.column(1).to_pylist()
             texts = [t.lower() for t in batch.column(2).to_pylist()]
             for train in (True, False):
@@ -84,14 +85,15 @@ def read_batches(rows: DataFrame, depth: int) -> DataFrame:
                 if some:
                     for keys, n in (np.unique(of(some), return_counts=True) for of in (lambda t: symbol_keys(t, depth)[0], lambda t: word_keys(t)[0])):
                         parts.append((keys, n if train else np.zeros(len(keys), np.int64)))
+                        waiting += len(keys)
                 training += len(some) * train
             size += sum(map(len, texts))
-            if sum(len(k) for k, _ in parts) > HELD:
-                parts = _summed(parts)
+            if waiting > HELD:
+                parts, waiting = _summed(parts), 0
             if size >= BATCH:
                 yield from out()
-                parts, docs, size, training, number = [], [], 0, 0, number + 1
-        if docs:
+                parts, sink, stream, size, waiting, training, number = [], None, None, 0, 0, 0, number + 1
+        if stream is not None:
             yield from out()
 
     return rows.mapInArrow(run, READ)
@@ -168,6 +170,8 @@ def lm_scores(df: DataFrame, held_out: Column, id_col: str = "doc_id", text_col:
         raise ValueError(f"depth must be from 1 to {DEPTH}")
     kind = df.schema[id_col].dataType.simpleString()
     rows = df.select(F.col(id_col).alias("id"), held_out.alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.coalesce(max(-(-size // BATCH), df.sparkSession.sparkContext.defaultParallelism))  # small files share a batch
     read = kept(read_batches(rows, depth), "lm-read")
     found, docs = read.where("key is not null").select("batch", "key", "n"), read.where("docs is not null").select("batch", "n", "docs")
     counts = kept(found.groupBy("key").agg(F.sum("n").alias("n")), "lm-counts")
