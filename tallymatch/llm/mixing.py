@@ -9,11 +9,13 @@ from .common import SPACE, kept, words
 
 #: No source gives more than so many times its words.
 MOST = 3
+#: Shards that a source has at most.
+SHARDS = 1 << 16
 SEED = "mix-1"
 
 
 def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
-    """(source, source_size) with weight and target added.
+    """(source, source_size) with nth, its place in the order of sources, weight and target added.
 
     Sources by code point, null last, weigh 1, 2, 3, repeating. Targets share all words by weight; one that would exceed
     most times its source stops there, and what it leaves is shared among the rest again. In order of most * size /
@@ -23,12 +25,32 @@ def targets(sources: DataFrame, most: int = MOST) -> DataFrame:
     by_code = Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
     by_limit = Window.partitionBy(F.lit(0)).orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     before = lambda c: F.coalesce(F.sum(c).over(by_limit), F.lit(0))
-    out = sources.withColumns({"weight": (F.row_number().over(by_code) - 1) % 3 + 1, "cap": most * F.col("source_size"), "whole": F.sum("source_size").over(everything)})
+    out = sources.withColumns({"nth": F.row_number().over(by_code), "weight": (F.row_number().over(by_code) - 1) % 3 + 1, "cap": most * F.col("source_size"), "whole": F.sum("source_size").over(everything)})
     share = (F.col("whole") - before("cap")) / (F.sum("weight").over(everything) - before("weight"))
     out = out.withColumn("stops", F.col("cap") <= F.col("weight") * share)
     left = lambda c, where: F.coalesce(F.sum(F.when(where, F.col(c))).over(everything), F.lit(0))
     level = (F.col("whole") - left("cap", F.col("stops"))) / left("weight", ~F.col("stops"))
-    return out.select("source", "source_size", "weight", F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(F.col("weight") * level).alias("target"))
+    return out.select("source", "source_size", "nth", "weight", F.when(F.col("stops"), F.col("cap").cast("double")).otherwise(F.col("weight") * level).alias("target"))
+
+
+def apportion(parties: DataFrame, by: list[str], party: str, votes: str, house: str, most: str) -> DataFrame:
+    """parties (one row for each value of party within by) with seats: Sainte-Lague's apportionment of house seats.
+
+    Seats go one by one to the highest quotients votes / (2k - 1), k being the seat that a party would get; equal quotients
+    to the lesser party first; no party gets more than most. All seats that a divisor of sum(votes) / (house - n / 2) gives
+    by rounding are among the highest of n parties, and one of sum(votes) / (house + n / 2) gives house seats or more; so
+    only the few quotients of each party between these two are ranked.
+    """
+    of = Window.partitionBy(*(F.col(c) for c in by)) if by else Window.partitionBy(F.lit(0))
+    rounded = lambda h: F.floor(F.col(votes) * h / F.greatest("_all", F.lit(1)) + 0.5)
+    out = parties.withColumns({"_n": F.count("*").over(of), "_all": F.sum(votes).over(of)})
+    out = out.withColumns({"_base": F.least(most, F.greatest(F.lit(0), rounded(F.col(house) - F.col("_n") / 2) - 1)), "_top": F.least(most, rounded(F.col(house) + F.col("_n") / 2) + 1)})
+    out = out.withColumn("_left", F.col(house) - F.sum("_base").over(of))
+    out = out.withColumn("_k", F.explode(F.sequence("_base", F.greatest("_base", "_top"))))
+    asked = F.col("_k") > F.col("_base")
+    place = F.row_number().over(of.orderBy(F.desc(asked), F.desc(F.col(votes) / (2 * F.greatest("_k", F.lit(1)) - 1)), party, "_k"))
+    won = F.sum((asked & (F.col("_place") <= F.col("_left"))).cast("long"))
+    return out.withColumn("_place", place).groupBy(*by, party).agg(*(F.first(c).alias(c) for c in parties.columns if c not in (*by, party)), (F.first("_base") + won).alias("seats"))
 
 
 def _hash(*parts: Column) -> Column:
@@ -42,27 +64,29 @@ def _number(digest: Column, n: Column) -> Column:
 def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", block_words: int = 32, shard_words: int = 262_144, key_col: str | None = None) -> DataFrame:
     """Per row of df: id, source, size, source_size, target, taken, and where its words lie: at, repeats, extra, n_blocks, first.
 
-    Each source is cut into shards by a hash of the ids, and each shard, in seeded order, into blocks of block_words. A
-    shard's votes are its share of the target; it has a seat for each quotient votes / (2k - 1) of block_words / 2 or more,
-    that is the nearest whole number of blocks (Sainte-Lague with that divisor, a half going up). Seats are dealt as whole
-    rounds over the shard's blocks (repeats), then one more for extra blocks evenly spaced from a seeded first one. So
-    taken follows from a row's place alone, and no block or row is taken more than MOST times. Reruns agree.
-    A null text has no words and takes none; a null id orders as an empty one; rows alike in id share a shard and are
-    ordered by size; equal ones then have equal parts, whichever comes first. key_col, which tells rows apart where ids
-    may not, comes last in that order and is handed on.
+    The mix has as many blocks of block_words as all words fill, and these are the seats of two apportionments: sources
+    get theirs by their targets, and each source's shards by their words, MOST for each of their blocks at most. A hash of
+    id and text deals a source's rows to shards, and seeded order lays a shard's words out as blocks. A shard's seats are
+    whole rounds over its blocks (repeats), then one more for extra blocks evenly spaced from a seeded first one. So taken
+    follows from a row's place alone, and no block or row is taken more than MOST times. Reruns agree.
+    A null text has no words and takes none; a null id orders as an empty one; rows alike in id and text share a shard;
+    equal ones have equal parts, whichever comes first. key_col, which tells rows apart where ids may not, comes last in
+    that order and is handed on.
     """
     key = [key_col] if key_col else []
-    rows = kept(df.select(*key, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size")), "sizes")
-    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumnRenamed("source", "of")
-    placed = rows.join(sources, rows["source"].eqNullSafe(sources["of"])).drop("of", "weight")
-    digest = _hash(F.col("id"))
-    placed = placed.withColumn("digest", digest).withColumn("shard", _number(F.col("digest"), F.ceil(F.col("source_size") / shard_words) + (F.col("source_size") == 0).cast("int")))
-    shard = Window.partitionBy("source", "shard")
-    order = shard.orderBy("digest", "id", "size", *key)
-    placed = placed.withColumns({"at": F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"), "shard_size": F.sum("size").over(shard)})
+    digest = _hash(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
+    rows = kept(df.select(*key, F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), F.size(words(F.col(text_col))).cast("long").alias("size"), digest.alias("digest")), "sizes")
+    sources = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"))).withColumns({"house": F.floor(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / block_words + 0.5), "most": MOST * F.ceil(F.col("source_size") / block_words)})
+    sources = apportion(sources, [], "nth", "target", "house", "most").select(F.col("source").alias("of"), "nth", "source_size", "target", F.col("seats").alias("source_seats"))
+    placed = rows.join(sources, rows["source"].eqNullSafe(sources["of"])).drop("of")
+    shards = F.greatest(F.least(F.ceil(F.col("source_size") / shard_words), F.lit(SHARDS)), F.lit(1))
+    placed = placed.withColumn("shard", _number(F.col("digest"), shards))
     n_blocks = F.ceil(F.col("shard_size") / block_words)
-    seats = F.least(MOST * n_blocks, F.floor(F.col("target") * F.col("shard_size") / F.greatest(F.col("source_size"), F.lit(1)) / block_words + 0.5))
-    placed = placed.withColumns({"n_blocks": F.greatest(n_blocks, F.lit(1)), "seats": seats}).withColumns({"repeats": F.floor(F.col("seats") / F.col("n_blocks")), "extra": F.col("seats") % F.col("n_blocks"), "first": _number(_hash(F.coalesce("source", F.lit("\0")), F.col("shard")), F.col("n_blocks"))})
+    sums = placed.groupBy("nth", "shard").agg(F.first("source_seats").alias("source_seats"), F.sum("size").alias("shard_size")).withColumn("most", MOST * n_blocks)
+    seats = apportion(sums, ["nth"], "shard", "shard_size", "source_seats", "most").select("nth", "shard", F.greatest(n_blocks, F.lit(1)).alias("n_blocks"), "seats")
+    order = Window.partitionBy("nth", "shard").orderBy("digest", "id", "size", *key)
+    placed = placed.drop("source_seats").join(seats, ["nth", "shard"]).withColumn("at", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    placed = placed.withColumns({"repeats": F.floor(F.col("seats") / F.col("n_blocks")), "extra": F.col("seats") % F.col("n_blocks"), "first": _number(_hash(F.coalesce("source", F.lit("\0")), F.col("shard")), F.col("n_blocks"))})
     upto = lambda x: block_words * _chosen(F.floor(x / block_words)) + x % block_words * is_extra(F.floor(x / block_words))
     taken = F.col("repeats") * F.col("size") + upto(F.col("at") + F.col("size")) - upto(F.col("at"))
     return placed.select(*key, F.col("id").alias(id_col), F.col("source").alias(source_col), "size", "source_size", "target", taken.cast("long").alias("taken"), "at", "repeats", "extra", "n_blocks", "first")

@@ -28,7 +28,7 @@ HOT, ALONE = 1 << 13, -1
 LONG, BEFORE = 16, 12
 #: Square of an open run's length for each of its members above which centres are tried first, how many times at most, and
 #: how often open runs are narrowed in a row.
-MANY, CENTRES, NARROWINGS = 8, 4, 3
+MANY, CENTRES, NARROWINGS = 8, 4, 2
 
 
 class Shingles:
@@ -66,17 +66,17 @@ class Counters:
     """Occurrences of hashes by their low bits; what a task has counted goes on as blocks of numbers."""
 
     def __init__(self) -> None:
-        self.counts, self.waiting, self.size = np.zeros(COUNTERS, np.int64), [], 0
+        self.counts, self.waiting, self.size = np.zeros(COUNTERS, np.uint32), [], 0
 
     def add(self, hashes: np.ndarray) -> None:
         self.waiting.append(hashes)
         self.size += len(hashes)
-        if self.size >= COUNTERS:
+        if self.size >= COUNTERS // 4:
             self.flush()
 
     def flush(self) -> None:
         if self.waiting:
-            self.counts += np.bincount((np.concatenate(self.waiting) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+            self.counts += np.bincount((np.concatenate(self.waiting) & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
             self.waiting, self.size = [], 0
 
     def blocks(self) -> Iterator[tuple[int, bytes]]:
@@ -356,24 +356,22 @@ def size_bands(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def open_rows(known: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
-    """Members (token, band, home, node, size, matches, root, open) of runs that span components, in their bands of sizes,
-    without those that share too few open tokens with anyone to reach the similarity.
+    """Members (token, node, size, matches, root, open) of runs that span components, without those that share too few
+    open tokens with anyone to reach the similarity.
 
-    open counts a member's tokens that one of another component has in its bands: no partner can share more of its prefix.
-    The least that any partner of the sizes there would need follows from enough(), which falls in one part with the
-    partner's size and rises in the other. Members that go leave other runs narrower, so this is done a few times over.
+    open counts a member's tokens that one of another component has too: no partner can share more of its prefix. The
+    least that any partner of the sizes there would need follows from enough(), which falls in one part with the
+    partner's size and rises in the other. Members that go leave other runs narrower, so this is done again.
     """
     rows = known.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    spans = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low != high").select("token")
-    rows = size_bands(rows.join(spans, "token"), percent)
     for _ in range(NARROWINGS):
-        runs = rows.groupBy("token", "band").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("home").alias("met"), F.min("size").alias("least"), F.max("size").alias("most"), F.min("matches").alias("fewest")).where("low != high and met").drop("low", "high", "met")
-        rows = rows.select("token", "band", "home", "node", "size", "matches", "root").join(runs, ["token", "band"])
-        partners = rows.groupBy("node").agg(F.first("size").alias("n"), F.first("matches").alias("m"), F.countDistinct("token").alias("open"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("fewest").alias("fewest"))
+        runs = rows.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("size").alias("least"), F.max("size").alias("most"), F.min("matches").alias("fewest")).where("low != high").drop("low", "high")
+        rows = rows.select("token", "node", "size", "matches", "root").join(runs, "token")
+        partners = rows.groupBy("node").agg(F.first("size").alias("n"), F.first("matches").alias("m"), F.count("*").alias("open"), F.min("least").alias("least"), F.max("most").alias("most"), F.min("fewest").alias("fewest"))
         least = F.greatest("least", F.ceil(F.col("n") * percent / 100))
         most = F.least("most", F.floor(F.col("n") * 100 / percent))
-        overlap = lambda other: F.ceil(percent * (F.col("n") + other) / (100 + percent))
-        own = overlap(least) - F.ceil(percent * F.col("n") / 100) + F.col("m")
+        overlap = F.ceil(percent * (F.col("n") + least) / (100 + percent))
+        own = overlap - F.ceil(percent * F.col("n") / 100) + F.col("m")
         theirs = F.floor(percent * (F.col("n") + most) / (100 + percent) - percent * most / 100 - 1e-9) + F.col("fewest")
         stay = partners.where((least <= most) & (F.col("open") >= F.greatest(F.least("m", "fewest"), F.least(own, theirs)))).select("node", "open")
         rows = kept(rows.drop("least", "most", "fewest").join(stay, "node"), "open")
@@ -420,9 +418,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = kept(distinct.join(sized, "sig").withColumn("node", F.monotonically_increasing_id()), "nodes")
     met = kept(runs(tokens_of(nodes, crowds(nodes.select("tokens"), counts)), percent), "runs")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "sig"), "node")
-        return kept(links(pairs, kept(sets_of(texts, wanted, n), "sets"), percent), "links")
+    def sets(of: DataFrame) -> DataFrame:
+        return kept(sets_of(texts, of.join(nodes.select("node", "sig"), "node"), n), "sets")
+
+    def verified(pairs: DataFrame, among: DataFrame) -> DataFrame:
+        return kept(links(pairs, among, percent), "links")
 
     def plausible(pairs: DataFrame) -> DataFrame:
         counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("size_a", "matches_a", "size_b", "matches_b")))
@@ -431,25 +431,28 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     starred = met.where("node != other").select(F.col("other").alias("a"), F.col("node").alias("b"), F.col("other_size").alias("size_a"), F.col("other_matches").alias("matches_a"), F.col("size").alias("size_b"), F.col("matches").alias("matches_b"))
     tried = kept(ordered(plausible(starred)), "tried")
-    roots = components(verified(tried))
+    roots = components(verified(tried, sets(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
     known = kept(met.where("member").select("token", "node", "size", "matches"), "known")
     untried = lambda pairs: kept(ordered(plausible(pairs)).join(tried, ["a", "b"], "left_anti"), "tried")
+    among = None
     for turn in range(CENTRES + 1):
         rows = open_rows(known, roots, percent)
-        sums = rows.groupBy("token", "band").agg(F.count("*").alias("n")).agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("pairs")).first()
+        bands = size_bands(rows, percent)
+        sums = bands.groupBy("token", "band").agg(F.count("*").alias("n")).agg(F.sum("n").alias("members"), F.sum(F.col("n") * F.col("n")).alias("pairs")).first()
         if not sums.members:
             break
         whole = turn == CENTRES or sums.pairs <= MANY * sums.members
-        pairs = untried((all_pairs if whole else centre_pairs)(rows, percent))
-        found = verified(pairs)
+        pairs = untried((all_pairs if whole else centre_pairs)(bands, percent))
+        among = among or sets(rows.select("node").distinct())
+        found = verified(pairs, among)
         if not whole and found.isEmpty():  # no centre links any more
-            whole, pairs = True, untried(all_pairs(rows, percent))
-            found = verified(pairs)
+            whole, pairs = True, untried(all_pairs(bands, percent))
+            found = verified(pairs, among)
         if not found.isEmpty():
             roots = merged(roots, found)
         if whole:
             break
-        known, tried = rows.select("token", "node", "size", "matches").distinct(), tried.unionAll(pairs)
+        known, tried = rows.select("token", "node", "size", "matches"), tried.unionAll(pairs)
     named = nodes.select("node", "sig", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = named.join(least, "root").select("sig", "component_id")

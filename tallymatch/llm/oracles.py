@@ -13,19 +13,30 @@ def _number(text: str, n: str) -> str:
     return f"CAST(concat('0x', substr(md5({text}), 1, 8)) AS BIGINT) % ({n})"
 
 
+def _apportioned(name: str, parties: str, by: str, party: str, votes: str, house: str) -> str:
+    """Tables that end in name: parties with seats, by the rank of each party's quotients."""
+    of, rounded = f"PARTITION BY {by}", lambda h: f"CAST(floor({votes} * ({h}) / greatest(every, 1) + 0.5) AS BIGINT)"
+    return f"""{name}_n AS (SELECT *, count(*) OVER ({of}) AS n, sum({votes}) OVER ({of}) AS every FROM {parties}),
+{name}_asks AS (SELECT *, unnest(range(1, 1 + least(most, {rounded(f"{house} + n / 2")} + 1))) AS k FROM {name}_n),
+{name}_seats AS (SELECT {by}, {party}, count(*) AS seats FROM (SELECT *, row_number() OVER ({of} ORDER BY {votes} / (2 * k - 1) DESC, {party}, k) AS place FROM {name}_asks) WHERE place <= {house} GROUP BY {by}, {party}),
+{name} AS (SELECT p.*, coalesce(s.seats, 0) AS seats FROM {parties} p LEFT JOIN {name}_seats s ON s.{by} = p.{by} AND s.{party} = p.{party})"""
+
+
 MIXING = f"""
-WITH rows AS (SELECT doc_id, source, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
+WITH rows AS (SELECT doc_id, source, md5(coalesce(text, '')) AS content, CAST(len({_WORDS}) AS BIGINT) AS size FROM documents),
 sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM rows GROUP BY source),
-weighed AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS whole FROM sources),
+weighed AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS nth, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS weight, 3 * source_size AS cap, sum(source_size) OVER () AS whole FROM sources),
 ordered AS (SELECT *, coalesce(sum(cap) OVER w, 0) AS caps, coalesce(sum(weight) OVER w, 0) AS weights, sum(weight) OVER () AS all_weights FROM weighed WINDOW w AS (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 stopped AS (SELECT *, cap <= weight * ((whole - caps) / (all_weights - weights)) AS stops FROM ordered),
 level AS (SELECT (any_value(whole) - coalesce(sum(cap) FILTER (stops), 0)) / sum(weight) FILTER (NOT stops) AS level FROM stopped),
-targets AS (SELECT source, source_size, CASE WHEN stops THEN CAST(cap AS DOUBLE) ELSE weight * level END AS target FROM stopped, level),
-dealt AS (SELECT r.*, t.source_size, t.target, md5(concat('{SEED}:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS digest FROM rows r JOIN targets t ON t.source IS NOT DISTINCT FROM r.source),
-placed AS (SELECT *, CAST(concat('0x', substr(digest, 1, 8)) AS BIGINT) % (CAST(ceil(source_size / 262144) AS BIGINT) + CASE WHEN source_size = 0 THEN 1 ELSE 0 END) AS shard FROM dealt),
-summed AS (SELECT *, sum(size) OVER (PARTITION BY source, shard ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS place, sum(size) OVER (PARTITION BY source, shard) AS shard_size FROM placed),
-seated AS (SELECT *, greatest(1, CAST(ceil(shard_size / 32) AS BIGINT)) AS n_blocks, least(3 * CAST(ceil(shard_size / 32) AS BIGINT), CAST(floor(target * shard_size / greatest(source_size, 1) / 32 + 0.5) AS BIGINT)) AS seats FROM summed),
-chosen AS (SELECT *, seats // n_blocks AS repeats, seats % n_blocks AS extra, {_number(f"concat('{SEED}:', coalesce(source, chr(0)), ':', CAST(shard AS VARCHAR))", "n_blocks")} AS start FROM seated),
+targets AS (SELECT 1 AS mix, source, nth, source_size, CASE WHEN stops THEN CAST(cap AS DOUBLE) ELSE weight * level END AS target, 3 * CAST(ceil(source_size / 32) AS BIGINT) AS most, CAST(floor(whole / 32 + 0.5) AS BIGINT) AS house FROM stopped, level),
+{_apportioned("given", "targets", "mix", "nth", "target", "house")},
+dealt AS (SELECT r.*, g.nth, g.source_size, g.target, g.seats AS source_seats, md5(concat('{SEED}:', coalesce(CAST(doc_id AS VARCHAR), ''), ':', content)) AS digest FROM rows r JOIN given g ON g.source IS NOT DISTINCT FROM r.source),
+placed AS (SELECT *, CAST(concat('0x', substr(digest, 1, 8)) AS BIGINT) % greatest(1, least(65536, CAST(ceil(source_size / 262144) AS BIGINT))) AS shard FROM dealt),
+shards AS (SELECT nth, shard, any_value(source_seats) AS source_seats, CAST(sum(size) AS BIGINT) AS shard_size, 3 * CAST(ceil(sum(size) / 32) AS BIGINT) AS most FROM placed GROUP BY nth, shard),
+{_apportioned("shared", "shards", "nth", "shard", "shard_size", "source_seats")},
+summed AS (SELECT p.*, sum(size) OVER (PARTITION BY p.nth, p.shard ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS place, s.seats, greatest(1, CAST(ceil(s.shard_size / 32) AS BIGINT)) AS n_blocks FROM placed p JOIN shared s ON s.nth = p.nth AND s.shard = p.shard),
+chosen AS (SELECT *, seats // n_blocks AS repeats, seats % n_blocks AS extra, {_number(f"concat('{SEED}:', coalesce(source, chr(0)), ':', CAST(shard AS VARCHAR))", "n_blocks")} AS start FROM summed),
 cuts AS (SELECT *, unnest([place, place + size]) AS x, unnest([-1, 1]) AS sign FROM chosen),
 blocks AS (SELECT *, unnest([x // 32, x // 32 + 1]) AS b, unnest([0, 1]) AS nth FROM cuts),
 counted AS (SELECT *, CASE WHEN b + start <= n_blocks THEN (b + start) * extra // n_blocks - start * extra // n_blocks ELSE extra - start * extra // n_blocks + (b + start - n_blocks) * extra // n_blocks END AS c FROM blocks),

@@ -235,6 +235,30 @@ def test_mixing(docs, rows, none, twice):
     assert mixing.mix(none).count() == 0 and mixing.mix(twice).count() == twice.count()
 
 
+@pytest.mark.parametrize("house", [0, 1, 7, 60, 61])
+def test_apportionment_deals_seat_by_seat(spark, house):
+    rng = random.Random(house)
+    parties = [(g, i, votes, house + g, most) for g in range(3) for i, votes in enumerate([5.0, 5.0, 1.0, 0.0, *(rng.randint(1, 60) / 4 for _ in range(9))]) for most in [rng.choice((2, 9, 10**6))]]
+    got = {(r.g, r.i): r.seats for r in mixing.apportion(spark.createDataFrame(parties, "g long, i long, votes double, house long, most long"), ["g"], "i", "votes", "house", "most").collect()}
+    for g in range(3):
+        own = {i: (v, m) for h, i, v, _, m in parties if h == g}
+        free = {i: (v, 10**6) for i, (v, _) in own.items()}
+        for limits, exact in ((free, False), (own, True)):
+            seats = dict.fromkeys(own, 0)
+            for _ in range(house + g):
+                i = min((i for i in limits if seats[i] < limits[i][1]), key=lambda i: (-limits[i][0] / (2 * seats[i] + 1), i))
+                seats[i] += 1
+            if exact and all(seats[i] < own[i][1] for i in own):
+                assert {i: got[g, i] for i in own} == seats
+        assert all(got[g, i] <= own[i][1] for i in own) and sum(got[g, i] for i in own) <= house + g
+    alike = [(0, i, v, house, 10**6) for _, i, v, _, _ in parties[:13]]
+    got = {r.i: r.seats for r in mixing.apportion(spark.createDataFrame(alike, "g long, i long, votes double, house long, most long"), ["g"], "i", "votes", "house", "most").collect()}
+    seats = dict.fromkeys(got, 0)
+    for _ in range(house):
+        seats[min(seats, key=lambda i: (-alike[i][2] / (2 * seats[i] + 1), i))] += 1
+    assert got == seats
+
+
 def test_secrets(spark, docs, rows, none, twice):
     got = {r.doc_id: r.secrets for r in secret_scan.find_secrets(docs).collect()}
     assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
