@@ -22,7 +22,7 @@ SYMBOLS = 256
 #: The weight of the shorter context for each kind of symbol that a context was seen with.
 STRENGTH = 4
 #: Bytes of texts that are sorted at once, and that share one table of values; entries that a worker holds before it sums them.
-PART, BATCH, HELD = 1 << 20, 48 << 20, 1_500_000
+PART, BATCH, HELD = 1 << 20, 48 << 20, 600_000
 #: What marks the key of a word, its hash otherwise; keys of symbols are below.
 WORD_KEY = np.uint64(1 << 63)
 
@@ -47,12 +47,26 @@ def word_keys(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.diff(ends_among(begins, texts), prepend=0)
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[np.ndarray, np.ndarray]]:
-    keys, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(keys)
-    keys = keys[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    return [(keys[first], np.add.reduceat(n[order], first))]
+class Sums:
+    """Keys of one kind and their sums over what was added, summed up whenever HELD more keys wait."""
+
+    def __init__(self) -> None:
+        self.keys, self.n, self.waiting = np.zeros(0, np.uint64), np.zeros(0, np.int32), []
+
+    def add(self, keys: np.ndarray, counted: bool) -> None:
+        keys, n = np.unique(keys, return_counts=True)
+        self.waiting.append((keys, n.astype(np.int32) * counted))
+        if sum(len(k) for k, _ in self.waiting) > HELD:
+            self.settle()
+
+    def settle(self) -> None:
+        keys, n = (np.concatenate((old, *new)) for old, new in zip((self.keys, self.n), zip(*self.waiting, strict=True), strict=False)) if self.waiting else (self.keys, self.n)
+        self.waiting, self.keys, self.n = [], None, None
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        del order
+        first = np.flatnonzero(np.concatenate((np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1])))
+        self.keys, self.n = keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
 def read_batches(rows: DataFrame, depth: int) -> DataFrame:
@@ -61,38 +75,36 @@ def read_batches(rows: DataFrame, depth: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in READ.split(", ")])
-        parts: list[tuple[np.ndarray, np.ndarray]] = []
-        sink = stream = None
-        size, waiting, training, number = 0, 0, 0, TaskContext.get().partitionId() << 32
+        sums, sink, stream, size, training, number = (Sums(), Sums()), None, None, 0, 0, TaskContext.get().partitionId() << 32
 
         def out() -> Iterator[pa.RecordBatch]:
             stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), pa.array([training], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], schema=schema)
-            for keys, n in _summed(parts):
-                for i in range(0, len(keys), 1 << 17):
-                    some = keys[i : i + (1 << 17)].view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(some), pa.array(n[i : i + len(some)]), pa.nulls(len(some), pa.binary())], schema=schema)
+            blob = sink.getvalue()
+            docs = pa.Array.from_buffers(pa.binary(), 1, [None, pa.py_buffer(np.array([0, blob.size], np.int32)), blob])
+            yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, pa.int64()), pa.array([training], pa.int64()), docs], schema=schema)
+            for kind in sums:
+                kind.settle()
+                for i in range(0, len(kind.keys), 1 << 16):
+                    some, n = kind.keys[i : i + (1 << 16)].view(np.int64), kind.n[i : i + (1 << 16)].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), number)), pa.array(some), pa.array(n), pa.nulls(len(some), pa.binary())], schema=schema)
 
         for batch in slices(batches, 2, size=PART):
             if stream is None:
                 sink = pa.BufferOutputStream()
-                stream = pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
+                stream = pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd", use_threads=False))
             stream.write_batch(batch)
             held = batch.column(1).to_pylist()
             texts = [t.lower() for t in batch.column(2).to_pylist()]
             for train in (True, False):
                 some = [t for t, h in zip(texts, held, strict=True) if (h is False) == train]
                 if some:
-                    for keys, n in (np.unique(of(some), return_counts=True) for of in (lambda t: symbol_keys(t, depth)[0], lambda t: word_keys(t)[0])):
-                        parts.append((keys, n if train else np.zeros(len(keys), np.int64)))
-                        waiting += len(keys)
+                    sums[0].add(symbol_keys(some, depth)[0], train)
+                    sums[1].add(word_keys(some)[0], train)
                 training += len(some) * train
             size += sum(map(len, texts))
-            if waiting > HELD:
-                parts, waiting = _summed(parts), 0
             if size >= BATCH:
                 yield from out()
-                parts, sink, stream, size, waiting, training, number = [], None, None, 0, 0, 0, number + 1
+                sums, sink, stream, size, training, number = (Sums(), Sums()), None, None, 0, 0, number + 1
         if stream is not None:
             yield from out()
 
