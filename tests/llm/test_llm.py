@@ -115,7 +115,7 @@ def test_packing(docs, rows, none, twice):
     path = P.path("word_bpe_49k.json")
     model, encode = Tokenizer.from_file(path), packing._encoder(path)
     for r in rows.values():
-        assert np.frombuffer(encode((r.text or "").encode()), "<u4").tolist() == model.encode(r.text or "", add_special_tokens=False).ids
+        assert np.frombuffer(encode([(r.text or "").encode()])[0], "<u4").tolist() == model.encode(r.text or "", add_special_tokens=False).ids
     for df in (docs, twice):
         got = packing.pack_documents(df, path, shard_tokens=4096).collect()
         windows = defaultdict(list)
