@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices
+
 #: Fixed values of the TIFF format: tag numbers, field types' sizes and codes, compression schemes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, STRIP_AT, PER_PIXEL, ROWS, STRIP_LEN, PLANAR, PREDICTOR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_AT, TILE_LEN = 322, 323, 324, 325
@@ -20,9 +22,14 @@ FIELD = {1: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
 SCHEMES = {1: "none", 5: "lzw", 8: "deflate", 32946: "deflate", 32773: "packbits"}
 CODES = {"none": 1, "lzw": 5, "deflate": 8, "packbits": 32773}
 CLEAR, END = 256, 257
+#: Bytes that a byte of a file can stand for in any of the schemes: 1032 in deflate, some 2,700 in LZW.
+MOST_GROWTH = 4096
 
 _RUN = re.compile(rb"(.)\1{2,127}", re.S)
 
+#: Schemes and tiles (none: strips) that tiff_from_text deals texts to.
+LAYOUTS = (("none", None), ("packbits", None), ("lzw", None), ("deflate", None), ("none", (16, 64)), ("packbits", (16, 64)), ("lzw", (16, 64)), ("deflate", (16, 64)))
+
 PAGE_SCHEMA = "page int, width long, height long, samples_per_pixel int, bits int, compression string, predictor int, samples binary, error string"
 
 
@@ -59,45 +66,47 @@ def unpackbits(data: bytes) -> bytes:
     return bytes(out)
 
 
+def _bits(codes: list[int], widths: list[int]) -> bytes:
+    """Numbers of the given widths one after another, the most significant bit first."""
+    codes, widths = np.array(codes, np.int64), np.array(widths, np.int64)
+    ends = np.cumsum(widths)
+    out = np.zeros(int(ends[-1]), np.uint8)
+    for k in range(int(widths.max())):
+        has = widths > k
+        out[ends[has] - 1 - k] = codes[has] >> k & 1
+    return np.packbits(out).tobytes()
+
+
 def lzw(data: bytes) -> bytes:
     """Most significant bit first, codes of 9 to 12 bits, widened one code early as TIFF has it."""
-    out, bits, held, width = bytearray(), 0, 0, 9
-    table = {bytes((i,)): i for i in range(256)}
-    following, prefix = 258, b""
-
-    def put(code: int) -> None:
-        nonlocal bits, held
-        bits, held = (bits << width) | code, held + width
-        while held >= 8:
-            held -= 8
-            out.append(bits >> held)
-            bits &= (1 << held) - 1
-
-    put(CLEAR)
-    for i in range(len(data)):
-        longer = prefix + data[i : i + 1]
-        if longer in table:
-            prefix = longer
+    codes, widths, table, following, width, prefix = [CLEAR], [9], {}, 258, 9, -1
+    for byte in data:
+        if prefix < 0:
+            prefix = byte
+            continue
+        key = prefix << 8 | byte
+        code = table.get(key)
+        if code is not None:
+            prefix = code
             continue
-        put(table[prefix])
-        table[longer] = following
+        codes.append(prefix)
+        widths.append(width)
+        table[key] = following
         following += 1
         if following == 4094:
-            put(CLEAR)
-            table = {bytes((j,)): j for j in range(256)}
-            following, width = 258, 9
+            codes.append(CLEAR)
+            widths.append(width)
+            table, following, width = {}, 258, 9
         elif following + 1 > (1 << width):
             width += 1
-        prefix = data[i : i + 1]
-    if prefix:
-        put(table[prefix])
+        prefix = byte
+    if prefix >= 0:
+        codes.append(prefix)
+        widths.append(width)
         following += 1
         if following + 1 > (1 << width) and width < 12:
             width += 1
-    put(END)
-    if held:
-        out.append((bits << (8 - held)) & 255)
-    return bytes(out)
+    return _bits([*codes, END], [*widths, width])
 
 
 def unlzw(data: bytes) -> bytes:
@@ -131,7 +140,13 @@ def unlzw(data: bytes) -> bytes:
 
 
 _PACK = {"none": bytes, "packbits": packbits, "lzw": lzw, "deflate": lambda data: zlib.compress(data, 6)}
-_UNPACK = {"none": bytes, "packbits": unpackbits, "lzw": unlzw, "deflate": zlib.decompress}
+
+
+def _unpack(scheme: str, data: bytes, size: int) -> bytes:
+    """The first size bytes of a strip or tile; what a file says of itself doesn't let it grow past them by much."""
+    if scheme == "deflate":
+        return zlib.decompressobj().decompress(data, size)
+    return {"none": bytes, "packbits": unpackbits, "lzw": unlzw}[scheme](data)[:size]
 
 
 def encode(samples: np.ndarray, compression: str = "deflate", predictor: int = 2, rows_per_strip: int = 256, page_rows: int = 4096, tile: tuple[int, int] | None = None) -> bytes:
@@ -190,13 +205,18 @@ def _page(data: bytes, tags: dict[int, tuple], order: str) -> dict:
     if scheme is None or bits not in (8, 16, 32) or predictor not in (1, 2) or len(set(tags.get(BITS, (bits,)))) > 1 or one(PLANAR, 1) != 1:
         raise ValueError(f"unsupported: compression {one(COMPRESSION, 1)}, {bits} bits, predictor {predictor}")
     kind = np.dtype(f"u{bits // 8}").newbyteorder(order)
-    image = np.zeros((height, width, channels), kind)
     tiled = TILE_AT in tags
+    ats, lengths = tags[TILE_AT if tiled else STRIP_AT], tags[TILE_LEN if tiled else STRIP_LEN]
+    if min(width, height, channels) < 1 or width * height * channels * kind.itemsize > MOST_GROWTH * max(1, sum(min(n, len(data)) for n in lengths)):
+        raise ValueError(f"{width} x {height} x {channels} samples can't be in {len(data)} bytes")
+    image = np.zeros((height, width, channels), kind)
     down, across = (one(TILE_HEIGHT), one(TILE_WIDTH)) if tiled else (min(one(ROWS, height), height), width)
+    if min(down, across) < 1 or -(-height // down) * -(-width // across) != len(ats):
+        raise ValueError("as many strips or tiles as the size asks for are not there")
     corners = [(y, x) for y in range(0, height, down) for x in range(0, width, across)]
-    for (y, x), at, n in zip(corners, tags[TILE_AT if tiled else STRIP_AT], tags[TILE_LEN if tiled else STRIP_LEN], strict=True):
+    for (y, x), at, n in zip(corners, ats, lengths, strict=True):
         rows = down if tiled else min(down, height - y)
-        raw = _UNPACK[scheme](data[at : at + n])[: rows * across * channels * kind.itemsize]
+        raw = _unpack(scheme, data[at : at + n], rows * across * channels * kind.itemsize)
         part = np.frombuffer(raw, kind).reshape(rows, across, channels)
         if predictor == 2:
             part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
@@ -219,7 +239,7 @@ def decode(data: bytes | None) -> Iterator[dict]:
             tags, at = _directory(data, at, order)
             yield {"page": page} | _page(data, tags, order)
             page += 1
-    except (ValueError, KeyError, TypeError, struct.error, zlib.error) as e:
+    except (ValueError, KeyError, IndexError, TypeError, OverflowError, MemoryError, struct.error, zlib.error) as e:
         yield dict.fromkeys(("width", "height", "samples_per_pixel", "bits", "compression", "predictor", "samples")) | {"page": page, "error": str(e) or type(e).__name__}
 
 
@@ -250,19 +270,19 @@ def _feature(pages: list[dict], samples: np.ndarray) -> str:
 def tiff_from_text(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 576, fill: int = 255) -> DataFrame:
     """Each text's UTF-8 bytes, filled up to whole rows of width, as one TIFF: (id, n_bytes, media).
 
-    The scheme follows the payload's checksum, so that a column holds all of them: one text in sixteen LZW, one PackBits,
-    the others deflate, all with horizontal differencing. A null text counts as empty.
+    The layout follows the payload's checksum, so that a column holds each of LAYOUTS alike often, all with horizontal
+    differencing. A null text counts as empty.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             lengths, files = [], []
             for text in batch.column(1).to_pylist():
                 n = len(text)
                 payload = text + bytes((fill,)) * (max(width, -(-n // width) * width) - n)
-                scheme = {0: "lzw", 1: "packbits"}.get(zlib.crc32(payload) % 16, "deflate")
+                scheme, tile = LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)]
                 lengths.append(n)
-                files.append(encode(np.frombuffer(payload, np.uint8).reshape(-1, width), scheme))
+                files.append(encode(np.frombuffer(payload, np.uint8).reshape(-1, width), scheme, tile=tile))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lengths, pa.int64()), pa.array(files, pa.binary())], names=["id", "n_bytes", "media"])
 
     kind = df.schema[id_col].dataType.simpleString()
@@ -273,7 +293,7 @@ def tiff_digests(df: DataFrame, id_col: str = "doc_id", media_col: str = "media"
     """One row per file of tiff_from_text, over its decoded pages together: sizes, digests and a feature string."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2):
             rows = []
             for data in batch.column(2).to_pylist():
                 pages = list(decode(data))

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -390,6 +391,56 @@ def test_tiff_round_trips():
         assert list(media_tiff.decode(broken))[-1]["error"]
 
 
+def foreign_tiff(order, bits, channels, predictor=1, width=5, height=3):
+    """A file as another program may write it: short fields, either byte order, several samples, one strip."""
+    rng = np.random.default_rng(bits + channels)
+    image = rng.integers(0, 1 << bits, (height, width, channels)).astype(f"{order}u{bits // 8}")
+    stored = image.copy()
+    if predictor == 2:
+        stored[:, 1:] = image[:, 1:] - image[:, :-1]
+    data = stored.tobytes()
+    fields = [(256, 3, [width]), (257, 3, [height]), (258, 3, [bits] * channels), (259, 3, [1]), (262, 3, [1]), (273, 4, [8]), (277, 3, [channels]), (278, 3, [height]), (279, 4, [len(data)]), (317, 3, [predictor])]
+    out = bytearray((b"II*\0" if order == "<" else b"MM\0*") + bytes(4) + data + bytes(len(data) % 2))
+    entries = b""
+    for tag, kind, values in fields:
+        packed = struct.pack(f"{order}{len(values)}{'H' if kind == 3 else 'I'}", *values)
+        if len(packed) > 4:
+            at = len(out)
+            out += packed + bytes(len(packed) % 2)
+            packed = struct.pack(f"{order}I", at)
+        entries += struct.pack(f"{order}HHI", tag, kind, len(values)) + packed.ljust(4, b"\0")
+    struct.pack_into(f"{order}I", out, 4, len(out))
+    out += struct.pack(f"{order}H", len(fields)) + entries + bytes(4)
+    return bytes(out), image
+
+
+@pytest.mark.parametrize("order", "<>")
+def test_tiff_of_others(order):
+    for bits, channels, predictor in ((8, 1, 1), (16, 1, 2), (8, 3, 2), (16, 4, 1), (32, 2, 1)):
+        data, image = foreign_tiff(order, bits, channels, predictor)
+        (page,) = media_tiff.decode(data)
+        assert page["error"] is None and (page["width"], page["height"], page["samples_per_pixel"], page["bits"]) == (5, 3, channels, bits)
+        assert (np.frombuffer(page["samples"], image.dtype).reshape(image.shape) == image).all()
+
+
+def test_tiff_broken_files_give_errors():
+    """Any byte changed or cut: a page or an error, never a crash nor memory past the file's own size by far."""
+    rng = random.Random(3)
+    whole = [foreign_tiff(o, 8, 1)[0] for o in "<>"] + [media_tiff.encode(np.arange(1152, dtype=np.uint8).reshape(2, 576), c) for c in ("lzw", "packbits", "deflate")]
+    for data in whole:
+        for _ in range(300):
+            broken = bytearray(data[: rng.choice((len(data), rng.randrange(len(data))))])
+            for _ in range(rng.randint(1, 3)):
+                if broken:
+                    broken[rng.randrange(len(broken))] = rng.choice((0, 1, 255, rng.randrange(256)))
+            for page in media_tiff.decode(bytes(broken)):
+                assert page["error"] or len(page["samples"]) <= media_tiff.MOST_GROWTH * len(data)
+    huge = bytearray(foreign_tiff("<", 8, 1)[0])
+    at = struct.unpack_from("<I", huge, 4)[0]
+    struct.pack_into("<HHII", huge, at + 2, 256, 4, 1, 0xFFFFFFFF)
+    assert list(media_tiff.decode(bytes(huge)))[-1]["error"]
+
+
 def test_tiff_columns(docs, rows, none, twice):
     for r in media_tiff.tiff_digests(media_tiff.tiff_from_text(docs)).collect():
         text = (rows[r.doc_id].text or "").encode()
