@@ -26,9 +26,11 @@ MOST_MATCHES, TOKEN_COST = 4, 0.02
 HOT, ALONE = 1 << 13, -1
 #: In a run longer than LONG, each member is also paired with so many before it.
 LONG, BEFORE = 16, 12
-#: Square of an open run's length for each of its members above which centres are tried first, how many times at most, and
-#: how often open runs are narrowed in a row.
-MANY, CENTRES, NARROWINGS = 8, 4, 2
+#: Members of an open run up to which all its pairs are tried first; square of a run's length for each of its members above
+#: which centres are tried before all pairs, how many times at most, and how often open runs are narrowed in a row.
+SHORT, MANY, CENTRES, NARROWINGS = 48, 8, 2, 2
+#: Members of a block, of which two are compared at once.
+TOGETHER = 128
 
 
 class Shingles:
@@ -335,6 +337,49 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
+def block_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of members of open runs that share enough of their open tokens, between components.
+
+    Members are dealt to blocks by the longest run that they are in. Two blocks that have a token in common meet once, and
+    one product of their tables of members by tokens counts what each pair shares, so only pairs with enough become rows.
+    """
+    lengths = rows.groupBy("token").agg(F.count("*").alias("n"))
+    members = rows.join(lengths, "token").groupBy("node").agg(*(F.first(c).alias(c) for c in ("size", "matches", "root")), F.collect_list("token").alias("tokens"), F.max(F.struct("n", "token"))["token"].alias("main"))
+    members = kept(members, "members")
+    parts = members.groupBy("main").agg(F.ceil(F.count("*") / TOGETHER).alias("parts"))
+    placed = members.join(parts, "main").withColumn("block", F.xxhash64("main", F.pmod(F.xxhash64("node"), F.col("parts")))).drop("main", "parts")
+    blocks = kept(placed.groupBy("block").agg(F.collect_list(F.struct("node", "size", "matches", "root", "tokens")).alias("members")), "blocks")
+    tokens = blocks.select("block", F.explode(F.array_distinct(F.flatten("members.tokens"))).alias("token"))
+    met = tokens.select("token", F.col("block").alias("x")).join(tokens.select("token", F.col("block").alias("y")), "token").where("x <= y").select("x", "y").distinct()
+    side = lambda c: blocks.select(F.col("block").alias(c), F.col("members").alias(f"of_{c}"))
+
+    def table(members: list[dict], names: dict[int, int]) -> np.ndarray:
+        out = np.zeros((len(members), len(names)), np.float32)
+        for i, m in enumerate(members):
+            out[i, [names[t] for t in m["tokens"] if t in names]] = 1
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up = lambda x, y: -(-x // y)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                x, y = (batch.column(k)[i].as_py() for k in (0, 1))
+                common = {t for m in x for t in m["tokens"]} & {t for m in y for t in m["tokens"]}
+                names = {t: k for k, t in enumerate(common)}
+                shared = table(x, names) @ table(y, names).T
+                (node_a, size_a, matches_a, root_a), (node_b, size_b, matches_b, root_b) = ([np.array([m[c] for m in side], np.int64) for c in ("node", "size", "matches", "root")] for side in (x, y))
+                overlap = up(percent * (size_a[:, None] + size_b), 100 + percent)
+                within = np.minimum(overlap - up(percent * size_a, 100)[:, None] + matches_a[:, None], overlap - up(percent * size_b, 100) + matches_b)
+                keep = shared >= np.maximum(np.minimum(matches_a[:, None], matches_b), within)
+                keep &= (root_a[:, None] != root_b) & (100 * size_a[:, None] >= percent * size_b) & (100 * size_b >= percent * size_a[:, None])
+                p, q = np.nonzero(keep)
+                a, b = np.minimum(node_a[p], node_b[q]), np.maximum(node_a[p], node_b[q])
+                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    both = met.join(side("x"), "x").join(side("y"), "y").select("of_x", "of_y")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     """roots after more links (a, b): only the components that these connect are worked on."""
     of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}"))
@@ -401,9 +446,10 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Sets alike are one node, so copies cost nothing more. A node's prefix meets others in runs of equal tokens. First members
     of a run are held against its centres and, in long runs, against those before them, and what links forms components.
-    Of the runs that still span components, members that share too little with anyone are put aside; while the rest would
-    make many pairs, each is held against the run's most connected member, as long as that links any; then all pairs that two
-    components have between them and that share enough tokens are verified. So no link that could change a component is
+    Of the runs that still span components, members that share too little with anyone are put aside. All pairs of the short
+    ones come first; what is left can only share tokens of long runs, so most members of these share too little. While the
+    rest would make many pairs, each is held against the run's most connected member, as long as that links any; then all
+    pairs that two components have between them and that share enough tokens are verified. So no link that could change a component is
     left out, and pairs within one are not formed. Sets of shingles are compared as 64-bit hashes. Texts without a word
     link with nothing and keep their own id; null ids count only where a component has no other; rows with one id and
     different texts stay apart unless linked.
@@ -418,23 +464,33 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     nodes = kept(distinct.join(sized, "sig").withColumn("node", F.monotonically_increasing_id()), "nodes")
     met = kept(runs(tokens_of(nodes, crowds(nodes.select("tokens"), counts)), percent), "runs")
 
-    def sets(of: DataFrame) -> DataFrame:
-        return kept(sets_of(texts, of.join(nodes.select("node", "sig"), "node"), n), "sets")
-
-    def verified(pairs: DataFrame, among: DataFrame) -> DataFrame:
-        return kept(links(pairs, among, percent), "links")
+    def verified(pairs: DataFrame) -> DataFrame:
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "sig"), "node")
+        return kept(links(pairs, kept(sets_of(texts, wanted, n), "sets"), percent), "links") if not pairs.isEmpty() else pairs
 
-    def plausible(pairs: DataFrame) -> DataFrame:
+    def plausible(pairs: DataFrame, others: DataFrame | None = None) -> DataFrame:
+        """Pairs that share enough tokens; others: (node, others), tokens that pairs has no rows for and that may be shared too."""
         counted = pairs.groupBy("a", "b").agg(F.count("*").alias("shared"), *(F.first(c).alias(c) for c in ("size_a", "matches_a", "size_b", "matches_b")))
-        return counted.where(F.col("shared") >= enough(*map(F.col, ("size_a", "matches_a", "size_b", "matches_b")), percent)).select("a", "b")
+        most = F.col("shared")
+        if others is not None:
+            for c in "ab":
+                counted = counted.join(others.select(F.col("node").alias(c), F.col("others").alias(f"others_{c}")), c, "left")
+            most += F.least(F.coalesce("others_a", F.lit(0)), F.coalesce("others_b", F.lit(0)))
+        return counted.where(most >= enough(*map(F.col, ("size_a", "matches_a", "size_b", "matches_b")), percent)).select("a", "b")
 
     ordered = lambda p: p.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     starred = met.where("node != other").select(F.col("other").alias("a"), F.col("node").alias("b"), F.col("other_size").alias("size_a"), F.col("other_matches").alias("matches_a"), F.col("size").alias("size_b"), F.col("matches").alias("matches_b"))
     tried = kept(ordered(plausible(starred)), "tried")
-    roots = components(verified(tried, sets(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct())))
+    roots = components(verified(tried))
     known = kept(met.where("member").select("token", "node", "size", "matches"), "known")
-    untried = lambda pairs: kept(ordered(plausible(pairs)).join(tried, ["a", "b"], "left_anti"), "tried")
-    among = None
+    untried = lambda pairs: kept(ordered(pairs).join(tried, ["a", "b"], "left_anti"), "tried")
+    bands = size_bands(open_rows(known, roots, percent), percent)
+    bands = kept(bands.join(bands.groupBy("token", "band").agg(F.count("*").alias("n")), ["token", "band"]), "bands")
+    known = kept(bands.where(F.col("n") > SHORT).select("token", "node", "size", "matches").distinct(), "known")
+    others = known.groupBy("node").agg(F.count("*").alias("others"))
+    pairs = untried(plausible(all_pairs(bands.where(F.col("n") <= SHORT), percent), others))
+    if not pairs.isEmpty():
+        roots, tried = merged(roots, verified(pairs)), tried.unionAll(pairs)
     for turn in range(CENTRES + 1):
         rows = open_rows(known, roots, percent)
         bands = size_bands(rows, percent)
@@ -442,12 +498,11 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not sums.members:
             break
         whole = turn == CENTRES or sums.pairs <= MANY * sums.members
-        pairs = untried((all_pairs if whole else centre_pairs)(bands, percent))
-        among = among or sets(rows.select("node").distinct())
-        found = verified(pairs, among)
+        pairs = untried(block_pairs(rows, percent) if whole else plausible(centre_pairs(bands, percent)))
+        found = verified(pairs)
         if not whole and found.isEmpty():  # no centre links any more
-            whole, pairs = True, untried(all_pairs(bands, percent))
-            found = verified(pairs, among)
+            whole, pairs = True, untried(block_pairs(rows, percent))
+            found = verified(pairs)
         if not found.isEmpty():
             roots = merged(roots, found)
         if whole:

@@ -318,10 +318,11 @@ def linked(sets):
     return {i: find(i) for i in sets}
 
 
-@pytest.mark.parametrize("many", [0, 10**9])
-def test_ngram_join_of_many_near_copies(spark, monkeypatch, many):
+@pytest.mark.parametrize(("many", "short"), [(0, 4), (10**9, 4), (0, 0), (0, 1000)])
+def test_ngram_join_of_many_near_copies(spark, monkeypatch, many, short):
     """Copies of one text with 0 to 6 words changed, most of which don't link with each other, and shorter cuts of it."""
     monkeypatch.setattr(ngram_join, "MANY", many)
+    monkeypatch.setattr(ngram_join, "SHORT", short)
     rng = random.Random(11)
     base = [f"b{rng.randint(0, 400)}" for _ in range(150)]
     made = []
