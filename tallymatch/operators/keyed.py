@@ -40,14 +40,23 @@ def covered_payments(payments: DataFrame, attributed: DataFrame) -> DataFrame:
 
 
 def bucket(amount: Column) -> Column:
-    """A number such that amounts within half a per cent or a unit of each other are at most two apart."""
-    return F.floor(F.log(F.greatest(amount, F.lit(20_000)).cast("double")) / F.log(F.lit(1.005))).cast("long")
+    """A number such that amounts within half a per cent or a hundred of each other are at most two apart."""
+    small = F.lit(20_000)
+    return F.when(amount < small, F.floor(amount / 100)).otherwise(200 + F.floor(F.log(F.greatest(amount, small) / small) / F.log(F.lit(1.005)))).cast("long")
 
 
-def near_amount(left: DataFrame, right: DataFrame, amount: str, other: str, keep: Column) -> DataFrame:
-    """Pairs of rows whose amounts are close, by an equi-join on buckets and then the exact condition keep."""
+def near_amount(left: DataFrame, right: DataFrame, amount: str, other: str, keep: Column, days: int | None = None, day: str = "settled_on", other_day: str = "value_date") -> DataFrame:
+    """Pairs of rows whose amounts are close, by an equi-join on buckets and then the exact condition keep.
+
+    Where keep also has a limit of days, that is part of the key: a bucket is as many days wide as the limit reaches.
+    """
     probes = left.withColumn("_bucket", F.explode(F.array(*(bucket(F.col(amount)) + i for i in range(-2, 3)))))
-    return probes.join(right.withColumn("_bucket", bucket(F.col(other))), "_bucket").where(keep).drop("_bucket")
+    built, key = right.withColumn("_bucket", bucket(F.col(other))), ["_bucket"]
+    if days is not None:
+        number, width = lambda c: F.unix_date(F.col(c)), 2 * days + 1
+        probes = probes.withColumn("_days", F.explode(F.sequence(F.floor((number(day) - days) / width), F.floor((number(day) + days) / width))))
+        built, key = built.withColumn("_days", F.floor(number(other_day) / width)), ["_bucket", "_days"]
+    return probes.join(built, key).where(keep).drop("_bucket", "_days")
 
 
 def bank_leg(settlements: DataFrame, credits: DataFrame, tier: int, *, floor_minor: int = 0, bps: int = 0, days: int | None = None) -> DataFrame:
@@ -74,7 +83,7 @@ def bank_leg(settlements: DataFrame, credits: DataFrame, tier: int, *, floor_min
     clear = clear.join(made_up, "settlement_id", "left_anti")
     bare = credits.where("utr is null").select(F.col("txn_id").alias("rival_id"), "value_date", "credit_minor")
     targets = clear.select("settlement_id", "net_minor", "settled_on", "tolerance").distinct()
-    rivals = near_amount(targets, bare, "net_minor", "credit_minor", fits) if floor_minor or bps else targets.join(bare, F.col("credit_minor") == F.col("net_minor")).where(fits)
+    rivals = near_amount(targets, bare, "net_minor", "credit_minor", fits, days) if floor_minor or bps else targets.join(bare, F.col("credit_minor") == F.col("net_minor")).where(fits)
     counts = rivals.groupBy("settlement_id").agg(F.count("*").alias("n_rivals"))
     out = clear.join(counts, "settlement_id", "left").withColumn("field", F.col("n_fit") + F.coalesce("n_rivals", F.lit(0)))
     linked = out.select("settlement_id", "txn_id", (1.0 / F.col("field")).alias("p"), F.when(F.col("field") == 1, "LINKED").otherwise("RIVALS").alias("outcome"))

@@ -28,17 +28,18 @@ def ranked_credits(settlements: DataFrame, credits: DataFrame, profiles: DataFra
     bare = credits.where("utr is null and merchant is not null").select("txn_id", "value_date", "credit_minor", "merchant")
     claims = settlements.where("net_minor > 0").select("settlement_id", "merchant_id", "net_minor", "settled_on")
     fits = (F.abs(F.col("credit_minor") - F.col("net_minor")) <= band(F.col("net_minor"), config.band_floor_minor, config.band_bps)) & (F.abs(F.date_diff("value_date", "settled_on")) <= config.name_days)
-    pairs = near_amount(claims, bare, "net_minor", "credit_minor", fits).join(profiles, "merchant_id")
+    pairs = near_amount(claims, bare, "net_minor", "credit_minor", fits, config.name_days).join(profiles, "merchant_id")
     best = name_scores(pairs, "merchant", "spelling").groupBy("settlement_id", "txn_id", "credit_minor", "net_minor").agg(F.max("score").alias("score")).where(F.col("score") >= config.name_score)
     return best.withColumn("place", F.row_number().over(Window.partitionBy("settlement_id").orderBy(F.desc("score"), "txn_id")))
 
 
-def tier3(settlements: DataFrame, credits: DataFrame, profiles: DataFrame, claimants: DataFrame | None = None, config: Config = DEFAULTS) -> DataFrame:
+def tier3(settlements: DataFrame, credits: DataFrame, profiles: DataFrame, claimants: DataFrame | None = None, references: DataFrame | None = None, config: Config = DEFAULTS) -> DataFrame:
     """(settlement_id, txn_id, tier, p, outcome): the best credit by name, refused as CONTESTED where the runner-up or a
     rival claimant comes within the margin, or INEXACT where it is not the net.
 
     Every claim is laid before any is decided, so the order of settlements does not matter. claimants may be more
-    settlements than those to assign (such as refused ones), which only count as rivals.
+    settlements than those to assign (such as refused ones), which only count as rivals; references, (utr) of credits that
+    are no longer open, whose settlements have their credit and are not assigned another.
     """
     every = ranked_credits(claimants if claimants is not None else settlements, credits, profiles, config)
     own = Window.partitionBy("settlement_id")
@@ -49,6 +50,6 @@ def tier3(settlements: DataFrame, credits: DataFrame, profiles: DataFrame, claim
     close = lambda other: F.coalesce(F.col("score") - F.col(other) < config.name_margin, F.lit(False))
     p = F.when(close("second"), F.col("score") / 2).when(close("rival"), F.col("score") / F.col("claims")).when(F.col("credit_minor") != F.col("net_minor"), F.col("score") / 2).otherwise(F.col("score"))
     outcome = F.when(close("second") | close("rival"), "CONTESTED").when(F.col("credit_minor") != F.col("net_minor"), "INEXACT").otherwise("LINKED")
-    used = credits.where("utr is not null").select("utr").distinct()
+    used = (credits if references is None else references).where("utr is not null").select("utr").distinct()
     assignable = settlements.join(used, "utr", "left_anti").select("settlement_id")
     return best.join(assignable, "settlement_id", "left_semi").select("settlement_id", "txn_id", F.lit(3).alias("tier"), p.alias("p"), outcome.alias("outcome"))

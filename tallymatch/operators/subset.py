@@ -118,7 +118,33 @@ def tier2(settlements: DataFrame, credits: DataFrame, payments: DataFrame, confi
     sums = keyed.groupBy("settlement_id", "net_minor").agg(F.count("*").alias("n"), F.sum("credit_minor").alias("total"))
     split = sums.where((F.col("n") > 1) & (F.abs(F.col("total") - F.col("net_minor")) <= config.subset_epsilon_minor)).select("settlement_id", "net_minor")
     batches = split.join(_of_batch(keyed.join(split.select("settlement_id"), "settlement_id", "left_semi"), "txn_id", "credit_minor", "credits"), "settlement_id")
-    return partition_batches(batches.join(_of_batch(payments.join(split.select("settlement_id"), "settlement_id", "left_semi"), "payment_id", "amount_minor", "payments"), "settlement_id"), config)
+    return partition_batches(batches.join(_bounded(payments, split, config), "settlement_id"), config)
+
+
+def split_pools(settlements: DataFrame, credits: DataFrame, profiles: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """(settlement_id, net_minor, credits) of settlements no credit bears the reference of: the unreferenced credits within
+    name_days that bear a spelling of their merchant, two at least and subset_most at most."""
+    bare = credits.where("utr is null and merchant is not null").select(F.col("merchant").alias("spelling"), "txn_id", "credit_minor", "value_date")
+    keyless = settlements.where("net_minor > 0").join(credits.where("utr is not null").select("utr").distinct(), "utr", "left_anti")
+    own = keyless.select("settlement_id", "merchant_id", "net_minor", "settled_on").join(profiles, "merchant_id").join(bare, "spelling").where((F.abs(F.date_diff("value_date", "settled_on")) <= config.name_days) & (F.col("credit_minor") <= F.col("net_minor")))
+    own = own.select("settlement_id", "net_minor", "txn_id", "credit_minor").distinct()
+    sizes = own.groupBy("settlement_id").agg(F.count("*").alias("n")).where(F.col("n").between(2, config.subset_most)).select("settlement_id")
+    return own.join(sizes, "settlement_id", "left_semi").groupBy("settlement_id", "net_minor").agg(F.collect_list(F.struct(F.col("txn_id").alias("id"), F.col("credit_minor").alias("amount"))).alias("credits"))
+
+
+def split_completion(settlements: DataFrame, credits: DataFrame, payments: DataFrame, profiles: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """partition_batches of settlements whose credits have lost their reference: the only set of their merchant's credits
+    that sums to the net is found first, then the payments are parted over it as in tier 2."""
+    sets = tranche_sets(split_pools(settlements, credits, profiles, config), config).where("verdict = 'UNIQUE'").join(credits.select("txn_id", "credit_minor"), "txn_id")
+    tranches = _of_batch(sets, "txn_id", "credit_minor", "credits").join(settlements.select("settlement_id", "net_minor"), "settlement_id")
+    return partition_batches(tranches.join(_bounded(payments, tranches, config), "settlement_id"), config)
+
+
+def _bounded(payments: DataFrame, batches: DataFrame, config: Config) -> DataFrame:
+    """The payments of batches as arrays; a batch of more than subset_most is not gathered, nor searched."""
+    own = payments.join(batches.select("settlement_id"), "settlement_id", "left_semi")
+    fit = own.groupBy("settlement_id").agg(F.count("*").alias("n")).where(F.col("n") <= config.subset_most).select("settlement_id")
+    return _of_batch(own.join(fit, "settlement_id", "left_semi"), "payment_id", "amount_minor", "payments")
 
 
 def tranche_sets(pools: DataFrame, config: Config = DEFAULTS) -> DataFrame:

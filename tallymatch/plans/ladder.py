@@ -2,54 +2,91 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import allocate
+from ..functions.money import allocate, expected_credit
 from ..operators.duplicates import duplicate_postings
 from ..operators.graph import tier4
 from ..operators.keyed import clawbacks, covered_payments, spread, tier0, tier1
 from ..operators.lexical import merchant_profiles, tier3
 from ..operators.policy import decision
-from ..operators.subset import tier2
+from ..operators.subset import split_completion, tier2
 from ..sources.sinks import stored
 from ..schema import DEFAULTS, Config
 
-def reconcile(settlements: DataFrame, payments: DataFrame, bank: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+def verified_shares(rows: DataFrame, settlements: DataFrame, payments: DataFrame, credits: DataFrame, config: Config = DEFAULTS) -> DataFrame:
+    """rows (payment_id, txn_id, settlement_id) with verified: whether the payments that travel in a credit are all of that
+    settlement, once each, and come to it, give or take epsilon, by the sources' own figures."""
+    own = rows.select("payment_id", "txn_id", "settlement_id").join(payments.select("payment_id", F.col("settlement_id").alias("_nested"), "amount_minor"), "payment_id", "left")
+    sums = own.groupBy("settlement_id", "txn_id").agg(F.sum("amount_minor").alias("part"), F.min(F.coalesce(F.col("_nested") == F.col("settlement_id"), F.lit(False))).alias("nested"), (F.count("*") == F.countDistinct("payment_id")).alias("once"))
+    gross = payments.groupBy("settlement_id").agg(F.sum("amount_minor").alias("gross"))
+    sums = sums.join(gross, "settlement_id").join(settlements.select("settlement_id", "net_minor"), "settlement_id").join(credits.where("credit_minor > 0").select("txn_id", "credit_minor"), "txn_id")
+    fits = F.abs(expected_credit(F.col("part"), F.col("gross"), F.col("net_minor")) - F.col("credit_minor")) <= config.subset_epsilon_minor
+    checks = sums.select("settlement_id", "txn_id", (F.col("nested") & F.col("once") & fits).alias("verified"))
+    return rows.join(checks, ["settlement_id", "txn_id"], "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
+
+
+def reconcile(settlements: DataFrame, payments: DataFrame, bank: DataFrame, config: Config = DEFAULTS, tiers: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
     """Payment links (payment_id, txn_id, settlement_id, tier, p, outcome, share_minor, verified, decision) of all tiers.
 
-    bank has utr and merchant read from its narrations. A refusal takes its settlement out of the keyed tiers' pool and
-    stays in the result with its share of the certainty; a settlement is matched once, by the first tier that can.
+    bank has utr and merchant read from its narrations. A refusal takes its settlement out of the pool, stays in the result
+    with its share of the certainty and counts as a rival claimant; a settlement is matched once, by the first tier that
+    can. Tiers 2 and 3 take turns while a turn links anything, residual_passes times at most; then splits without a
+    reference are completed, and tier 4 infers from what is certain. What it adds opens nothing to the others, so it
+    comes once. tiers: those that take part.
     """
     credits = stored(bank.where("credit_minor > 0"), "credits")
     reposted = duplicate_postings(credits, config.duplicate_days)
     pool = stored(credits.join(reposted.select("txn_id"), "txn_id", "left_anti"), "pool")
-    open_ = stored(settlements, "open")
-    found: list[DataFrame] = []
+    open_ = claimants = stored(settlements, "open")
+    keyed: list[DataFrame] = []
+    parted: list[DataFrame] = []
 
-    def settle(links: DataFrame) -> None:
-        nonlocal open_, pool
-        links = stored(links, "links")
-        found.append(links)
+    def settle(links: DataFrame) -> int:
+        """Takes what (settlement_id, txn_id, outcome) links or refuses out of the pools; how many rows it links."""
+        nonlocal open_, claimants, pool
+        linked = links.where("outcome = 'LINKED'")
+        n = linked.count()
         open_ = stored(open_.join(links.select("settlement_id").distinct(), "settlement_id", "left_anti"), "open")
-        pool = stored(pool.join(links.where("outcome = 'LINKED'").select("txn_id").distinct(), "txn_id", "left_anti"), "pool")
+        if n:
+            claimants = stored(claimants.join(linked.select("settlement_id").distinct(), "settlement_id", "left_anti"), "claimants")
+            pool = stored(pool.join(linked.select("txn_id").distinct(), "txn_id", "left_anti"), "pool")
+        return n
+
+    def part(batches: DataFrame) -> int:
+        rows = stored(batches.where("verdict = 'UNIQUE'").select("payment_id", "txn_id", "settlement_id"), "parts")
+        parted.append(rows)
+        return settle(rows.select("settlement_id", "txn_id", F.lit("LINKED").alias("outcome")).distinct())
 
-    settle(tier0(open_, pool))
-    settle(tier1(open_, pool, config))
+    for tier, run in ((0, lambda: tier0(open_, pool)), (1, lambda: tier1(open_, pool, config))):
+        if tier in tiers:
+            keyed.append(stored(run(), "links"))
+            settle(keyed[-1])
     profiles = stored(merchant_profiles(settlements, credits), "profiles")
-    parts = stored(tier2(open_, pool, payments, config), "parts")
-    split = parts.where("verdict = 'UNIQUE'").select("payment_id", "txn_id", "settlement_id")
-    settle(split.select("settlement_id", "txn_id").distinct().select("settlement_id", "txn_id", F.lit(2).alias("tier"), F.lit(1.0).alias("p"), F.lit("LINKED").alias("outcome")))
-    settle(tier3(open_, pool, profiles, config=config))
-    whole = [f for i, f in enumerate(found) if i != 2]
-    links = whole[0].unionAll(whole[1]).unionAll(whole[2])
-    rows = spread(links, payments, credits, settlements)
-    tranches = split.join(payments.select("payment_id", "amount_minor"), "payment_id").join(credits.select("txn_id", "credit_minor"), "txn_id")
-    tranches = allocate(tranches, ["settlement_id", "txn_id"], "credit_minor", "amount_minor", "payment_id").select("payment_id", "txn_id", "settlement_id", F.lit(2).alias("tier"), F.lit(1.0).alias("p"), F.lit("LINKED").alias("outcome"), "share_minor", F.lit(True).alias("verified"))
-    rows = stored(rows.unionAll(tranches), "rows")
-    premises = rows.where(F.col("verified") & (F.col("p") >= config.tau_high))
-    excluded = stored(payments.join(premises.select("settlement_id").distinct(), "settlement_id", "left_semi"), "covered")
-    covered = covered_payments(excluded, clawbacks(settlements, payments))
-    inferred = tier4(covered, premises.select("settlement_id", "txn_id"), premises, credits, config).where("not blocked")
-    inferred = inferred.select("payment_id", "txn_id", "settlement_id", F.lit(4).alias("tier"), "p", F.lit("LINKED").alias("outcome"), "share_minor", F.lit(True).alias("verified"))
-    return rows.unionAll(inferred).withColumn("decision", decision(F.col("p"), F.col("verified"), config))
+    for _ in range(config.residual_passes if {2, 3} & set(tiers) else 0):
+        added = part(tier2(open_, pool, payments, config)) if 2 in tiers else 0
+        if 3 in tiers:
+            keyed.append(stored(tier3(open_, pool, profiles, claimants, credits, config), "links"))
+            added += settle(keyed[-1])
+        if not added:
+            break
+    if {2, 3} <= set(tiers):
+        part(split_completion(open_, pool, payments, profiles, config))
+    none = settlements.sparkSession.createDataFrame([], "settlement_id string, txn_id string, tier int, p double, outcome string")
+    rows = spread(reduce(DataFrame.unionByName, [k.select(none.columns) for k in keyed], none), payments, credits, settlements)
+    if parted:
+        split = reduce(DataFrame.unionAll, parted)
+        tranches = split.join(payments.select("payment_id", "amount_minor"), "payment_id").join(credits.select("txn_id", "credit_minor"), "txn_id")
+        tranches = verified_shares(allocate(tranches, ["settlement_id", "txn_id"], "credit_minor", "amount_minor", "payment_id"), settlements, payments, credits, config)
+        rows = rows.unionAll(tranches.select("payment_id", "txn_id", "settlement_id", F.lit(2).alias("tier"), F.lit(1.0).alias("p"), F.lit("LINKED").alias("outcome"), "share_minor", "verified"))
+    rows = stored(rows, "rows")
+    if 4 in tiers:
+        premises = rows.where(F.col("verified") & (F.col("p") >= config.tau_high))
+        excluded = stored(payments.join(premises.select("settlement_id").distinct(), "settlement_id", "left_semi"), "covered")
+        covered = covered_payments(excluded, clawbacks(settlements, payments))
+        inferred = tier4(covered, premises.select("settlement_id", "txn_id"), premises, credits, config).where("not blocked")
+        rows = rows.unionAll(inferred.select("payment_id", "txn_id", "settlement_id", F.lit(4).alias("tier"), "p", F.lit("LINKED").alias("outcome"), "share_minor", F.lit(True).alias("verified")))
+    return rows.withColumn("decision", decision(F.col("p"), F.col("verified"), config))

@@ -194,21 +194,36 @@ def utr_collisions(c: Corpus) -> DataFrame:
     return c.settlements.groupBy("utr").agg(F.count("*").alias("peers"), F.min("settlement_id").alias("least_id")).where("peers > 1")
 
 
-@query("payment_links", None)
+@query("payment_links", """WITH claw AS (SELECT s.settlement_id, count(p.payment_id) AS hits, min(p.payment_id) AS payment_id FROM settlements s LEFT JOIN payments p ON p.settlement_id = s.settlement_id AND p.amount_minor = -s.adjustments_minor WHERE s.adjustments_minor < 0 GROUP BY s.settlement_id),
+gross AS (SELECT settlement_id, sum(amount_minor) AS paid FROM payments GROUP BY settlement_id),
+own AS (SELECT * FROM payments WHERE payment_id NOT IN (SELECT payment_id FROM claw WHERE hits = 1)),
+cells AS (SELECT o.payment_id, t.txn_id, t.settlement_id, t.tier, t.p, t.outcome, c.credit_minor, CAST(c.credit_minor AS HUGEINT) * o.amount_minor AS scaled, sum(o.amount_minor) OVER (PARTITION BY t.settlement_id, t.txn_id) AS whole FROM t0 t JOIN own o USING (settlement_id) JOIN credit c USING (txn_id)),
+parts AS (SELECT *, scaled // whole AS part, scaled % whole AS rest FROM cells),
+dealt AS (SELECT *, row_number() OVER (PARTITION BY settlement_id, txn_id ORDER BY rest DESC, payment_id) AS place, sum(part) OVER (PARTITION BY settlement_id, txn_id) AS given FROM parts)
+SELECT d.payment_id, d.txn_id, d.settlement_id, tier, p, outcome, CAST(part + CASE WHEN place <= credit_minor - given THEN 1 ELSE 0 END AS BIGINT) AS share_minor, g.paid = s.gross_minor AND d.settlement_id NOT IN (SELECT settlement_id FROM claw WHERE hits > 1) AS verified
+FROM dealt d JOIN gross g USING (settlement_id) JOIN settlements s USING (settlement_id)""")
 def payment_links(c: Corpus) -> DataFrame:
     credits = pool_of(c)
     return keyed.spread(keyed.tier0(c.settlements, credits), c.payments, credits, c.settlements)
 
 
-@query("t2_partition", """SELECT t.settlement_id, 'UNIQUE' AS verdict, t.payment_id, CASE WHEN (t.pos <= s.n // 2) THEN concat('BNK-', t.settlement_id, '-1') ELSE concat('BNK-', t.settlement_id, '-2') END AS txn_id FROM tranche_items t JOIN settlements s ON s.settlement_id = t.settlement_id WHERE s.n <= 3""")
-def t2_partition(c: Corpus) -> DataFrame:
-    settlements, pool, _ = after_tier0(c)
-    small = settlements.where("n <= 3 and anomaly = 'SPLIT'")
-    return subset.tier2(small, pool, c.payments)
+#: The subset search said by brute force: every set of a batch's payments against the larger of its two credits.
+PARTITION = """WITH keyed AS (SELECT s.settlement_id, s.net_minor, c.txn_id, c.credit_minor, row_number() OVER (PARTITION BY s.settlement_id ORDER BY c.credit_minor DESC, c.txn_id) AS nth FROM left_settlements s JOIN left_pool c ON c.utr = s.utr),
+batch AS (SELECT settlement_id, any_value(net_minor) AS net, max(credit_minor) FILTER (nth = 1) AS first_minor, max(txn_id) FILTER (nth = 1) AS first_id, max(credit_minor) FILTER (nth = 2) AS second_minor, max(txn_id) FILTER (nth = 2) AS second_id FROM keyed GROUP BY settlement_id HAVING count(*) > 1 AND abs(sum(credit_minor) - any_value(net_minor)) <= 300),
+own AS (SELECT settlement_id, list(payment_id ORDER BY payment_id) AS ids, list(amount_minor ORDER BY payment_id) AS amounts, CAST(sum(amount_minor) AS BIGINT) AS whole FROM payments GROUP BY settlement_id),
+sets AS (SELECT b.*, ids, amounts, whole, unnest(range(1, 1 << len(ids))) AS mask FROM batch b JOIN own USING (settlement_id)),
+sums AS (SELECT *, CAST(list_sum(list_transform(range(len(ids)), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN amounts[i + 1] ELSE 0 END)) AS BIGINT) AS part FROM sets),
+valued AS (SELECT *, CASE WHEN part >= whole THEN net ELSE CAST(part * net // whole + CASE WHEN part * net % whole > 0 AND part * net % whole >= (whole - part) * net % whole THEN 1 ELSE 0 END AS BIGINT) END AS expected,
+CASE WHEN part <= 0 THEN net ELSE CAST((whole - part) * net // whole + CASE WHEN (whole - part) * net % whole > 0 AND (whole - part) * net % whole >= part * net % whole THEN 1 ELSE 0 END AS BIGINT) END AS rest FROM sums),
+fits AS (SELECT settlement_id, count(*) AS n, min(mask) AS mask, bool_and(part < whole AND abs(rest - second_minor) <= 300) AS closes FROM valued WHERE abs(expected - first_minor) <= 300 GROUP BY settlement_id),
+verdicts AS (SELECT b.*, ids, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 1 AND closes THEN 'UNIQUE' ELSE 'FAILED' END AS verdict, mask FROM batch b JOIN own USING (settlement_id) LEFT JOIN fits USING (settlement_id))
+SELECT settlement_id, verdict, ids[i + 1] AS payment_id, CASE WHEN (mask >> i) & 1 = 1 THEN first_id ELSE second_id END AS txn_id FROM (SELECT *, unnest(range(len(ids))) AS i FROM verdicts WHERE verdict = 'UNIQUE')
+UNION ALL SELECT settlement_id, verdict, NULL, NULL FROM verdicts WHERE verdict <> 'UNIQUE'"""
 
 
-@query("t2_partition_all")
-def t2_partition_all(c: Corpus) -> DataFrame:
+@query("t2_partition", PARTITION)
+@query("t2_partition_all", PARTITION)
+def t2_partition(c: Corpus) -> DataFrame:
     settlements, pool, _ = after_tier0(c)
     return subset.tier2(settlements, pool, c.payments)
 
@@ -233,10 +248,8 @@ def t3_assign(c: Corpus) -> DataFrame:
 
 @query("split_completion")
 def split_completion(c: Corpus) -> DataFrame:
-    bare = pool_of(c).where("merchant is not null").select("merchant", F.col("txn_id").alias("id"), F.col("credit_minor").alias("amount"), "value_date")
-    wanted = c.settlements.where("anomaly = 'SPLIT'").join(lexical.merchant_profiles(c.settlements, credits_of(c)), "merchant_id")
-    pools = wanted.join(bare, wanted["spelling"] == bare["merchant"]).where(F.abs(F.date_diff("value_date", "settled_on")) <= 7)
-    return subset.tranche_sets(pools.groupBy("settlement_id", "net_minor").agg(F.collect_list(F.struct("id", "amount")).alias("credits")))
+    settlements, pool, _ = after_tier0(c)
+    return subset.split_completion(settlements, pool, c.payments, lexical.merchant_profiles(c.settlements, credits_of(c)))
 
 
 #: Payments whose link is known in the tier 4 queries: all but each fourth of the batches that tier 0 links.
@@ -283,9 +296,18 @@ def severity(c: Corpus) -> DataFrame:
     return c.table("orders").select("o_orderkey", exceptions.severity(F.round(F.col("o_totalprice") * 100).cast("bigint"), F.col("o_orderkey") % 30).alias("severity"))
 
 
-@query("exception_settlement")
+_RESIDUAL = """claw AS (SELECT s.settlement_id, CASE count(p.payment_id) WHEN 1 THEN 'NETTED_PAYMENT' WHEN 0 THEN 'EXTERNAL' ELSE 'AMBIGUOUS' END AS clawback FROM settlements s LEFT JOIN payments p ON p.settlement_id = s.settlement_id AND p.amount_minor = -s.adjustments_minor WHERE s.adjustments_minor < 0 GROUP BY s.settlement_id),
+unsettled AS (SELECT *, greatest(100, (abs(net_minor) * 50 + 9999) // 10000) AS band FROM (SELECT *, settlement_id IN (SELECT settlement_id FROM t0 WHERE outcome = 'LINKED') AS credited, net_minor - (gross_minor - fee_minor - tax_minor + adjustments_minor) AS net_delta FROM settlements) WHERE NOT credited OR net_delta <> 0),
+bearers AS (SELECT u.settlement_id, count(*) AS n_keyed, CAST(sum(c.credit_minor) AS BIGINT) AS keyed_minor, min((c.value_date, c.txn_id))[1] - any_value(u.settled_on) AS keyed_gap FROM unsettled u JOIN credit c ON c.utr = u.utr GROUP BY u.settlement_id),
+about AS (SELECT u.settlement_id, count(*) AS n_near, count(*) FILTER (abs(c.value_date - u.settled_on) <= 3) AS n_near_in_time FROM unsettled u JOIN credit c ON c.credit_minor BETWEEN u.net_minor - u.band AND u.net_minor + u.band WHERE c.utr IS DISTINCT FROM u.utr GROUP BY u.settlement_id),
+residual_settlements AS (SELECT concat('settlement:', u.settlement_id) AS ref, CASE WHEN u.settlement_id IN (SELECT settlement_id FROM t0 WHERE outcome = 'RIVALS') THEN 'E_AMBIGUOUS_AGGREGATION' WHEN net_delta <> 0 THEN 'E_FEE_TAX_MISMATCH' WHEN clawback = 'NETTED_PAYMENT' THEN 'E_CHARGEBACK_NETTED' WHEN clawback IS NOT NULL THEN 'E_POST_SETTLEMENT_REFUND'
+WHEN n_keyed > 1 THEN 'E_SPLIT_PAYOUT_INCOMPLETE' WHEN n_keyed = 1 AND keyed_minor < net_minor THEN 'E_POST_SETTLEMENT_REFUND' WHEN n_keyed = 1 AND abs(keyed_gap) > 3 THEN 'E_TIMING_SHIFT' WHEN n_keyed = 1 THEN 'E_UNKNOWN_RESIDUAL' WHEN n_near > 0 AND n_near_in_time = 0 THEN 'E_TIMING_SHIFT' WHEN n_near > 0 THEN 'E_MISSING_REFERENCE' ELSE 'E_LATE_ARRIVAL' END AS class,
+CASE WHEN credited THEN abs(net_delta) ELSE abs(net_minor) END AS impact_minor, settled_on AS as_of, coalesce(n_keyed, 0) + coalesce(n_near, 0) AS n_evidence FROM unsettled u LEFT JOIN claw USING (settlement_id) LEFT JOIN bearers USING (settlement_id) LEFT JOIN about USING (settlement_id))"""
+
+
+@query("exception_settlement", f"WITH {_RESIDUAL} SELECT * FROM residual_settlements")
 def exception_settlement(c: Corpus) -> DataFrame:
-    links = keyed.tier0(c.settlements, pool_of(c))
+    links = stored(keyed.tier0(c.settlements, pool_of(c)), "links")
     return exceptions.residual_settlements(c.settlements, c.payments, credits_of(c), links.where("outcome = 'LINKED'"), links.where("outcome = 'RIVALS'"))
 
 
@@ -300,15 +322,26 @@ def exception_credit(c: Corpus) -> DataFrame:
     return exceptions.residual_credits(credits, c.settlements, claimed, reposted, lexical.merchant_profiles(c.settlements, credits)).select("ref", "class", "impact_minor")
 
 
-@query("exception_queue")
+@query("exception_queue", f"""WITH {_RESIDUAL},
+residual_credits AS (SELECT concat('bank:', c.txn_id) AS ref, CASE WHEN c.txn_id IN (SELECT txn_id FROM reposted) THEN 'E_DUPLICATE_CREDIT' WHEN c.utr IN (SELECT utr FROM settlements) AND (SELECT count(*) FROM credit o WHERE o.utr = c.utr AND o.credit_minor = c.credit_minor) > 1 THEN 'E_DUPLICATE_CREDIT'
+WHEN c.utr IN (SELECT utr FROM settlements) AND (SELECT count(*) FROM credit o WHERE o.utr = c.utr) > 1 THEN 'E_SPLIT_PAYOUT_INCOMPLETE' WHEN c.utr IN (SELECT utr FROM settlements) THEN 'E_UNKNOWN_RESIDUAL' WHEN c.utr IS NOT NULL THEN 'E_ORPHAN_BANK_CREDIT'
+WHEN c.merchant IN (SELECT o.merchant FROM credit o JOIN settlements s ON s.utr = o.utr WHERE o.merchant IS NOT NULL) THEN 'E_MISSING_REFERENCE' WHEN c.merchant IS NULL THEN 'UNMATCHABLE' ELSE 'E_ORPHAN_BANK_CREDIT' END AS class, c.credit_minor AS impact_minor, c.value_date AS as_of, (SELECT count(*) FROM credit o WHERE o.utr = c.utr) AS n_evidence
+FROM credit c WHERE c.txn_id NOT IN (SELECT txn_id FROM t0 WHERE outcome = 'LINKED')),
+aged AS (SELECT *, CAST(greatest(0, (SELECT max(value_date) FROM credit) - as_of) AS INTEGER) AS age_days FROM (SELECT * FROM residual_settlements UNION ALL SELECT * FROM residual_credits))
+SELECT *, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][1 + least(3, CASE WHEN impact_minor >= 10000000 THEN 3 WHEN impact_minor >= 1000000 THEN 2 WHEN impact_minor >= 100000 THEN 1 ELSE 0 END + CASE WHEN age_days >= 14 THEN 1 ELSE 0 END)] AS severity,
+CAST(CASE WHEN class = 'E_UNKNOWN_RESIDUAL' THEN 0.30 WHEN class IN ('E_FEE_TAX_MISMATCH', 'E_DUPLICATE_CREDIT', 'E_CHARGEBACK_NETTED', 'E_ORPHAN_BANK_CREDIT', 'E_AMBIGUOUS_AGGREGATION') THEN 1.0 WHEN n_evidence >= 3 THEN 0.90 ELSE 0.75 END AS DOUBLE) AS confidence,
+class IN ('E_ROUNDING_DRIFT', 'E_TIMING_SHIFT', 'E_DUPLICATE_CREDIT') AS resolvable FROM aged""")
 def exception_queue(c: Corpus) -> DataFrame:
-    credits, links = credits_of(c), keyed.tier0(c.settlements, pool_of(c))
+    credits, links = credits_of(c), stored(keyed.tier0(c.settlements, pool_of(c)), "links")
     linked = links.where("outcome = 'LINKED'")
-    rows = exceptions.residual_settlements(c.settlements, c.payments, credits, linked, links.where("outcome = 'RIVALS'")).unionAll(exceptions.residual_credits(credits, c.settlements, linked, duplicates.duplicate_postings(credits), lexical.merchant_profiles(c.settlements, credits)))
+    rows = stored(exceptions.residual_settlements(c.settlements, c.payments, credits, linked, links.where("outcome = 'RIVALS'")), "residual").unionAll(exceptions.residual_credits(credits, c.settlements, linked, duplicates.duplicate_postings(credits), lexical.merchant_profiles(c.settlements, credits)))
     return exceptions.exception_queue(rows, credits.agg(F.max("value_date").alias("latest")))
 
 
-@query("rounding_budget")
+@query("rounding_budget", """WITH RECURSIVE drifts AS (SELECT concat('payment:', item) AS ref, no * 11 + 1 AS impact_minor FROM items),
+amounts AS (SELECT impact_minor, count(*) AS n, row_number() OVER (ORDER BY impact_minor DESC) AS turn FROM drifts WHERE impact_minor BETWEEN 1 AND 500 GROUP BY impact_minor),
+spent AS (SELECT 0 AS turn, 0 AS impact_minor, 0 AS paid, 50000 AS rest UNION ALL SELECT a.turn, a.impact_minor, least(a.n, s.rest // a.impact_minor), s.rest - least(a.n, s.rest // a.impact_minor) * a.impact_minor FROM spent s JOIN amounts a ON a.turn = s.turn + 1)
+SELECT d.ref, d.impact_minor, coalesce(row_number() OVER (PARTITION BY d.impact_minor ORDER BY d.ref) <= s.paid, false) AS applied FROM drifts d LEFT JOIN spent s ON s.impact_minor = d.impact_minor AND s.turn > 0""")
 def rounding_budget(c: Corpus) -> DataFrame:
     drifts = c.items.select(F.concat(F.lit("payment:"), "item").alias("ref"), (F.col("no") * 11 + 1).alias("impact_minor"))
     return exceptions.rounding_budget(drifts)
@@ -374,10 +407,15 @@ def select_tau(c: Corpus) -> DataFrame:
     return calibration.select_tau(candidates_of(c).withColumn("p", F.col("p").cast("double")), "p", "label", 0.8).select("tau", "attained")
 
 
-@query("isotonic_predict")
+@query("isotonic_predict", """WITH points AS (SELECT p, count(*) AS n, count(*) FILTER (label) AS k FROM candidates GROUP BY p),
+sums AS (SELECT p, sum(n) OVER (ORDER BY p) AS n, sum(k) OVER (ORDER BY p) AS k, sum(n) OVER (ORDER BY p) - n AS n0, sum(k) OVER (ORDER BY p) - k AS k0 FROM points),
+spans AS (SELECT a.p AS low, b.p AS high, (b.k - a.k0) / (b.n - a.n0) AS mean FROM sums a JOIN sums b ON a.p <= b.p),
+least_above AS (SELECT x.p, s.low, min(s.mean) AS mean FROM points x JOIN spans s ON s.low <= x.p AND s.high >= x.p GROUP BY x.p, s.low),
+steps AS (SELECT p, max(mean) AS calibrated FROM least_above GROUP BY p)
+SELECT c.item, CAST(c.p AS DOUBLE) AS p, round(s.calibrated, 9) AS calibrated FROM candidates c JOIN steps s USING (p)""")
 def isotonic_predict(c: Corpus) -> DataFrame:
     rows = candidates_of(c)
-    return rows.select("item", "p", calibration.predict_isotonic(F.col("p"), calibration.fit_isotonic(rows, "p", "label")).alias("calibrated"))
+    return rows.select("item", F.col("p").cast("double").alias("p"), F.round(calibration.predict_isotonic(F.col("p"), calibration.fit_isotonic(rows, "p", "label")), 9).alias("calibrated"))
 
 
 @query("blend_score")
@@ -401,8 +439,9 @@ def baseline_b1_nearest(c: Corpus) -> DataFrame:
 
 @query("baseline_b1_fuzzy")
 def baseline_b1_fuzzy(c: Corpus) -> DataFrame:
-    orphans = c.bank.where("narration like 'IMPS%'").select("txn_id", F.regexp_extract("narration", "(UTR[0-9]+)", 1).alias("token"))
-    return baselines.fuzzy_reference(c.settlements.where("anomaly = 'NO_REFERENCE'"), orphans)
+    joined = baselines.exact_join(c.settlements, c.bank)
+    orphans = c.bank.where("credit_minor > 0").join(joined.select("txn_id"), "txn_id", "left_anti").select("txn_id", F.regexp_extract("narration", "(UTR[0-9]+)", 1).alias("token"))
+    return baselines.fuzzy_reference(c.settlements.join(joined.select("settlement_id"), "settlement_id", "left_anti"), orphans)
 
 
 @query("seed_aggregate", "SELECT anomaly, count(*) AS n, round(avg(net_minor), 3) AS mean, round(stddev_samp(net_minor), 3) AS std, min(net_minor) AS least, max(net_minor) AS greatest FROM settlements GROUP BY anomaly")

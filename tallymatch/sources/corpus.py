@@ -18,7 +18,7 @@ from .sinks import stored
 #: Digits of a merchant's number as syllables, so that names differ by more than a digit.
 SYLLABLES = ("BA", "CEX", "DIM", "FOR", "GUN", "KAV", "LEP", "MIZ", "NOS", "PUT")
 #: Anomalies by the settlement's number below 100: first number of each, in order; the rest are clean.
-ANOMALIES = (("ROUNDING", 0, 5), ("FEE_MISMATCH", 5, 9), ("TIMING", 9, 14), ("DUPLICATE", 14, 16), ("NO_REFERENCE", 16, 22), ("CHARGEBACK", 22, 25), ("SPLIT", 25, 30), ("ORPHAN", 30, 32), ("LATE", 32, 33), ("SHARED_REFERENCE", 33, 36))
+ANOMALIES = (("ROUNDING", 0, 5), ("FEE_MISMATCH", 5, 9), ("TIMING", 9, 14), ("DUPLICATE", 14, 16), ("NO_REFERENCE", 16, 22), ("CHARGEBACK", 22, 25), ("SPLIT", 25, 30), ("ORPHAN", 30, 32), ("LATE", 32, 33), ("SHARED_REFERENCE", 33, 36), ("SPLIT_BARE", 36, 38))
 
 DIALECTS = {
     "spark": {"add": "date_add({0}, {1})", "div": "({0} div {1})", "ymd": "date_format({0}, 'yyyyMMdd')"},
@@ -64,7 +64,7 @@ def corpus_ctes(dialect: str) -> dict[str, str]:
                    concat({name}, ' PVT LTD') AS merchant_name
             FROM priced""",
         "tranche_items": """
-            SELECT p.*, row_number() OVER (PARTITION BY p.settlement_id ORDER BY p.payment_id) AS pos FROM payments p JOIN settlements s ON s.settlement_id = p.settlement_id WHERE s.anomaly = 'SPLIT' AND s.n > 1""",
+            SELECT p.*, row_number() OVER (PARTITION BY p.settlement_id ORDER BY p.payment_id) AS pos FROM payments p JOIN settlements s ON s.settlement_id = p.settlement_id WHERE s.anomaly IN ('SPLIT', 'SPLIT_BARE') AND s.n > 1""",
         "tranches": f"""
             SELECT t.settlement_id, sum(t.amount_minor) AS part FROM tranche_items t JOIN settlements s ON s.settlement_id = t.settlement_id WHERE t.pos <= {div("s.n", "2")} GROUP BY t.settlement_id""",
         "split_nets": f"""
@@ -72,11 +72,11 @@ def corpus_ctes(dialect: str) -> dict[str, str]:
             FROM settlements s JOIN tranches t ON t.settlement_id = s.settlement_id""",
         "credits": f"""
             SELECT concat('BNK-', s.settlement_id, '-1') AS txn_id, {add("settled_on", "1 + CASE anomaly WHEN 'TIMING' THEN 2 WHEN 'LATE' THEN 7 ELSE 0 END")} AS value_date,
-                   CASE WHEN anomaly = 'NO_REFERENCE' THEN concat('NEFT CR/', merchant_name, '/SETTLEMENT') ELSE concat('NEFT CR-', utr, '-', merchant_name) END AS narration,
+                   CASE WHEN anomaly IN ('NO_REFERENCE', 'SPLIT_BARE') THEN concat('NEFT CR/', merchant_name, '/SETTLEMENT') ELSE concat('NEFT CR-', utr, '-', merchant_name) END AS narration,
                    coalesce(first_minor, net_minor + CASE WHEN anomaly = 'ROUNDING' THEN 1 + no % 3 ELSE 0 END) AS credit_minor, s.settlement_id
             FROM settlements s LEFT JOIN split_nets x ON x.settlement_id = s.settlement_id
             UNION ALL
-            SELECT concat('BNK-', s.settlement_id, '-2'), {add("settled_on", "2")}, concat('NEFT CR-', utr, '-', merchant_name), net_minor - first_minor, s.settlement_id FROM settlements s JOIN split_nets x ON x.settlement_id = s.settlement_id
+            SELECT concat('BNK-', s.settlement_id, '-2'), {add("settled_on", "2")}, CASE WHEN anomaly = 'SPLIT_BARE' THEN concat('NEFT CR/', merchant_name, '/SETTLEMENT') ELSE concat('NEFT CR-', utr, '-', merchant_name) END, net_minor - first_minor, s.settlement_id FROM settlements s JOIN split_nets x ON x.settlement_id = s.settlement_id
             UNION ALL
             SELECT concat('BNK-', settlement_id, '-3'), {add("settled_on", "2")}, concat('NEFT CR-', utr, '-', merchant_name), net_minor, settlement_id FROM settlements WHERE anomaly = 'DUPLICATE'
             UNION ALL
@@ -86,7 +86,7 @@ def corpus_ctes(dialect: str) -> dict[str, str]:
             UNION ALL
             SELECT concat('DBT-', CAST(o_orderkey AS VARCHAR(20))), CAST(o_orderdate AS DATE), 'ACH DR-VENDOR FEE', CAST(0 AS BIGINT), CAST(round(o_totalprice * 100) AS BIGINT), CAST(NULL AS VARCHAR(40)) FROM orders WHERE o_orderkey % 20 = 0""",
         "truth_links": f"""
-            SELECT p.payment_id, CASE WHEN s.anomaly = 'SPLIT' AND t.pos > {div("s.n", "2")} THEN concat('BNK-', p.settlement_id, '-2') ELSE concat('BNK-', p.settlement_id, '-1') END AS txn_id, p.amount_minor, s.anomaly
+            SELECT p.payment_id, CASE WHEN s.anomaly IN ('SPLIT', 'SPLIT_BARE') AND t.pos > {div("s.n", "2")} THEN concat('BNK-', p.settlement_id, '-2') ELSE concat('BNK-', p.settlement_id, '-1') END AS txn_id, p.amount_minor, s.anomaly
             FROM payments p JOIN settlements s ON s.settlement_id = p.settlement_id LEFT JOIN tranche_items t ON t.payment_id = p.payment_id
             WHERE NOT (s.anomaly = 'CHARGEBACK' AND p.amount_minor = -s.adjustments_minor)""",
     }
@@ -94,8 +94,9 @@ def corpus_ctes(dialect: str) -> dict[str, str]:
 
 def with_ctes(dialect: str, select: str, **more: str) -> str:
     ctes = corpus_ctes(dialect) | more
-    own = ",\n" + select.removeprefix("WITH ") if select.startswith("WITH ") else "\n" + select
-    return "WITH " + ",\n".join(f"{name} AS ({body})" for name, body in ctes.items()) + own
+    start = next((x for x in ("WITH RECURSIVE ", "WITH ") if select.startswith(x)), "")
+    own = ",\n" + select.removeprefix(start) if start else "\n" + select
+    return (start or "WITH ") + ",\n".join(f"{name} AS ({body})" for name, body in ctes.items()) + own
 
 
 #: Tables that are written when first asked for, as the files of a source would be.
