@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..functions.stats import wilson
+from ..functions.stats import verdict, wilson
 from ..operators import baselines, calibration, duplicates, exceptions, graph, keyed, lexical, metrics, policy, subset
 from ..sources.corpus import Corpus, corpus, with_ctes
 from ..sources.readers import date_order, slash_date
@@ -114,6 +114,28 @@ def tolerance_band(c: Corpus) -> DataFrame:
     return c.settlements.select("settlement_id", band.alias("band_minor"), (F.abs("net_minor") + band).alias("high_minor"))
 
 
+@query("within_tolerance", "SELECT s.settlement_id, c.txn_id, abs(c.credit_minor - s.net_minor) <= greatest(100, (abs(s.net_minor) * 50 + 9999) // 10000) AS fits FROM settlements s JOIN credit c ON c.utr = s.utr")
+def within_tolerance(c: Corpus) -> DataFrame:
+    pairs = c.settlements.select("settlement_id", "utr", "net_minor").join(credits_of(c).select("utr", "txn_id", "credit_minor"), "utr")
+    return pairs.select("settlement_id", "txn_id", money.within(F.col("credit_minor"), F.col("net_minor"), money.band(F.col("net_minor"), 100, 50)).alias("fits"))
+
+
+@query("delta_ratio", "SELECT settlement_id, round(abs(net_minor - (gross_minor - fee_minor - tax_minor + adjustments_minor)) / abs(net_minor), 9) AS ratio FROM settlements WHERE net_minor <> 0")
+def delta_ratio(c: Corpus) -> DataFrame:
+    view = keyed.settlement_view(c.settlements, c.payments).where("net_minor != 0")
+    return view.select("settlement_id", F.round(money.delta_ratio(F.col("net_delta"), F.col("net_minor")), 9).alias("ratio"))
+
+
+@query("order_ref_shape", "SELECT payment_id, regexp_full_match(order_ref, 'ORD-[0-9]{4}-[0-9]{6}') AS shaped FROM refs")
+def order_ref_shape(c: Corpus) -> DataFrame:
+    return payments_of(c).select("payment_id", text.is_order_ref(F.col("order_ref")).alias("shaped"))
+
+
+@query("narration_rail", "SELECT txn_id, regexp_extract(narration, '^(NEFT|IMPS|ACH)') AS rail FROM bank")
+def narration_rail(c: Corpus) -> DataFrame:
+    return c.statement.select("txn_id", text.narration_rail(F.col("narration_normalized")).alias("rail"))
+
+
 @query("allocate_shares", """SELECT payment_id, settlement_id, CAST(part + CASE WHEN place <= net_minor - total_part THEN 1 ELSE 0 END AS BIGINT) AS share_minor FROM (
 SELECT *, sum(part) OVER (PARTITION BY settlement_id) AS total_part, row_number() OVER (PARTITION BY settlement_id ORDER BY rest DESC, payment_id) AS place FROM (
 SELECT p.payment_id, s.settlement_id, s.net_minor, CAST(s.net_minor AS HUGEINT) * p.amount_minor // s.gross_minor AS part, CAST(s.net_minor AS HUGEINT) * p.amount_minor % s.gross_minor AS rest FROM payments p JOIN settlements s ON s.settlement_id = p.settlement_id WHERE s.net_minor >= 0))""")
@@ -338,6 +360,31 @@ def exception_queue(c: Corpus) -> DataFrame:
     return exceptions.exception_queue(rows, credits.agg(F.max("value_date").alias("latest")))
 
 
+def residual_of(c: Corpus) -> DataFrame:
+    """The queue's settlement rows, as tier 0 leaves them."""
+    links = stored(keyed.tier0(c.settlements, pool_of(c)), "links")
+    return exceptions.residual_settlements(c.settlements, c.payments, credits_of(c), links.where("outcome = 'LINKED'"), links.where("outcome = 'RIVALS'"))
+
+
+def anomalies_of(c: Corpus) -> DataFrame:
+    return c.settlements.select(F.concat(F.lit("settlement:"), "settlement_id").alias("ref"), "anomaly")
+
+
+@query("exception_confusion", f"WITH {_RESIDUAL} SELECT anomaly, coalesce(class, 'NONE') AS class, count(*) AS n FROM settlements s LEFT JOIN residual_settlements r ON r.ref = concat('settlement:', s.settlement_id) GROUP BY ALL")
+def exception_confusion(c: Corpus) -> DataFrame:
+    return metrics.exception_confusion(anomalies_of(c), residual_of(c))
+
+
+@query("exception_coverage", f"WITH {_RESIDUAL} SELECT anomaly, count(*) AS n, count(r.ref) AS covered, round(count(r.ref) / count(*), 9) AS coverage FROM settlements s LEFT JOIN residual_settlements r ON r.ref = concat('settlement:', s.settlement_id) GROUP BY anomaly")
+def exception_coverage(c: Corpus) -> DataFrame:
+    return metrics.exception_coverage(anomalies_of(c), residual_of(c)).withColumn("coverage", F.round("coverage", 9))
+
+
+@query("exceptions_by_class", f"WITH {_RESIDUAL} SELECT class, count(*) AS n, CAST(sum(impact_minor) AS BIGINT) AS impact_minor FROM residual_settlements GROUP BY class")
+def exceptions_by_class(c: Corpus) -> DataFrame:
+    return metrics.exceptions_by_class(residual_of(c))
+
+
 @query("rounding_budget", """WITH RECURSIVE drifts AS (SELECT concat('payment:', item) AS ref, no * 11 + 1 AS impact_minor FROM items),
 amounts AS (SELECT impact_minor, count(*) AS n, row_number() OVER (ORDER BY impact_minor DESC) AS turn FROM drifts WHERE impact_minor BETWEEN 1 AND 500 GROUP BY impact_minor),
 spent AS (SELECT 0 AS turn, 0 AS impact_minor, 0 AS paid, 50000 AS rest UNION ALL SELECT a.turn, a.impact_minor, least(a.n, s.rest // a.impact_minor), s.rest - least(a.n, s.rest // a.impact_minor) * a.impact_minor FROM spent s JOIN amounts a ON a.turn = s.turn + 1)
@@ -390,6 +437,14 @@ def wilson_interval(c: Corpus) -> DataFrame:
     return counts.select("tier", "n", "k", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
 
 
+@query("proportion_verdict", """WITH bounds AS (SELECT tier, (k / n + 1.959963984540054 ** 2 / (2 * n) - 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n) AS low,
+(k / n + 1.959963984540054 ** 2 / (2 * n) + 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n) AS high FROM (SELECT tier, count(*) AS n, count(*) FILTER (label) AS k FROM candidates GROUP BY tier))
+SELECT tier, CASE WHEN low >= 0.45 THEN 'MET' WHEN high < 0.45 THEN 'MISSED' ELSE 'UNDECIDED' END AS verdict FROM bounds""")
+def proportion_verdict(c: Corpus) -> DataFrame:
+    counts = candidates_of(c).groupBy("tier").agg(F.count("*").alias("n"), F.sum(F.col("label").cast("long")).alias("k"))
+    return counts.select("tier", verdict(*wilson(F.col("k"), F.col("n")), 0.45).alias("verdict"))
+
+
 @query("reliability_bins", "SELECT CAST(least(9, floor(p / 0.1)) AS INTEGER) AS bin, count(*) AS n, round(avg(p), 9) AS mean_p, round(avg(CAST(label AS INTEGER)), 9) AS rate FROM (SELECT CAST(p AS DOUBLE) AS p, label FROM candidates) GROUP BY 1")
 def reliability_bins(c: Corpus) -> DataFrame:
     out = calibration.reliability(candidates_of(c).withColumn("p", F.col("p").cast("double")), "p", "label")
