@@ -467,6 +467,24 @@ def test_pipeline(spark, docs, rows, tmp_path):
     assert ids("mixing") <= ids("secret_scan") and ids("packing") == ids("mixing")
 
 
+def test_pipeline_with_awkward_rows(spark, tmp_path):
+    """Null and repeated ids, repeated rows, and columns that bear the names of the stages' own."""
+    base = [" ".join(f"{w}{chr(97 + i)}{chr(97 + k)}" for k, w in enumerate(["th", "er", "on", "an"] * 5)) for i in range(6)]
+    plain = [(1, base[0]), (1, base[0]), (1, base[1]), (None, base[0]), (None, base[2]), (None, base[2]), (7, base[3]), (8, base[4] + " password=hunter2xyz"), (9, "123 !!"), (10, None), (11, base[5])]
+    odd = ["score", "lang_pred", "secrets", "_text", "_base", "size", "taken", "_key", "row", "n"]
+    df = spark.createDataFrame([(i, t, "en", f"s{k % 2}", len(t or ""), *odd) for k, (i, t) in enumerate(plain)], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in odd)).repartition(3)
+    counts = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, df, "").write.parquet(str(tmp_path / name))
+        made = spark.read.parquet(str(tmp_path / name))
+        assert made.columns == df.columns
+        counts[name], df = sorted((r.doc_id is None, r.doc_id or 0, (r.text or "")[:12]) for r in made.collect()), made
+        assert all(r[c] == c for r in made.collect() for c in odd)
+    assert len(counts["language_id"]) == 9
+    assert counts["ngram_join"] == counts["secret_scan"] == sorted([(False, 1, base[0][:12]), (False, 1, base[1][:12]), (True, 0, base[2][:12]), (False, 7, base[3][:12]), (False, 8, base[4][:12]), (False, 11, base[5][:12])])
+    assert corpus_pipeline.packed(spark, df, "").count() >= df.count() > 0
+
+
 @pytest.mark.parametrize("hot", [1, 2])
 def test_salts_lose_no_text(spark, monkeypatch, hot):
     """Tokens and seeds dealt to a salt for each text or two, over groups of near copies, exact copies and shared passages."""
