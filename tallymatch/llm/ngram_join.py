@@ -465,7 +465,7 @@ def jaccard_components(df: DataFrame, id_col: str = "doc_id", text_col: str = "t
     met = kept(runs(tokens_of(nodes, crowds(nodes.select("tokens"), counts)), percent), "runs")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "sig"), "node")
+        wanted = pairs.select(F.col("a").alias("node")).distinct().unionAll(pairs.select(F.col("b").alias("node")).distinct()).distinct().join(nodes.select("node", "sig"), "node")
         return kept(links(pairs, kept(sets_of(texts, wanted, n), "sets"), percent), "links") if not pairs.isEmpty() else pairs
 
     def plausible(pairs: DataFrame, others: DataFrame | None = None) -> DataFrame:
