@@ -38,9 +38,9 @@ shards AS (SELECT nth, shard, any_value(source_seats) AS source_seats, CAST(sum(
 summed AS (SELECT p.*, sum(size) OVER (PARTITION BY p.nth, p.shard ORDER BY digest, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS place, s.seats, greatest(1, CAST(ceil(s.shard_size / 32) AS BIGINT)) AS n_blocks FROM placed p JOIN shared s ON s.nth = p.nth AND s.shard = p.shard),
 chosen AS (SELECT *, seats // n_blocks AS repeats, seats % n_blocks AS extra, {_number(f"concat('{SEED}:', coalesce(source, chr(0)), ':', CAST(shard AS VARCHAR))", "n_blocks")} AS start FROM summed),
 cuts AS (SELECT *, unnest([place, place + size]) AS x, unnest([-1, 1]) AS sign FROM chosen),
-blocks AS (SELECT *, unnest([x // 32, x // 32 + 1]) AS b, unnest([0, 1]) AS nth FROM cuts),
+blocks AS (SELECT *, unnest([x // 32, x // 32 + 1]) AS b, unnest([0, 1]) AS side FROM cuts),
 counted AS (SELECT *, CASE WHEN b + start <= n_blocks THEN (b + start) * extra // n_blocks - start * extra // n_blocks ELSE extra - start * extra // n_blocks + (b + start - n_blocks) * extra // n_blocks END AS c FROM blocks),
-upto AS (SELECT doc_id, source, size, source_size, target, repeats, sign, 32 * min(c) FILTER (nth = 0) + (x % 32) * CASE WHEN x // 32 < n_blocks THEN min(c) FILTER (nth = 1) - min(c) FILTER (nth = 0) ELSE 0 END AS words FROM counted GROUP BY doc_id, source, size, source_size, target, repeats, sign, x, n_blocks)
+upto AS (SELECT doc_id, source, size, source_size, target, repeats, sign, 32 * min(c) FILTER (side = 0) + (x % 32) * CASE WHEN x // 32 < n_blocks THEN min(c) FILTER (side = 1) - min(c) FILTER (side = 0) ELSE 0 END AS words FROM counted GROUP BY doc_id, source, size, source_size, target, repeats, sign, x, n_blocks)
 SELECT doc_id, source, size, source_size, target, CAST(any_value(repeats) * size + sum(sign * words) AS BIGINT) AS taken FROM upto GROUP BY doc_id, source, size, source_size, target"""
 
 NGRAM_JOIN = rf"""
