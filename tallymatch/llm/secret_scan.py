@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -32,6 +33,34 @@ ENCODINGS = (
 COLLISIONS, CHANGES, CORRELATION = 2.0, 0.5, 0.6
 #: Lengths from which a band of candidates has its own control, and the steps of -log10 p that it counts in.
 BANDS, STEPS = (20, 28, 40, 64), 20
+#: Code points of a text that redact takes at once.
+CHUNK = 1024
+
+
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def scan(items: Column, zero: Column, step: Callable[[Column, Column], Column], kind: str) -> Column:
+    """What an aggregate has gathered after each item, an array of the SQL type kind.
+
+    Items are taken in blocks of about the square root of their number: no array grows past a block, or past the number of
+    blocks, while it is built item by item, so that hundreds of thousands of items cost little more than their count.
+    """
+    empty = F.array().cast(f"array<{kind}>")
+
+    def inner(at: Column, block: Column) -> Column:
+        grow = lambda acc, x: let(step(acc["at"], x), lambda at: F.struct(at.alias("at"), F.concat(acc["out"], F.array(at)).alias("out")))
+        return F.aggregate(block, F.struct(at.alias("at"), empty.alias("out")), grow)
+
+    def outer(items: Column) -> Column:
+        n = F.greatest(F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int"), F.lit(1))
+        starts = F.filter(F.sequence(F.lit(0), F.size(items), n), lambda i: i < F.size(items))
+        grow = lambda acc, i: let(inner(acc["at"], F.slice(items, i + 1, n)), lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+        return F.flatten(F.aggregate(starts, F.struct(zero.alias("at"), F.array().cast(f"array<array<{kind}>>").alias("out")), grow, lambda acc: acc["out"]))
+
+    return let(items, outer)
 
 
 def _found(text: Column, pattern: str, kind: str, longest: int | None = None) -> Column:
@@ -42,14 +71,10 @@ def _found(text: Column, pattern: str, kind: str, longest: int | None = None) ->
     """
     match = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     zipped = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(match)).alias("before"), match.alias("match"), (F.regexp_extract_all(text, F.lit(pattern), F.lit(longest)) if longest else match).alias("value"))
-    span = lambda start, x: F.struct(start.cast("long").alias("start"), (start + F.char_length(x["match"])).cast("long").alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["value"].alias("value"))
     none = F.array().cast("array<struct<start:bigint,end:bigint,kind:int,value:string>>")
-
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.char_length(x["before"])
-        return F.struct((start + F.char_length(x["match"])).alias("at"), F.concat(acc["spans"], F.array(span(start, x))).alias("spans"))
-
-    spans = F.aggregate(zipped, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda acc: acc["spans"])
+    sized = F.transform(zipped, lambda x: F.struct(F.char_length(x["before"]).cast("long").alias("gap"), F.char_length(x["match"]).cast("long").alias("length"), x["value"].alias("value")))
+    ends = scan(sized, F.lit(0).cast("long"), lambda at, x: at + x["gap"] + x["length"], "bigint")
+    spans = F.zip_with(sized, ends, lambda x, end: F.struct((end - x["length"]).alias("start"), end.alias("end"), F.lit(KINDS.index(kind)).alias("kind"), x["value"].alias("value")))
     if longest:
         spans = F.filter(spans, lambda x: F.char_length(x["value"]) >= 6)
     return F.when(text.rlike(pattern), spans).otherwise(none)
@@ -89,17 +114,17 @@ def battery(spans: Column) -> Column:
         return F.greatest(normal_cdf(-away(x["rate"] * CHANGES)), normal_cdf(away(F.least(x["rate"] * (2 - CHANGES), F.lit(0.999)))))
 
     out = F.filter(_with(spans, e=fits), lambda x: x["e"] >= 0)
-    out = _with(out, encoding=lambda x: F.get(names, x["e"]), alphabet=lambda x: F.get(alphabets, x["e"]), n=lambda x: F.char_length(x["value"]))
+    out = _with(out, encoding=lambda x: F.get(names, x["e"]), alphabet=lambda x: F.get(alphabets, x["e"]), n=lambda x: F.char_length(x["value"]).cast("long"))
     out = _with(
         out,
         m=lambda x: F.char_length(x["alphabet"]),
-        symbols=lambda x: F.transform(F.sequence(F.lit(1), x["n"]), lambda i: F.instr(x["alphabet"], F.substr(x["value"], i, F.lit(1))) - 1),
+        symbols=lambda x: F.transform(F.split(x["value"], ""), lambda c: F.instr(x["alphabet"], c) - 1),
         squares=lambda x: F.aggregate(F.sequence(F.lit(1), F.char_length(x["alphabet"])), F.lit(0.0), lambda a, i: a + F.pow((x["n"] - F.char_length(F.replace(x["value"], F.substr(x["alphabet"], i, F.lit(1)), F.lit("")))).cast("double"), F.lit(2.0))),
     )
     out = _with(
         out,
         pairs=lambda x: (x["squares"] - x["n"]) / 2,
-        expected=lambda x: x["n"] * (x["n"] - 1) / 2 * COLLISIONS / x["m"],
+        expected=lambda x: x["n"] * (x["n"] - 1.0) / 2 * COLLISIONS / x["m"],
         mean=lambda x: total(x["symbols"], lambda v: v) / x["n"],
         high=lambda x: total(x["symbols"], lambda v: v >= half(x)),
         changes=lambda x: total(x["symbols"], lambda v, i: (v >= half(x)) != (after(x, i) >= half(x))),
@@ -169,11 +194,21 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """text with what any of its spans (by start) covers replaced by mask, once for spans that overlap."""
-
-    def add(acc: Column, x: Column) -> Column:
-        fresh = x["start"] >= acc["at"]
-        grown = F.when(fresh, F.concat(acc["out"], F.substr(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mask))).otherwise(acc["out"])
-        return F.struct(grown.alias("out"), F.greatest(acc["at"], x["end"].cast("int")).alias("at"))
+    """text with what any of its spans (by start) covers replaced by mask, once for spans that overlap.
 
-    return F.when(F.size(spans) > 0, F.aggregate(spans, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1)))).otherwise(text)
+    The text is cut into chunks of 1,024 code points once, and each part between spans is put together from its chunks, so
+    that a text of many spans is not walked from its start for each.
+    """
+    before = F.concat(F.array(F.lit(0).cast("long")), scan(spans, F.lit(0).cast("long"), lambda at, x: F.greatest(at, x["end"]), "bigint"))
+    pairs = F.zip_with(F.concat(F.transform(spans, lambda x: x["start"]), F.array(F.char_length(text).cast("long"))), before, lambda start, at: F.struct(at.alias("at"), start.alias("to")))
+    fresh = F.filter(pairs, lambda x: x["to"] >= x["at"])
+
+    def part(chunks: Column, x: Column) -> Column:
+        first, last = (F.floor(x[k] / CHUNK).cast("int") for k in ("at", "to"))
+        piece = lambda i, at, to: F.substr(F.coalesce(F.get(chunks, i), F.lit("")), (at + 1).cast("int"), (to - at).cast("int"))
+        inside = piece(first, x["at"] % CHUNK, x["at"] % CHUNK + x["to"] - x["at"])
+        across = F.concat(piece(first, x["at"] % CHUNK, F.lit(CHUNK)), F.array_join(F.slice(chunks, first + 2, F.greatest(last - first - 1, F.lit(0))), ""), piece(last, F.lit(0), x["to"] % CHUNK))
+        return F.when(first == last, inside).otherwise(across)
+
+    whole = let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)), lambda chunks: F.array_join(F.transform(fresh, lambda x: part(chunks, x)), mask))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)

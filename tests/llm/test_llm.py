@@ -550,6 +550,66 @@ def test_passage_whose_seeds_all_have_other_partners(spark):
             assert any(r.doc_id == a and r.other_id == b and r.begin <= begins[a] and begins[a] + 60 <= r.end for r in got)
 
 
+def plain_battery(value):
+    """The battery once more, by its definitions: encoding, p_uniform, p_runs, p_serial."""
+    cdf = lambda z: 0.5 * math.erfc(-z / math.sqrt(2))
+    name, _, alphabet = next((e for e in secret_scan.ENCODINGS if re.search(e[1], value)), (None, None, None))
+    if not name:
+        return None
+    n, m, v = len(value), len(alphabet), [alphabet.index(c) for c in value]
+    pairs = sum(c * (c - 1) / 2 for c in Counter(v).values())
+    expected = n * (n - 1) / 2 * secret_scan.COLLISIONS / m
+    uniform = cdf((pairs - expected) / math.sqrt(expected * (1 - secret_scan.COLLISIONS / m)))
+    high = [x >= m / 2 for x in v]
+    rate, changes = 2 * sum(high) * (n - sum(high)) / (n * (n - 1)), sum(a != b for a, b in zip(high, high[1:], strict=False))
+    away = lambda r: (changes - (n - 1) * r) / math.sqrt(max((n - 1) * r * (1 - r), 1e-9))
+    runs = max(cdf(-away(rate * secret_scan.CHANGES)), cdf(away(min(rate * (2 - secret_scan.CHANGES), 0.999))))
+    mean = sum(v) / n
+    spread, together = sum((x - mean) ** 2 for x in v), sum((a - mean) * (b - mean) for a, b in zip(v, v[1:], strict=False))
+    serial = cdf((abs(together / spread) - secret_scan.CORRELATION) * math.sqrt(n)) if spread else 1.0
+    return name, uniform, runs, serial
+
+
+def test_battery_and_step_up_against_plain_versions(spark):
+    rng = random.Random(12)
+    alphabets = [e[2] for e in secret_scan.ENCODINGS]
+    values = ["".join(rng.choice(rng.choice(alphabets)[: rng.choice((4, 16, 64))]) for _ in range(rng.randint(20, 90))) for _ in range(120)]
+    values += ["".join(rng.choice(a) for _ in range(rng.randint(20, 90))) for a in alphabets for _ in range(20)] + ["aB1" * 9, "ab" * 12, "A1" * 15]
+    df = spark.createDataFrame([(i, f"( {v} )") for i, v in enumerate(values)], "doc_id int, text string")
+    got = {r.doc_id: r.x for r in df.select("doc_id", F.explode(secret_scan.battery(secret_scan._found(F.col("text"), secret_scan.CANDIDATE, "random"))).alias("x")).collect()}
+    want = {i: plain_battery(v) for i, v in enumerate(values)}
+    assert got.keys() == {i for i, w in want.items() if w}
+    for i, x in got.items():
+        assert x.encoding == want[i][0] and all(abs(a - b) < 1e-6 for a, b in zip((x.p_uniform, x.p_runs, x.p_serial), want[i][1:], strict=True))
+        assert x.p == max(x.p_uniform, x.p_runs, x.p_serial)
+    steps = defaultdict(list)
+    for x in got.values():
+        steps[sum(x.n >= b for b in secret_scan.BANDS) - 1].append(10 ** (-min(math.floor(-math.log10(max(x.p, 1e-21)) * secret_scan.STEPS), 20 * secret_scan.STEPS) / secret_scan.STEPS))
+    limits = {b: max((p for p in ps if p * len(ps) <= 0.05 * sum(q <= p for q in ps)), default=None) for b, ps in steps.items()}
+    assert secret_scan.randomness_limits(df) == pytest.approx({b: p for b, p in limits.items() if p is not None})
+
+
+def test_secrets_in_very_long_texts(spark):
+    """A token of 300,000 characters, a megabyte of base64 over and over, and a text of 8,000 secrets."""
+    rng = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    token = "".join(rng.choice(alphabet) for _ in range(300_000))
+    many = "".join(f"\U0001d4b3\u00e9 token: {rng.getrandbits(40):011x} and " for _ in range(8_000))
+    made = [f"image {token} end", "Zm9vYmFy" * 131_072, many, "word " * 40_000]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id int, text string").repartition(4)
+    found = {r.doc_id: r for r in secret_scan.find_secrets(df, ("doc_id", "text")).withColumn("t", secret_scan.redact(F.col("text"), F.col("secrets"))).collect()}
+    assert [tuple(s) for s in found[0].secrets] == [(6, 300_006, 3)] and found[0].t == "image [SECRET] end"
+    assert not found[1].secrets and found[1].t == made[1] and not found[3].secrets
+    spans = [m.span() for m in re.finditer("token: [0-9a-f]+", many)]
+    assert [(s.start, s.end) for s in found[2].secrets if s.kind == 0] == spans and found[2].t == re.sub("token: [0-9a-f]+", "[SECRET]", many)
+
+
+def test_scan(spark):
+    for n in (0, 1, 2, 3, 17, 100, 1_000):
+        row = spark.range(1).select(secret_scan.scan(F.array_remove(F.sequence(F.lit(0), F.lit(n)), 0), F.lit(0), lambda at, x: at + x, "int").alias("out")).first()
+        assert row.out == [i * (i + 1) // 2 for i in range(1, n + 1)]
+
+
 def test_secrets_after_a_sign(spark):
     """Random values right after an equals sign, with a name that no base pattern knows."""
     rng = random.Random(10)
