@@ -21,6 +21,7 @@ from .packing import pack_documents
 from .quality_rules import quality_verdicts
 from .secret_scan import KINDS, find_secrets, span_text
 from .substring_dedup import repeated_passages
+from .token_alignment import align_tokens
 from .token_counts import token_counts
 
 
@@ -76,6 +77,10 @@ def op10_media_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiff_digests(tiff_from_text(documents(spark, sf_dir)))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"), tokenizer("piece_bpe_32k.model"))
+
+
 def op12_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("n_chars", F.char_length("text").cast("long"))
 
@@ -84,4 +89,4 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim_digests(fill_in_middle(documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_packing, op4_lm_suffix_tree, op5_token_counts, op6_mixing, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_media_tiff, op12_html_extraction, op13_fill_in_middle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_substring_dedup, op3_packing, op4_lm_suffix_tree, op5_token_counts, op6_mixing, op7_secret_scan, op8_ngram_join, op9_quality_rules, op10_media_tiff, op11_token_alignment, op12_html_extraction, op13_fill_in_middle)}
