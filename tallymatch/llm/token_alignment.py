@@ -7,8 +7,10 @@ offsets; rows are dealt by document, sorted by offset, and streamed through a ma
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import json
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +25,13 @@ from .common import kept, slices
 WINDOW, MOST_LINKS = 1 << 14, 1 << 18
 #: Parts of texts whose tokens a worker remembers, before it starts anew.
 MEMO = 300_000
+#: New parts that go through a library at once.
+TOGETHER = 2_048
 
-EVENTS = "window long, side int, ends binary, ids binary"
+#: Fixed value: how byte-level tokenizers of this kind part a text before merging.
+SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+EVENTS = "window long, side int, begin int, ids binary"
 LINKS = "n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, links binary"
 _PLAIN = regex.compile(r"[\n\r\t\x20-\x7e¡-¬®-ɏ‐-‧€]*+")
 
@@ -49,7 +56,7 @@ class Tokens:
             norm = spec.normalizer_spec
             self.bytes_of = [bytes([int(p.piece[1:-1], 16)]) if p.type == p.BYTE else p.piece.replace(mark, " ").encode() for p in spec.pieces]
             self.apart = not norm.precompiled_charsmap and norm.add_dummy_prefix and norm.escape_whitespaces and not norm.remove_extra_whitespaces and all(mark not in p.piece.lstrip(mark) for p in spec.pieces)
-            self.encode = lambda texts: model.encode(texts, num_threads=1)
+            self.encode = self.joined = lambda texts: model.encode(texts, num_threads=1)
         else:
             from tokenizers import Tokenizer
 
@@ -61,13 +68,28 @@ class Tokens:
             self.bytes_of = [b""] * (max(vocabulary.values()) + 1)
             for token, i in vocabulary.items():
                 self.bytes_of[i] = bytes(level[c] for c in token) if all(c in level for c in token) else token.encode()
-            import json
-
             own = json.loads(model.to_str())["pre_tokenizer"] or {}
             self.apart = own.get("type") == "ByteLevel" and own.get("use_regex", True) and not own.get("add_prefix_space") and model.normalizer is None
-            self.encode = lambda texts: [e.ids for e in model.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+            self.encode = lambda texts: [model.encode(f" {t}", add_special_tokens=False).ids for t in texts]
+            self.joined = self._by_ranks(json.loads(model.to_str())["model"]) if self.apart else self.encode
         self.sizes = np.array([len(x) for x in self.bytes_of], np.int64)
 
+    def _by_ranks(self, model: dict) -> Callable[[list[str]], list[list[int]]]:
+        """The same ids by tiktoken, which is quicker, where merges make ids in their order and every token makes itself:
+        then the first merge that fits is the one of the least id. Else the library's own way."""
+        level, merges = _byte_level(), [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        made = [model["vocab"].get(a + b) for a, b in merges]
+        ranks = {bytes(level[c] for c in token): i for token, i in model["vocab"].items() if all(c in level for c in token)}
+        if made != sorted(made) or len(ranks) != len(model["vocab"]) or set(made) | {ranks.get(bytes([b])) for b in range(256)} != set(ranks.values()):
+            return self.encode
+        import tiktoken
+
+        quick = tiktoken.Encoding("own", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
+        own = [t for t in (x.decode("utf-8", "ignore") for x in ranks) if t]
+        if any(quick.encode_ordinary(f" {t}") != ids for t, ids in zip(own, self.encode(own), strict=True)):
+            return self.encode
+        return lambda texts: [quick.encode_ordinary(f" {t}") for t in texts]
+
 
 class Pair:
     """Both tokenizers over texts: their ids where both give back the text, by parts between single spaces where that is exact."""
@@ -75,20 +97,37 @@ class Pair:
     def __init__(self, path_a: str, path_b: str) -> None:
         self.sides = (Tokens(path_a), Tokens(path_b))
         self.apart = all(t.apart for t in self.sides)
-        self.memo: dict[str, int] = {}
-        self.whole = np.zeros(0, bool)
-        self.ids = [np.zeros(0, np.uint16), np.zeros(0, np.uint16)]
-        self.starts = [np.zeros(1, np.int64), np.zeros(1, np.int64)]
+        self._forget()
 
     def _learn(self, parts: list[str]) -> None:
-        found = [t.encode(parts) for t in self.sides]
-        whole = np.ones(len(parts), bool)
-        for k, (t, lists) in enumerate(zip(self.sides, found, strict=True)):
-            whole &= [b"".join(map(t.bytes_of.__getitem__, ids)) == b" " + part.encode() for part, ids in zip(parts, lists, strict=True)]
-            self.ids[k] = np.concatenate([self.ids[k], np.fromiter((i for ids in lists for i in ids), np.uint16)])
-            self.starts[k] = np.concatenate([self.starts[k], self.starts[k][-1] + np.cumsum([len(ids) for ids in lists])])
-        self.whole = np.concatenate([self.whole, whole])
+        """New parts' ids: many parts in a row go through each library at once, and are told apart by where they end."""
+        for i in range(0, len(parts), TOGETHER):
+            some = parts[i : i + TOGETHER]
+            text = " ".join(some)
+            data = b" " + text.encode()
+            ends_of = np.cumsum([len(part.encode()) + 1 for part in some])
+            found = [np.array(t.joined([text])[0], np.uint16) for t in self.sides]
+            upto = [np.cumsum(t.sizes[ids]) for t, ids in zip(self.sides, found, strict=True)]
+            cuts = [np.searchsorted(ends, ends_of) for ends in upto]
+            if all(b"".join(map(t.bytes_of.__getitem__, ids.tolist())) == data and np.array_equal(ends[at], ends_of) for t, ids, ends, at in zip(self.sides, found, upto, cuts, strict=True)):
+                self._keep(some, found, [at + 1 for at in cuts], np.ones(len(some), bool))
+            else:
+                alone = [[t.encode([part])[0] for part in some] for t in self.sides]
+                whole = [all(b"".join(map(t.bytes_of.__getitem__, lists[k])) == b" " + part.encode() for t, lists in zip(self.sides, alone, strict=True)) for k, part in enumerate(some)]
+                self._keep(some, [np.fromiter(chain.from_iterable(lists), np.uint16) for lists in alone], [np.cumsum([len(ids) for ids in lists]) for lists in alone], np.array(whole))
+
+    def _keep(self, parts: list[str], ids: list[np.ndarray], ends: list[np.ndarray], whole: np.ndarray) -> None:
         self.memo.update(zip(parts, range(len(self.memo), len(self.memo) + len(parts)), strict=True))
+        self.whole.append(whole)
+        for k in (0, 1):
+            self.ends[k].append(ends[k] + self.size[k])
+            self.ids[k].append(ids[k])
+            self.size[k] += len(ids[k])
+
+    def _forget(self) -> None:
+        self.memo: dict[str, int] = {}
+        self.whole = [np.zeros(0, bool)]
+        self.ids, self.ends, self.size = [[np.zeros(0, np.uint16)] for _ in "ab"], [[np.zeros(1, np.int64)] for _ in "ab"], [0, 0]
 
     def _whole(self, text: str) -> list[np.ndarray]:
         """Ids of a text that goes through the libraries as it is."""
@@ -102,21 +141,34 @@ class Pair:
         parted = [parts if "" not in parts else None for parts in parted]
         new = set().union(*filter(None, parted)).difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
-            self.memo, self.whole = {}, self.whole[:0]
-            self.ids, self.starts = [x[:0] for x in self.ids], [x[:1] for x in self.starts]
+            self._forget()
             new = set().union(*filter(None, parted))
-        if new:
-            self._learn(sorted(new))
+        self._learn(list(new))
+        self.whole = [np.concatenate(self.whole)]
+        self.ids, self.ends = ([[np.concatenate(x)] for x in kept] for kept in (self.ids, self.ends))
+        whole, (ids_a, ids_b), (ends_a, ends_b) = self.whole[0], (x[0] for x in self.ids), (x[0] for x in self.ends)
         out = []
         for text, parts in zip(texts, parted, strict=True):
             if not parts:
                 out.append(self._whole(text) if text else [np.zeros(0, np.uint16)] * 2)
                 continue
             rows = np.fromiter(map(self.memo.__getitem__, parts), np.int64, len(parts))
-            out.append([gathered(ids, starts, rows) for ids, starts in zip(self.ids, self.starts, strict=True)] if self.whole[rows].all() else [np.zeros(0, np.uint16)] * 2)
+            out.append([gathered(ids_a, ends_a, rows), gathered(ids_b, ends_b, rows)] if whole[rows].all() else [np.zeros(0, np.uint16)] * 2)
         return out
 
 
+def packed(ids: np.ndarray) -> bytes:
+    """Ids of 16 bits, low bytes and high bytes apart, compressed; their number goes before."""
+    both = ids.astype("<u2").view(np.uint8).reshape(-1, 2).T.tobytes()
+    return len(ids).to_bytes(4, "little") + pa.compress(both, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:4], "little")
+    both = np.frombuffer(pa.decompress(data[4:], 2 * n, "zstd", asbytes=True), np.uint8).reshape(2, -1)
+    return both[0].astype(np.int64) | both[1].astype(np.int64) << 8
+
+
 def gathered(values: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """The values of the rows given, one after another."""
     begins, sizes = starts[rows], starts[rows + 1] - starts[rows]
@@ -130,15 +182,16 @@ def _pair(path_a: str, path_b: str) -> Pair:
 
 
 def events(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
-    """row (of df), key, window, side (0 and 1), and the ends and ids of its tokens that end in that window.
+    """row (of df), key, window, side (0 and 1), and its tokens that end in that window: their ids, 16 bits each, compressed,
+    and where the first begins, from the window's own offset on. An id's bytes give its token's end.
 
-    Ends are 16-bit offsets into the window, ids 16 bits each. Every row of df has a row of events at least.
+    Every row of df has a row of events at least.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(path_a, path_b)
         for b in slices(batches, 2, size=1 << 20):
-            at, windows, sides, ends_of, ids_of = [], [], [], [], []
+            at, windows, sides, begins, ids_of = [], [], [], [], []
             for i, found in enumerate(pair.tokens(b.column(2).to_pylist())):
                 for side, ids in enumerate(found):
                     ends = np.cumsum(pair.sides[side].sizes[ids])
@@ -150,10 +203,10 @@ def events(df: DataFrame, path_a: str, path_b: str) -> DataFrame:
                             at.append(i)
                             windows.append(first)
                             sides.append(side)
-                            ends_of.append((part - 1 - first * WINDOW).astype("<u2").tobytes())
-                            ids_of.append(part_ids.astype("<u2").tobytes())
+                            begins.append(int(part[0]) - int(pair.sides[side].sizes[part_ids[0]]) - first * WINDOW if len(part) else 0)
+                            ids_of.append(packed(part_ids))
             rows = pa.array(at, pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(windows, pa.int64()), pa.array(sides, pa.int32()), pa.array(ends_of, pa.binary()), pa.array(ids_of, pa.binary())], names=["row", "key", "window", "side", "ends", "ids"])
+            yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.array(windows, pa.int64()), pa.array(sides, pa.int32()), pa.array(begins, pa.int32()), pa.array(ids_of, pa.binary())], names=["row", "key", "window", "side", "begin", "ids"])
 
     return df.mapInArrow(cut, StructType([*df.schema.fields[:2], *StructType.fromDDL(EVENTS)]))
 
@@ -222,14 +275,14 @@ class Machine:
         return row
 
 
-def sweep(found: DataFrame) -> DataFrame:
+def sweep(found: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """row, key, sums, groups_sha256 (in a document's last row alone) and links, 32 bits each, in one or more rows a document.
 
     Rows of a document come together and by offset, so no more than a window and the open group is held of any.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = Names()
+        names, sizes = Names(), [t.sizes for t in _pair(path_a, path_b).sides]
         none = [np.zeros(0, np.int64), np.zeros(0, np.int64)]
         machine, current, own, window = None, None, None, None
         ends, ids = list(none), list(none)
@@ -250,16 +303,16 @@ def sweep(found: DataFrame) -> DataFrame:
             rows.clear()
             return made
 
-        for b in slices(batches, 4, 5):
-            for i, (key, w, side, e, d) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 6)), strict=True)):
+        for b in slices(batches, 5):
+            for i, (key, w, side, begin, data) in enumerate(zip(*(b.column(c).to_pylist() for c in range(1, 6)), strict=True)):
                 if machine and (key != current or w != window):
                     close(key != current)
                     ends, ids = list(none), list(none)
                 if key != current:
                     machine, current, own = Machine(names), key, b.column(0).slice(i, 1)
                 window = w
-                ends[side] = np.frombuffer(e, "<u2").astype(np.int64)
-                ids[side] = np.frombuffer(d, "<u2").astype(np.int64)
+                ids[side] = unpacked(data)
+                ends[side] = begin + np.cumsum(sizes[side][ids[side]])
             if len(out) >= 1000 or sum(len(r[6]) for r in out) > 1 << 22:
                 yield batch()
         if machine:
@@ -326,7 +379,7 @@ def align_tokens(df: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id"
     """
     spark = df.sparkSession
     rows = df.select(F.struct(F.col(id_col).alias("id")).alias("row"), F.monotonically_increasing_id().alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    linked = kept(sweep(events(rows, path_a, path_b)), "links")
+    linked = kept(sweep(events(rows, path_a, path_b), path_a, path_b), "links")
     counted = link_counts(linked)
     best = counted.groupBy(F.col("pair") % (1 << 16)).agg(F.max("count").alias("most"), F.collect_list(F.struct("pair", "count")).alias("pairs"))
     table = best.select("most", F.explode("pairs").alias("x")).select("x.pair", "x.count", (F.col("x.count") == F.col("most")).alias("best")).toArrow().sort_by("pair")

@@ -64,7 +64,7 @@ def plain(texts):
 
 @pytest.mark.parametrize(("window", "most", "memo"), [(1 << 14, 1 << 18, 300_000), (64, 50, 40)])
 def test_against_the_definition(spark, monkeypatch, window, most, memo):
-    for name, value in (("WINDOW", window), ("MOST_LINKS", most), ("MEMO", memo)):
+    for name, value in (("WINDOW", window), ("MOST_LINKS", most), ("MEMO", memo), ("TOGETHER", min(memo, 2048))):
         monkeypatch.setattr(token_alignment, name, value)
     texts = made()
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0]), (None, texts[0]), (5, texts[5])]
@@ -85,6 +85,15 @@ def test_tokens_by_parts_are_those_of_whole_texts():
         assert all(np.array_equal(x, t.encode([text])[0]) for x, t in zip(found, pair.sides, strict=True)), repr(text)
 
 
+def test_quick_ids_are_the_library_s():
+    pair = token_alignment.Pair(A, B)
+    assert pair.apart and pair.sides[0].joined is not pair.sides[0].encode
+    rng = random.Random(9)
+    alphabet = [chr(c) for c in (*range(0x20, 0x7F), *range(0xA1, 0x250), 0x2010, 0x2019, 0x20AC, 9, 10, 13) if c != 0xAD]
+    texts = ["".join(rng.choice(alphabet) for _ in range(60)) for _ in range(3_000)] + alphabet
+    assert pair.sides[0].joined(texts) == pair.sides[0].encode(texts)
+
+
 def test_bound_of_pairs():
     assert 100_000 < token_alignment.most_pairs(A, B) < 1_000_000
 
@@ -101,4 +110,4 @@ def test_machine_links_all_tokens_without_bytes():
 def test_rows_of_events(spark):
     df = spark.createDataFrame([(1, "a b"), (2, None)], "id int, text string").select(F.struct("id").alias("row"), F.monotonically_increasing_id().alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     rows = token_alignment.events(df, A, B).collect()
-    assert sorted((r.row.id, r.side, list(r.ends[::2])) for r in rows) == [(1, 0, [1, 3]), (1, 1, [1, 3]), (2, 0, [])]
+    assert sorted((r.row.id, r.side, r.begin, len(token_alignment.unpacked(r.ids))) for r in rows) == [(1, 0, 0, 2), (1, 1, 0, 2), (2, 0, 0, 0)]
