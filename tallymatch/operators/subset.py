@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import DEFAULTS, Config
+from .keyed import clawbacks, covered_payments
 
 
 def _sums(amounts: np.ndarray) -> np.ndarray:
@@ -60,8 +61,9 @@ def expected(part: np.ndarray, whole: int, net: int) -> np.ndarray:
 
 
 def solve(payments: list[int], credits: list[int], net: int, epsilon: int, config: Config = DEFAULTS) -> tuple[str, list[int]]:
-    """(verdict, a mask of payments for each credit). Credits come largest first; each but the last needs a unique subset
-    of what is left, and the last takes the rest, which must bring it within epsilon too."""
+    """(verdict, a mask of payments for each credit that is settled). Credits come largest first; each but the last needs a
+    unique subset of what is left, and the last takes the rest, which must bring it within epsilon too. The credit after the
+    settled ones is what a refusal is about."""
     gross, left, masks = sum(payments), list(range(len(payments))), []
     if gross <= 0:
         return "FAILED", []
@@ -77,11 +79,11 @@ def solve(payments: list[int], credits: list[int], net: int, epsilon: int, confi
         near = max(0, (credit - epsilon - 1) * gross // net - 1), min(gross, (credit + epsilon + 1) * gross // net + 1)
         found, exhaustive = find_subsets(amounts, *near, 2, lambda sums, credit=credit: np.abs(expected(sums, gross, net) - credit) <= epsilon, config)
         if len(found) > 1:
-            return "AMBIGUOUS", []
+            return "AMBIGUOUS", masks
         if not found:
             return "FAILED", []
         if not exhaustive:
-            return "UNPROVEN", []
+            return "UNPROVEN", masks
         taken = [left[i] for i in range(len(left)) if found[0] >> i & 1]
         masks.append(sum(1 << i for i in taken))
         left = [i for i in left if i not in set(taken)]
@@ -92,7 +94,7 @@ def partition_batches(batches: DataFrame, config: Config = DEFAULTS) -> DataFram
     """(settlement_id, verdict, payment_id, txn_id) over batches (settlement_id, net_minor, payments, credits).
 
     payments and credits are arrays of (id, amount), bounded by a batch; one row per settled payment, or one without
-    payment and credit where there is no unique answer.
+    a payment where there is no unique answer, with the credit that has several (AMBIGUOUS) or is not proved (UNPROVEN).
     """
 
     def run(frames):
@@ -102,7 +104,10 @@ def partition_batches(batches: DataFrame, config: Config = DEFAULTS) -> DataFram
                 payments = sorted(((p["id"], int(p["amount"])) for p in payments))
                 credits = sorted(((c["id"], int(c["amount"])) for c in credits), key=lambda c: (-c[1], c[0]))
                 verdict, masks = solve([a for _, a in payments], [a for _, a in credits], int(net), config.subset_epsilon_minor, config)
-                out += [(sid, verdict, payments[i][0], credits[k][0]) for k, mask in enumerate(masks) for i in range(len(payments)) if mask >> i & 1] or [(sid, verdict, None, None)]
+                if verdict == "UNIQUE":
+                    out += [(sid, verdict, payments[i][0], credits[k][0]) for k, mask in enumerate(masks) for i in range(len(payments)) if mask >> i & 1]
+                else:
+                    out.append((sid, verdict, None, None if verdict == "FAILED" else credits[len(masks)][0]))
             yield pd.DataFrame(out, columns=["settlement_id", "verdict", "payment_id", "txn_id"])
 
     return batches.select("settlement_id", "net_minor", "payments", "credits").mapInPandas(run, "settlement_id string, verdict string, payment_id string, txn_id string")
@@ -112,13 +117,33 @@ def _of_batch(df: DataFrame, key: str, amount: str, name: str) -> DataFrame:
     return df.groupBy("settlement_id").agg(F.collect_list(F.struct(F.col(key).alias("id"), F.col(amount).alias("amount"))).alias(name), F.sum(amount).alias(f"{name}_sum"), F.count("*").alias(f"n_{name}"))
 
 
+def travelled(settlements: DataFrame, payments: DataFrame) -> DataFrame:
+    """(settlement_id, payment_id, amount_minor) of what arrived of the settlements' payments: all but one that a negative
+    adjustment has taken out. Shares of a net are of these, as the others are in no credit."""
+    own = payments.select("settlement_id", "payment_id", "amount_minor").join(settlements.select("settlement_id").distinct(), "settlement_id", "left_semi")
+    return covered_payments(own, clawbacks(settlements, own))
+
+
 def tier2(settlements: DataFrame, credits: DataFrame, payments: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """partition_batches of open settlements whose two or more open keyed credits come to their net, give or take epsilon."""
     keyed = settlements.select("settlement_id", "utr", "net_minor").join(credits.where("utr is not null").select("utr", "txn_id", "credit_minor"), "utr")
     sums = keyed.groupBy("settlement_id", "net_minor").agg(F.count("*").alias("n"), F.sum("credit_minor").alias("total"))
-    split = sums.where((F.col("n") > 1) & (F.abs(F.col("total") - F.col("net_minor")) <= config.subset_epsilon_minor)).select("settlement_id", "net_minor")
-    batches = split.join(_of_batch(keyed.join(split.select("settlement_id"), "settlement_id", "left_semi"), "txn_id", "credit_minor", "credits"), "settlement_id")
-    return partition_batches(batches.join(_bounded(payments, split, config), "settlement_id"), config)
+    split = sums.where((F.col("n") > 1) & (F.abs(F.col("total") - F.col("net_minor")) <= config.subset_epsilon_minor) & (F.col("net_minor") > 0)).select("settlement_id")
+    batches = settlements.join(split, "settlement_id", "left_semi")
+    return _partitioned(batches, keyed.join(split, "settlement_id", "left_semi"), travelled(batches, payments), config)
+
+
+def _partitioned(batches: DataFrame, keyed: DataFrame, own: DataFrame, config: Config) -> DataFrame:
+    """partition_batches of batches with their credits and payments. One of more than subset_most payments or credits is not
+    gathered nor searched: it is UNPROVEN on its largest credit, by counts alone."""
+    few = lambda df: df.groupBy("settlement_id").agg(F.count("*").alias("n")).where(F.col("n") <= config.subset_most).select("settlement_id")
+    fit = few(own).join(few(keyed), "settlement_id")
+    small = batches.select("settlement_id", "net_minor").join(fit, "settlement_id", "left_semi")
+    small = small.join(_of_batch(own.join(fit, "settlement_id", "left_semi"), "payment_id", "amount_minor", "payments"), "settlement_id")
+    small = small.join(_of_batch(keyed.join(fit, "settlement_id", "left_semi"), "txn_id", "credit_minor", "credits"), "settlement_id")
+    large = own.select("settlement_id").distinct().join(fit, "settlement_id", "left_anti")
+    first = keyed.join(large, "settlement_id", "left_semi").groupBy("settlement_id").agg(F.min_by("txn_id", F.struct(-F.col("credit_minor"), "txn_id")).alias("txn_id"))
+    return partition_batches(small, config).unionAll(first.select("settlement_id", F.lit("UNPROVEN"), F.lit(None).cast("string"), "txn_id"))
 
 
 def split_pools(settlements: DataFrame, credits: DataFrame, profiles: DataFrame, config: Config = DEFAULTS) -> DataFrame:
@@ -126,7 +151,11 @@ def split_pools(settlements: DataFrame, credits: DataFrame, profiles: DataFrame,
     name_days that bear a spelling of their merchant, two at least and subset_most at most."""
     bare = credits.where("utr is null and merchant is not null").select(F.col("merchant").alias("spelling"), "txn_id", "credit_minor", "value_date")
     keyless = settlements.where("net_minor > 0").join(credits.where("utr is not null").select("utr").distinct(), "utr", "left_anti")
-    own = keyless.select("settlement_id", "merchant_id", "net_minor", "settled_on").join(profiles, "merchant_id").join(bare, "spelling").where((F.abs(F.date_diff("value_date", "settled_on")) <= config.name_days) & (F.col("credit_minor") <= F.col("net_minor")))
+    width = 2 * config.name_days + 1
+    number = lambda c: F.unix_date(F.col(c))
+    claims = keyless.select("settlement_id", "merchant_id", "net_minor", "settled_on").join(profiles, "merchant_id")
+    claims = claims.withColumn("_days", F.explode(F.sequence(F.floor((number("settled_on") - config.name_days) / width), F.floor((number("settled_on") + config.name_days) / width))))
+    own = claims.join(bare.withColumn("_days", F.floor(number("value_date") / width)), ["spelling", "_days"]).where((F.abs(F.date_diff("value_date", "settled_on")) <= config.name_days) & (F.col("credit_minor") <= F.col("net_minor")))
     own = own.select("settlement_id", "net_minor", "txn_id", "credit_minor").distinct()
     sizes = own.groupBy("settlement_id").agg(F.count("*").alias("n")).where(F.col("n").between(2, config.subset_most)).select("settlement_id")
     return own.join(sizes, "settlement_id", "left_semi").groupBy("settlement_id", "net_minor").agg(F.collect_list(F.struct(F.col("txn_id").alias("id"), F.col("credit_minor").alias("amount"))).alias("credits"))
@@ -136,15 +165,8 @@ def split_completion(settlements: DataFrame, credits: DataFrame, payments: DataF
     """partition_batches of settlements whose credits have lost their reference: the only set of their merchant's credits
     that sums to the net is found first, then the payments are parted over it as in tier 2."""
     sets = tranche_sets(split_pools(settlements, credits, profiles, config), config).where("verdict = 'UNIQUE'").join(credits.select("txn_id", "credit_minor"), "txn_id")
-    tranches = _of_batch(sets, "txn_id", "credit_minor", "credits").join(settlements.select("settlement_id", "net_minor"), "settlement_id")
-    return partition_batches(tranches.join(_bounded(payments, tranches, config), "settlement_id"), config)
-
-
-def _bounded(payments: DataFrame, batches: DataFrame, config: Config) -> DataFrame:
-    """The payments of batches as arrays; a batch of more than subset_most is not gathered, nor searched."""
-    own = payments.join(batches.select("settlement_id"), "settlement_id", "left_semi")
-    fit = own.groupBy("settlement_id").agg(F.count("*").alias("n")).where(F.col("n") <= config.subset_most).select("settlement_id")
-    return _of_batch(own.join(fit, "settlement_id", "left_semi"), "payment_id", "amount_minor", "payments")
+    batches = settlements.join(sets.select("settlement_id").distinct(), "settlement_id", "left_semi")
+    return _partitioned(batches, sets.select("settlement_id", "txn_id", "credit_minor"), travelled(batches, payments), config)
 
 
 def tranche_sets(pools: DataFrame, config: Config = DEFAULTS) -> DataFrame:

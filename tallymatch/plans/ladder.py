@@ -2,91 +2,127 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.money import allocate, expected_credit
+from ..functions.money import allocate
 from ..operators.duplicates import duplicate_postings
 from ..operators.graph import tier4
 from ..operators.keyed import clawbacks, covered_payments, spread, tier0, tier1
 from ..operators.lexical import merchant_profiles, tier3
 from ..operators.policy import decision
-from ..operators.subset import split_completion, tier2
-from ..sources.sinks import stored
+from ..operators.subset import split_completion, tier2, travelled
+from ..operators.verify import verify_proposals
 from ..schema import DEFAULTS, Config
+from ..sources.sinks import stored
+
+#: Called before a tier takes from the pools: tier, open settlements, open credits.
+Watch = Callable[[int, DataFrame, DataFrame], None]
+LINKS = "settlement_id string, txn_id string, tier int, p double, outcome string"
+
 
 def verified_shares(rows: DataFrame, settlements: DataFrame, payments: DataFrame, credits: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """rows (payment_id, txn_id, settlement_id) with verified: whether the payments that travel in a credit are all of that
     settlement, once each, and come to it, give or take epsilon, by the sources' own figures."""
-    own = rows.select("payment_id", "txn_id", "settlement_id").join(payments.select("payment_id", F.col("settlement_id").alias("_nested"), "amount_minor"), "payment_id", "left")
-    sums = own.groupBy("settlement_id", "txn_id").agg(F.sum("amount_minor").alias("part"), F.min(F.coalesce(F.col("_nested") == F.col("settlement_id"), F.lit(False))).alias("nested"), (F.count("*") == F.countDistinct("payment_id")).alias("once"))
-    gross = payments.groupBy("settlement_id").agg(F.sum("amount_minor").alias("gross"))
-    sums = sums.join(gross, "settlement_id").join(settlements.select("settlement_id", "net_minor"), "settlement_id").join(credits.where("credit_minor > 0").select("txn_id", "credit_minor"), "txn_id")
-    fits = F.abs(expected_credit(F.col("part"), F.col("gross"), F.col("net_minor")) - F.col("credit_minor")) <= config.subset_epsilon_minor
-    checks = sums.select("settlement_id", "txn_id", (F.col("nested") & F.col("once") & fits).alias("verified"))
-    return rows.join(checks, ["settlement_id", "txn_id"], "left").withColumn("verified", F.coalesce("verified", F.lit(False)))
+    key = F.concat_ws("\0", "settlement_id", "txn_id")
+    checks = verify_proposals(rows.select(key.alias("proposal_id"), "txn_id", "settlement_id", "payment_id"), payments, settlements, credits, config)
+    return rows.withColumn("proposal_id", key).join(checks.select("proposal_id", "verified"), "proposal_id").drop("proposal_id")
+
+
+def without(rows: DataFrame, taken: list[DataFrame], key: str) -> DataFrame:
+    """rows whose key is in none of the tables of what is taken."""
+    return reduce(lambda out, t: out.join(t.select(key), key, "left_anti"), taken, rows)
 
 
-def reconcile(settlements: DataFrame, payments: DataFrame, bank: DataFrame, config: Config = DEFAULTS, tiers: tuple[int, ...] = (0, 1, 2, 3, 4)) -> DataFrame:
+def reconcile(settlements: DataFrame, payments: DataFrame, bank: DataFrame, config: Config = DEFAULTS, tiers: tuple[int, ...] = (0, 1, 2, 3, 4), watch: Watch | None = None) -> DataFrame:
     """Payment links (payment_id, txn_id, settlement_id, tier, p, outcome, share_minor, verified, decision) of all tiers.
 
     bank has utr and merchant read from its narrations. A refusal takes its settlement out of the pool, stays in the result
     with its share of the certainty and counts as a rival claimant; a settlement is matched once, by the first tier that
-    can. Tiers 2 and 3 take turns while a turn links anything, residual_passes times at most; then splits without a
-    reference are completed, and tier 4 infers from what is certain. What it adds opens nothing to the others, so it
-    comes once. tiers: those that take part.
+    can. tiers: those that take part.
+
+    What the keyed tiers leave is written once. After that a turn of tiers 2, 3 and 4 writes its own links and nothing
+    else: pools are what was left, less the tables of what has been taken since. The first turn looks at all that is open,
+    a later one only at what the last has freed. A taken credit can change the answer only for settlements that have it
+    among their keyed credits: tier 3 refuses or links every settlement that any open credit fits, and a smaller pool
+    gives the others none. So the next turn has the open settlements that share a reference with a taken credit, and
+    the loop ends where there are none, residual_passes at the latest. Splits without a reference are completed last.
     """
+    none = settlements.sparkSession.createDataFrame([], LINKS)
     credits = stored(bank.where("credit_minor > 0"), "credits")
     reposted = duplicate_postings(credits, config.duplicate_days)
-    pool = stored(credits.join(reposted.select("txn_id"), "txn_id", "left_anti"), "pool")
-    open_ = claimants = stored(settlements, "open")
-    keyed: list[DataFrame] = []
-    parted: list[DataFrame] = []
-
-    def settle(links: DataFrame) -> int:
-        """Takes what (settlement_id, txn_id, outcome) links or refuses out of the pools; how many rows it links."""
-        nonlocal open_, claimants, pool
-        linked = links.where("outcome = 'LINKED'")
-        n = linked.count()
-        open_ = stored(open_.join(links.select("settlement_id").distinct(), "settlement_id", "left_anti"), "open")
-        if n:
-            claimants = stored(claimants.join(linked.select("settlement_id").distinct(), "settlement_id", "left_anti"), "claimants")
-            pool = stored(pool.join(linked.select("txn_id").distinct(), "txn_id", "left_anti"), "pool")
-        return n
-
-    def part(batches: DataFrame) -> int:
-        rows = stored(batches.where("verdict = 'UNIQUE'").select("payment_id", "txn_id", "settlement_id"), "parts")
-        parted.append(rows)
-        return settle(rows.select("settlement_id", "txn_id", F.lit("LINKED").alias("outcome")).distinct())
-
-    for tier, run in ((0, lambda: tier0(open_, pool)), (1, lambda: tier1(open_, pool, config))):
-        if tier in tiers:
-            keyed.append(stored(run(), "links"))
-            settle(keyed[-1])
+    pool = credits.join(reposted.select("txn_id"), "txn_id", "left_anti")
+    linked = lambda links: links.where("outcome = 'LINKED'")
+    keyed = [none, none]
+    if 0 in tiers:
+        keyed[0] = stored(tier0(settlements, pool), "links")
+    if 1 in tiers:
+        keyed[1] = stored(tier1(without(settlements, keyed[:1], "settlement_id"), without(pool, [linked(keyed[0])], "txn_id"), config), "links")
+    refused = reduce(DataFrame.unionAll, [k.where("outcome != 'LINKED'").select("settlement_id").distinct() for k in keyed]).distinct().withColumn("refused", F.lit(True))
+    left = stored(without(settlements, [linked(k) for k in keyed], "settlement_id").join(refused, "settlement_id", "left").withColumn("refused", F.coalesce("refused", F.lit(False))), "left")
+    pool = stored(without(pool, [linked(k) for k in keyed], "txn_id"), "pool")
     profiles = stored(merchant_profiles(settlements, credits), "profiles")
-    for _ in range(config.residual_passes if {2, 3} & set(tiers) else 0):
-        added = part(tier2(open_, pool, payments, config)) if 2 in tiers else 0
+
+    gone: list[DataFrame] = []  # settlements settled or refused since
+    settled: list[DataFrame] = []
+    taken: list[DataFrame] = []  # credits
+    parts: list[DataFrame] = []
+    open_ = left.where("not refused").drop("refused")
+    opened = lambda rows: without(rows, gone, "settlement_id")
+
+    def part(batches: DataFrame, refuse: bool = True) -> None:
+        """Takes what a partition settles, and what it refuses if it may, out of the pools."""
+        found = stored(batches.where("txn_id is not null" if refuse else "verdict = 'UNIQUE'"), "parts")
+        unique = found.where("verdict = 'UNIQUE'")
+        gone.append(found.select("settlement_id").distinct())
+        settled.append(unique.select("settlement_id").distinct())
+        taken.append(unique.select("txn_id").distinct())
+        keyed.append(found.where("verdict != 'UNIQUE'").select("settlement_id", "txn_id", F.lit(2).alias("tier"), F.lit(0.5).alias("p"), F.col("verdict").alias("outcome")))
+        parts.append(unique.select("payment_id", "txn_id", "settlement_id"))
+
+    def shares(links: list[DataFrame], split: list[DataFrame]) -> DataFrame:
+        rows = spread(reduce(DataFrame.unionByName, [k.select(none.columns) for k in links], none), payments, credits, settlements)
+        if split:
+            whole = reduce(DataFrame.unionAll, split)
+            own = travelled(settlements.join(whole.select("settlement_id").distinct(), "settlement_id", "left_semi"), payments)
+            tranches = whole.join(own.select("payment_id", "amount_minor"), "payment_id").join(credits.select("txn_id", "credit_minor"), "txn_id")
+            tranches = verified_shares(allocate(tranches, ["settlement_id", "txn_id"], "credit_minor", "amount_minor", "payment_id"), settlements, own, credits, config)
+            rows = rows.unionAll(tranches.select("payment_id", "txn_id", "settlement_id", F.lit(2).alias("tier"), F.lit(1.0).alias("p"), F.lit("LINKED").alias("outcome"), "share_minor", "verified"))
+        return rows
+
+    fresh, result, done = open_, [], (0, 0)
+    for _ in range(config.residual_passes if {2, 3, 4} & set(tiers) else 0):
+        before = len(taken)
+        if 2 in tiers:
+            if watch:
+                watch(2, opened(fresh), without(pool, taken, "txn_id"))
+            part(tier2(opened(fresh), without(pool, taken, "txn_id"), payments, config))
         if 3 in tiers:
-            keyed.append(stored(tier3(open_, pool, profiles, claimants, credits, config), "links"))
-            added += settle(keyed[-1])
-        if not added:
+            if watch:
+                watch(3, opened(fresh), without(pool, taken, "txn_id"))
+            keyed.append(stored(tier3(opened(fresh), without(pool, taken, "txn_id"), profiles, without(left, settled, "settlement_id").drop("refused"), credits, config), "links"))
+            gone.append(keyed[-1].select("settlement_id").distinct())
+            settled.append(linked(keyed[-1]).select("settlement_id").distinct())
+            taken.append(linked(keyed[-1]).select("txn_id").distinct())
+        rows = stored(shares(keyed[done[0] :], parts[done[1] :]), "rows")
+        done = len(keyed), len(parts)
+        result.append(rows)
+        if 4 in tiers:
+            premises = rows.where(F.col("verified") & (F.col("p") >= config.tau_high))
+            own = payments.join(premises.select("settlement_id").distinct(), "settlement_id", "left_semi")
+            inferred = tier4(covered_payments(own, clawbacks(settlements, own)), premises.select("settlement_id", "txn_id"), premises, credits, config).where("not blocked")
+            result.append(inferred.select("payment_id", "txn_id", "settlement_id", F.lit(4).alias("tier"), "p", F.lit("LINKED").alias("outcome"), "share_minor", F.lit(True).alias("verified")))
+        new = [t.join(pool.where("utr is not null").select("txn_id", "utr"), "txn_id").select("utr") for t in taken[before:]]
+        if not new:
+            break
+        fresh = opened(open_).join(reduce(DataFrame.unionAll, new).distinct(), "utr", "left_semi").select(open_.columns)
+        if fresh.isEmpty():
             break
     if {2, 3} <= set(tiers):
-        part(split_completion(open_, pool, payments, profiles, config))
-    none = settlements.sparkSession.createDataFrame([], "settlement_id string, txn_id string, tier int, p double, outcome string")
-    rows = spread(reduce(DataFrame.unionByName, [k.select(none.columns) for k in keyed], none), payments, credits, settlements)
-    if parted:
-        split = reduce(DataFrame.unionAll, parted)
-        tranches = split.join(payments.select("payment_id", "amount_minor"), "payment_id").join(credits.select("txn_id", "credit_minor"), "txn_id")
-        tranches = verified_shares(allocate(tranches, ["settlement_id", "txn_id"], "credit_minor", "amount_minor", "payment_id"), settlements, payments, credits, config)
-        rows = rows.unionAll(tranches.select("payment_id", "txn_id", "settlement_id", F.lit(2).alias("tier"), F.lit(1.0).alias("p"), F.lit("LINKED").alias("outcome"), "share_minor", "verified"))
-    rows = stored(rows, "rows")
-    if 4 in tiers:
-        premises = rows.where(F.col("verified") & (F.col("p") >= config.tau_high))
-        excluded = stored(payments.join(premises.select("settlement_id").distinct(), "settlement_id", "left_semi"), "covered")
-        covered = covered_payments(excluded, clawbacks(settlements, payments))
-        inferred = tier4(covered, premises.select("settlement_id", "txn_id"), premises, credits, config).where("not blocked")
-        rows = rows.unionAll(inferred.select("payment_id", "txn_id", "settlement_id", F.lit(4).alias("tier"), "p", F.lit("LINKED").alias("outcome"), "share_minor", F.lit(True).alias("verified")))
-    return rows.withColumn("decision", decision(F.col("p"), F.col("verified"), config))
+        part(split_completion(opened(open_), without(pool, taken, "txn_id"), payments, profiles, config), refuse=False)
+    if len(keyed) > done[0] or len(parts) > done[1]:
+        result.append(shares(keyed[done[0] :], parts[done[1] :]))
+    return reduce(DataFrame.unionAll, result).withColumn("decision", decision(F.col("p"), F.col("verified"), config))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..functions.stats import verdict, wilson
+from ..operators.verify import verify_proposals
 from ..operators import baselines, calibration, duplicates, exceptions, graph, keyed, lexical, metrics, policy, subset
 from ..sources.corpus import Corpus, corpus, with_ctes
 from ..sources.readers import date_order, slash_date
@@ -231,8 +232,9 @@ def payment_links(c: Corpus) -> DataFrame:
 
 #: The subset search said by brute force: every set of a batch's payments against the larger of its two credits.
 PARTITION = """WITH keyed AS (SELECT s.settlement_id, s.net_minor, c.txn_id, c.credit_minor, row_number() OVER (PARTITION BY s.settlement_id ORDER BY c.credit_minor DESC, c.txn_id) AS nth FROM left_settlements s JOIN left_pool c ON c.utr = s.utr),
-batch AS (SELECT settlement_id, any_value(net_minor) AS net, max(credit_minor) FILTER (nth = 1) AS first_minor, max(txn_id) FILTER (nth = 1) AS first_id, max(credit_minor) FILTER (nth = 2) AS second_minor, max(txn_id) FILTER (nth = 2) AS second_id FROM keyed GROUP BY settlement_id HAVING count(*) > 1 AND abs(sum(credit_minor) - any_value(net_minor)) <= 300),
-own AS (SELECT settlement_id, list(payment_id ORDER BY payment_id) AS ids, list(amount_minor ORDER BY payment_id) AS amounts, CAST(sum(amount_minor) AS BIGINT) AS whole FROM payments GROUP BY settlement_id),
+batch AS (SELECT settlement_id, any_value(net_minor) AS net, max(credit_minor) FILTER (nth = 1) AS first_minor, max(txn_id) FILTER (nth = 1) AS first_id, max(credit_minor) FILTER (nth = 2) AS second_minor, max(txn_id) FILTER (nth = 2) AS second_id FROM keyed GROUP BY settlement_id HAVING count(*) > 1 AND abs(sum(credit_minor) - any_value(net_minor)) <= 300 AND any_value(net_minor) > 0),
+claw AS (SELECT min(p.payment_id) AS payment_id FROM settlements s JOIN payments p ON p.settlement_id = s.settlement_id AND p.amount_minor = -s.adjustments_minor WHERE s.adjustments_minor < 0 GROUP BY s.settlement_id HAVING count(*) = 1),
+own AS (SELECT settlement_id, list(payment_id ORDER BY payment_id) AS ids, list(amount_minor ORDER BY payment_id) AS amounts, CAST(sum(amount_minor) AS BIGINT) AS whole FROM payments WHERE payment_id NOT IN (SELECT payment_id FROM claw) GROUP BY settlement_id),
 sets AS (SELECT b.*, ids, amounts, whole, unnest(range(1, 1 << len(ids))) AS mask FROM batch b JOIN own USING (settlement_id)),
 sums AS (SELECT *, CAST(list_sum(list_transform(range(len(ids)), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN amounts[i + 1] ELSE 0 END)) AS BIGINT) AS part FROM sets),
 valued AS (SELECT *, CASE WHEN part >= whole THEN net ELSE CAST(part * net // whole + CASE WHEN part * net % whole > 0 AND part * net % whole >= (whole - part) * net % whole THEN 1 ELSE 0 END AS BIGINT) END AS expected,
@@ -240,16 +242,27 @@ CASE WHEN part <= 0 THEN net ELSE CAST((whole - part) * net // whole + CASE WHEN
 fits AS (SELECT settlement_id, count(*) AS n, min(mask) AS mask, bool_and(part < whole AND abs(rest - second_minor) <= 300) AS closes FROM valued WHERE abs(expected - first_minor) <= 300 GROUP BY settlement_id),
 verdicts AS (SELECT b.*, ids, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 1 AND closes THEN 'UNIQUE' ELSE 'FAILED' END AS verdict, mask FROM batch b JOIN own USING (settlement_id) LEFT JOIN fits USING (settlement_id))
 SELECT settlement_id, verdict, ids[i + 1] AS payment_id, CASE WHEN (mask >> i) & 1 = 1 THEN first_id ELSE second_id END AS txn_id FROM (SELECT *, unnest(range(len(ids))) AS i FROM verdicts WHERE verdict = 'UNIQUE')
-UNION ALL SELECT settlement_id, verdict, NULL, NULL FROM verdicts WHERE verdict <> 'UNIQUE'"""
+UNION ALL SELECT settlement_id, verdict, NULL, CASE WHEN verdict = 'AMBIGUOUS' THEN first_id END FROM verdicts WHERE verdict <> 'UNIQUE'"""
 
 
 @query("t2_partition", PARTITION)
-@query("t2_partition_all", PARTITION)
 def t2_partition(c: Corpus) -> DataFrame:
     settlements, pool, _ = after_tier0(c)
     return subset.tier2(settlements, pool, c.payments)
 
 
+@query("verify_arithmetic", """WITH known AS (SELECT q.*, p.settlement_id AS nested, p.amount_minor FROM proposals q LEFT JOIN payments p ON p.payment_id = q.payment_id),
+gross AS (SELECT settlement_id, sum(amount_minor) AS whole FROM payments GROUP BY settlement_id),
+summed AS (SELECT proposal_id, min(txn_id) AS txn_id, max(settlement_id) AS named, count(payment_id) AS n_payments, count(payment_id) <> count(DISTINCT payment_id) AS repeated, count(*) FILTER (payment_id IS NOT NULL AND nested IS NULL) AS unknown, min(nested) AS least, max(nested) AS most, sum(amount_minor) AS part FROM known GROUP BY proposal_id),
+valued AS (SELECT u.*, b.credit_minor, s.net_minor, CAST(CASE WHEN part >= whole THEN s.net_minor ELSE part * s.net_minor // whole + CASE WHEN part * s.net_minor % whole > 0 AND part * s.net_minor % whole >= (whole - part) * s.net_minor % whole THEN 1 ELSE 0 END END AS BIGINT) AS expected
+FROM summed u LEFT JOIN bank b ON b.txn_id = u.txn_id LEFT JOIN gross g ON g.settlement_id = u.least LEFT JOIN settlements s ON s.settlement_id = u.least),
+judged AS (SELECT *, CASE WHEN credit_minor IS NULL THEN 'NO_SUCH_CREDIT' WHEN credit_minor <= 0 THEN 'OUTGOING' WHEN n_payments = 0 THEN 'NO_PAYMENTS' WHEN repeated THEN 'REPEATED_PAYMENT' WHEN unknown > 0 THEN 'UNKNOWN_PAYMENT' WHEN least <> most THEN 'SEVERAL_SETTLEMENTS' WHEN named <> least THEN 'OTHER_SETTLEMENT' WHEN abs(expected - credit_minor) > 300 THEN 'DOES_NOT_ADD_UP' ELSE 'VERIFIED' END AS reason FROM valued)
+SELECT proposal_id, txn_id, CASE WHEN reason IN ('OTHER_SETTLEMENT', 'DOES_NOT_ADD_UP', 'VERIFIED') THEN least END AS settlement_id, n_payments, CASE WHEN reason IN ('DOES_NOT_ADD_UP', 'VERIFIED') THEN CAST(part AS BIGINT) END AS gross_minor, CASE WHEN reason IN ('DOES_NOT_ADD_UP', 'VERIFIED') THEN expected END AS expected_minor,
+CASE WHEN reason IN ('DOES_NOT_ADD_UP', 'VERIFIED') THEN credit_minor END AS credit_minor, CASE WHEN reason IN ('DOES_NOT_ADD_UP', 'VERIFIED') THEN credit_minor - expected END AS residual_minor, reason = 'VERIFIED' AS verified, reason FROM judged""")
+def verify_arithmetic(c: Corpus) -> DataFrame:
+    return verify_proposals(c.proposals, c.payments, c.settlements, c.bank)
+
+
 @query("merchant_profiles", "SELECT DISTINCT s.merchant_id, c.merchant AS spelling FROM settlements s JOIN credit c ON c.utr = s.utr WHERE c.merchant IS NOT NULL")
 def merchant_profiles(c: Corpus) -> DataFrame:
     return lexical.merchant_profiles(c.settlements, credits_of(c))

@@ -18,7 +18,7 @@ from .sinks import stored
 #: Digits of a merchant's number as syllables, so that names differ by more than a digit.
 SYLLABLES = ("BA", "CEX", "DIM", "FOR", "GUN", "KAV", "LEP", "MIZ", "NOS", "PUT")
 #: Anomalies by the settlement's number below 100: first number of each, in order; the rest are clean.
-ANOMALIES = (("ROUNDING", 0, 5), ("FEE_MISMATCH", 5, 9), ("TIMING", 9, 14), ("DUPLICATE", 14, 16), ("NO_REFERENCE", 16, 22), ("CHARGEBACK", 22, 25), ("SPLIT", 25, 30), ("ORPHAN", 30, 32), ("LATE", 32, 33), ("SHARED_REFERENCE", 33, 36), ("SPLIT_BARE", 36, 38))
+ANOMALIES = (("ROUNDING", 0, 5), ("FEE_MISMATCH", 5, 9), ("TIMING", 9, 14), ("DUPLICATE", 14, 16), ("NO_REFERENCE", 16, 22), ("CHARGEBACK", 22, 25), ("SPLIT", 25, 30), ("ORPHAN", 30, 32), ("LATE", 32, 33), ("SHARED_REFERENCE", 33, 36), ("SPLIT_BARE", 36, 38), ("SPLIT_CHARGEBACK", 38, 41))
 
 DIALECTS = {
     "spark": {"add": "date_add({0}, {1})", "div": "({0} div {1})", "ymd": "date_format({0}, 'yyyyMMdd')"},
@@ -59,17 +59,18 @@ def corpus_ctes(dialect: str) -> dict[str, str]:
             SELECT settlement_id, merchant_id, merchant_no, month_no, no, n, anomaly, settled_on,
                    concat('UTR', CASE WHEN anomaly = 'SHARED_REFERENCE' THEN '20000101' ELSE {ymd("settled_on")} END, lpad(CAST(merchant_no % 1000000 AS VARCHAR(20)), 6, '0')) AS utr,
                    CAST(gross AS BIGINT) AS gross_minor, fee AS fee_minor, CAST({ceil_bps("fee", 1800)} AS BIGINT) AS tax_minor,
-                   CAST(CASE WHEN anomaly = 'CHARGEBACK' THEN -largest ELSE 0 END AS BIGINT) AS adjustments_minor,
-                   CAST(gross - fee - {ceil_bps("fee", 1800)} + CASE WHEN anomaly = 'CHARGEBACK' THEN -largest ELSE 0 END - CASE WHEN anomaly = 'FEE_MISMATCH' THEN 500 + no ELSE 0 END AS BIGINT) AS net_minor,
+                   CAST(CASE WHEN anomaly IN ('CHARGEBACK', 'SPLIT_CHARGEBACK') THEN -largest ELSE 0 END AS BIGINT) AS adjustments_minor,
+                   CAST(gross - fee - {ceil_bps("fee", 1800)} + CASE WHEN anomaly IN ('CHARGEBACK', 'SPLIT_CHARGEBACK') THEN -largest ELSE 0 END - CASE WHEN anomaly = 'FEE_MISMATCH' THEN 500 + no ELSE 0 END AS BIGINT) AS net_minor,
                    concat({name}, ' PVT LTD') AS merchant_name
             FROM priced""",
         "tranche_items": """
-            SELECT p.*, row_number() OVER (PARTITION BY p.settlement_id ORDER BY p.payment_id) AS pos FROM payments p JOIN settlements s ON s.settlement_id = p.settlement_id WHERE s.anomaly IN ('SPLIT', 'SPLIT_BARE') AND s.n > 1""",
+            SELECT p.*, row_number() OVER (PARTITION BY p.settlement_id ORDER BY p.payment_id) AS pos FROM payments p JOIN settlements s ON s.settlement_id = p.settlement_id
+            WHERE s.anomaly IN ('SPLIT', 'SPLIT_BARE', 'SPLIT_CHARGEBACK') AND s.n > 1 AND NOT (s.anomaly = 'SPLIT_CHARGEBACK' AND p.amount_minor = -s.adjustments_minor)""",
         "tranches": f"""
             SELECT t.settlement_id, sum(t.amount_minor) AS part FROM tranche_items t JOIN settlements s ON s.settlement_id = t.settlement_id WHERE t.pos <= {div("s.n", "2")} GROUP BY t.settlement_id""",
         "split_nets": f"""
-            SELECT s.settlement_id, CAST({div("s.net_minor * CAST(t.part AS BIGINT)", "s.gross_minor")} AS BIGINT) + CASE WHEN 2 * ((s.net_minor * CAST(t.part AS BIGINT)) % s.gross_minor) >= s.gross_minor THEN 1 ELSE 0 END AS first_minor
-            FROM settlements s JOIN tranches t ON t.settlement_id = s.settlement_id""",
+            SELECT s.settlement_id, CAST({div("s.net_minor * CAST(t.part AS BIGINT)", "(s.gross_minor + s.adjustments_minor)")} AS BIGINT) + CASE WHEN 2 * ((s.net_minor * CAST(t.part AS BIGINT)) % (s.gross_minor + s.adjustments_minor)) >= s.gross_minor + s.adjustments_minor THEN 1 ELSE 0 END AS first_minor
+            FROM settlements s JOIN tranches t ON t.settlement_id = s.settlement_id WHERE s.gross_minor + s.adjustments_minor > 0 AND s.net_minor > 0""",
         "credits": f"""
             SELECT concat('BNK-', s.settlement_id, '-1') AS txn_id, {add("settled_on", "1 + CASE anomaly WHEN 'TIMING' THEN 2 WHEN 'LATE' THEN 7 ELSE 0 END")} AS value_date,
                    CASE WHEN anomaly IN ('NO_REFERENCE', 'SPLIT_BARE') THEN concat('NEFT CR/', merchant_name, '/SETTLEMENT') ELSE concat('NEFT CR-', utr, '-', merchant_name) END AS narration,
@@ -86,9 +87,20 @@ def corpus_ctes(dialect: str) -> dict[str, str]:
             UNION ALL
             SELECT concat('DBT-', CAST(o_orderkey AS VARCHAR(20))), CAST(o_orderdate AS DATE), 'ACH DR-VENDOR FEE', CAST(0 AS BIGINT), CAST(round(o_totalprice * 100) AS BIGINT), CAST(NULL AS VARCHAR(40)) FROM orders WHERE o_orderkey % 20 = 0""",
         "truth_links": f"""
-            SELECT p.payment_id, CASE WHEN s.anomaly IN ('SPLIT', 'SPLIT_BARE') AND t.pos > {div("s.n", "2")} THEN concat('BNK-', p.settlement_id, '-2') ELSE concat('BNK-', p.settlement_id, '-1') END AS txn_id, p.amount_minor, s.anomaly
+            SELECT p.payment_id, CASE WHEN s.anomaly IN ('SPLIT', 'SPLIT_BARE', 'SPLIT_CHARGEBACK') AND t.pos > {div("s.n", "2")} THEN concat('BNK-', p.settlement_id, '-2') ELSE concat('BNK-', p.settlement_id, '-1') END AS txn_id, p.amount_minor, s.anomaly
             FROM payments p JOIN settlements s ON s.settlement_id = p.settlement_id LEFT JOIN tranche_items t ON t.payment_id = p.payment_id
-            WHERE NOT (s.anomaly = 'CHARGEBACK' AND p.amount_minor = -s.adjustments_minor)""",
+            WHERE NOT (s.anomaly IN ('CHARGEBACK', 'SPLIT_CHARGEBACK') AND p.amount_minor = -s.adjustments_minor)""",
+        "proposed": """
+            SELECT concat('PROP-', t.txn_id) AS proposal_id, t.txn_id, p.settlement_id, t.payment_id, s.month_no % 9 AS kind, row_number() OVER (PARTITION BY t.txn_id ORDER BY t.payment_id) AS pos
+            FROM truth_links t JOIN payments p ON p.payment_id = t.payment_id JOIN settlements s ON s.settlement_id = p.settlement_id""",
+        "proposals": """
+            SELECT proposal_id, CASE WHEN kind = 1 THEN concat(txn_id, '-X') WHEN kind = 2 THEN (SELECT min(txn_id) FROM bank WHERE debit_minor > 0) ELSE txn_id END AS txn_id, CASE WHEN kind = 6 THEN 'STL-0-0' WHEN kind >= 3 THEN settlement_id END AS settlement_id,
+                   CASE WHEN kind = 4 AND pos = 1 THEN concat(payment_id, '-X') WHEN kind = 8 THEN NULL ELSE payment_id END AS payment_id
+            FROM proposed WHERE NOT (kind = 7 AND pos = 2) AND NOT (kind = 8 AND pos > 1)
+            UNION ALL
+            SELECT proposal_id, txn_id, settlement_id, payment_id FROM proposed WHERE kind = 3 AND pos = 1
+            UNION ALL
+            SELECT proposal_id, txn_id, settlement_id, (SELECT min(payment_id) FROM payments) FROM proposed WHERE kind = 5 AND pos = 1""",
     }
 
 
