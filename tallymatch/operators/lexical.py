@@ -23,13 +23,16 @@ def name_scores(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.join(scored, (F.col(left) == F.col("_a")) & (F.col(right) == F.col("_b"))).drop("_a", "_b")
 
 
-def ranked_credits(settlements: DataFrame, credits: DataFrame, profiles: DataFrame, config: Config = DEFAULTS) -> DataFrame:
-    """(settlement_id, txn_id, score, place): unreferenced credits near a settlement's net and day, by name, best first."""
+def ranked_credits(settlements: DataFrame, credits: DataFrame, profiles: DataFrame, config: Config = DEFAULTS, gate: float | None = None) -> DataFrame:
+    """(settlement_id, txn_id, score, place): unreferenced credits near a settlement's net and day, by name, best first.
+
+    gate: the least score, name_score where there is none.
+    """
     bare = credits.where("utr is null and merchant is not null").select("txn_id", "value_date", "credit_minor", "merchant")
     claims = settlements.where("net_minor > 0").select("settlement_id", "merchant_id", "net_minor", "settled_on")
     fits = (F.abs(F.col("credit_minor") - F.col("net_minor")) <= band(F.col("net_minor"), config.band_floor_minor, config.band_bps)) & (F.abs(F.date_diff("value_date", "settled_on")) <= config.name_days)
     pairs = near_amount(claims, bare, "net_minor", "credit_minor", fits, config.name_days).join(profiles, "merchant_id")
-    best = name_scores(pairs, "merchant", "spelling").groupBy("settlement_id", "txn_id", "credit_minor", "net_minor").agg(F.max("score").alias("score")).where(F.col("score") >= config.name_score)
+    best = name_scores(pairs, "merchant", "spelling").groupBy("settlement_id", "txn_id", "credit_minor", "net_minor").agg(F.max("score").alias("score")).where(F.col("score") >= (config.name_score if gate is None else gate))
     return best.withColumn("place", F.row_number().over(Window.partitionBy("settlement_id").orderBy(F.desc("score"), "txn_id")))
 
 

@@ -90,6 +90,11 @@ def solve(payments: list[int], credits: list[int], net: int, epsilon: int, confi
     return "FAILED", []
 
 
+def spread_out(batches: DataFrame) -> DataFrame:
+    """Batches dealt to as many tasks as a shuffle has: few bytes, but each a search, which small partitions would join up."""
+    return batches.repartition(int(batches.sparkSession.conf.get("spark.sql.shuffle.partitions")), "settlement_id")
+
+
 def partition_batches(batches: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """(settlement_id, verdict, payment_id, txn_id) over batches (settlement_id, net_minor, payments, credits).
 
@@ -110,7 +115,7 @@ def partition_batches(batches: DataFrame, config: Config = DEFAULTS) -> DataFram
                     out.append((sid, verdict, None, None if verdict == "FAILED" else credits[len(masks)][0]))
             yield pd.DataFrame(out, columns=["settlement_id", "verdict", "payment_id", "txn_id"])
 
-    return batches.select("settlement_id", "net_minor", "payments", "credits").mapInPandas(run, "settlement_id string, verdict string, payment_id string, txn_id string")
+    return spread_out(batches).select("settlement_id", "net_minor", "payments", "credits").mapInPandas(run, "settlement_id string, verdict string, payment_id string, txn_id string")
 
 
 def _of_batch(df: DataFrame, key: str, amount: str, name: str) -> DataFrame:
@@ -184,4 +189,4 @@ def tranche_sets(pools: DataFrame, config: Config = DEFAULTS) -> DataFrame:
                 out += [(sid, verdict, credits[i][0]) for i in range(len(credits)) if verdict == "UNIQUE" and found[0] >> i & 1] or [(sid, verdict, None)]
             yield pd.DataFrame(out, columns=["settlement_id", "verdict", "txn_id"])
 
-    return pools.select("settlement_id", "net_minor", "credits").mapInPandas(run, "settlement_id string, verdict string, txn_id string")
+    return spread_out(pools).select("settlement_id", "net_minor", "credits").mapInPandas(run, "settlement_id string, verdict string, txn_id string")

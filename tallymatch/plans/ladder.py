@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.money import allocate
 from ..operators.duplicates import duplicate_postings
 from ..operators.graph import tier4
+from ..operators.harvest import aggregation_contenders, graph_contenders, labelled, lexical_contenders
 from ..operators.keyed import clawbacks, covered_payments, spread, tier0, tier1
 from ..operators.lexical import merchant_profiles, tier3
 from ..operators.policy import decision
@@ -24,6 +25,23 @@ Watch = Callable[[int, DataFrame, DataFrame], None]
 LINKS = "settlement_id string, txn_id string, tier int, p double, outcome string"
 
 
+def harvest(settlements: DataFrame, payments: DataFrame, bank: DataFrame, truth: DataFrame, config: Config = DEFAULTS, top_k: int = 3) -> DataFrame:
+    """Labelled contenders of tiers 2, 3 and 4 of one run, read off the pools before each tier takes from them.
+
+    The run itself is reconcile's; nothing here decides or takes anything.
+    """
+    credits = bank.where("credit_minor > 0")
+    profiles = stored(merchant_profiles(settlements, credits), "profiles")
+    found: list[DataFrame] = []
+
+    def watch(tier: int, open_: DataFrame, pool: DataFrame) -> None:
+        made = aggregation_contenders(open_, pool, payments, top_k, config) if tier == 2 else lexical_contenders(open_, pool, payments, profiles, top_k, config)
+        found.append(stored(made, "contenders"))
+
+    links = stored(reconcile(settlements, payments, bank, config, watch=watch), "run")
+    return labelled([*found, graph_contenders(links.where("tier = 4"))], links, truth)
+
+
 def verified_shares(rows: DataFrame, settlements: DataFrame, payments: DataFrame, credits: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     """rows (payment_id, txn_id, settlement_id) with verified: whether the payments that travel in a credit are all of that
     settlement, once each, and come to it, give or take epsilon, by the sources' own figures."""

@@ -14,7 +14,9 @@ from ..operators import baselines, calibration, duplicates, exceptions, graph, k
 from ..sources.corpus import Corpus, corpus, with_ctes
 from ..sources.readers import date_order, slash_date
 from ..sources.sinks import audit_events, running_balance, stored
-from .ladder import reconcile
+from .ladder import harvest, reconcile
+from .ladder_sql import CTES as LADDER
+from .ladder_sql import assigned, completed, partition, split_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -40,13 +42,13 @@ CTES = {
 }
 
 
-def query(name: str, oracle: str | None = None) -> Callable[[Callable[[Corpus], DataFrame]], Callable[[Corpus], DataFrame]]:
-    """Registers a query over a Corpus under a name; oracle is its SQL over the corpus and CTES."""
+def query(name: str, oracle: str | None = None, more: dict[str, str] | None = None) -> Callable[[Callable[[Corpus], DataFrame]], Callable[[Corpus], DataFrame]]:
+    """Registers a query over a Corpus under a name; oracle is its SQL over the corpus, CTES, the ladder's and more."""
 
     def put(make: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
         QUERIES[name] = lambda spark, folder: make(corpus(spark, folder))
         if oracle:
-            ORACLES[name] = with_ctes("duckdb", oracle, **CTES)
+            ORACLES[name] = with_ctes("duckdb", oracle, **CTES | LADDER | (more or {}))
         return make
 
     return put
@@ -67,8 +69,8 @@ def pool_of(c: Corpus) -> DataFrame:
 
 def after_tier0(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Settlements and credits that tier 0 leaves open, and its links."""
-    pool = pool_of(c)
-    links = keyed.tier0(c.settlements, pool)
+    pool = c.once("pool", lambda: pool_of(c))
+    links = c.once("tier0", lambda: keyed.tier0(c.settlements, pool))
     return c.settlements.join(links.select("settlement_id"), "settlement_id", "left_anti"), pool.join(links.where("outcome = 'LINKED'").select("txn_id"), "txn_id", "left_anti"), links
 
 
@@ -230,24 +232,10 @@ def payment_links(c: Corpus) -> DataFrame:
     return keyed.spread(keyed.tier0(c.settlements, credits), c.payments, credits, c.settlements)
 
 
-#: The subset search said by brute force: every set of a batch's payments against the larger of its two credits.
-PARTITION = """WITH keyed AS (SELECT s.settlement_id, s.net_minor, c.txn_id, c.credit_minor, row_number() OVER (PARTITION BY s.settlement_id ORDER BY c.credit_minor DESC, c.txn_id) AS nth FROM left_settlements s JOIN left_pool c ON c.utr = s.utr),
-batch AS (SELECT settlement_id, any_value(net_minor) AS net, max(credit_minor) FILTER (nth = 1) AS first_minor, max(txn_id) FILTER (nth = 1) AS first_id, max(credit_minor) FILTER (nth = 2) AS second_minor, max(txn_id) FILTER (nth = 2) AS second_id FROM keyed GROUP BY settlement_id HAVING count(*) > 1 AND abs(sum(credit_minor) - any_value(net_minor)) <= 300 AND any_value(net_minor) > 0),
-claw AS (SELECT min(p.payment_id) AS payment_id FROM settlements s JOIN payments p ON p.settlement_id = s.settlement_id AND p.amount_minor = -s.adjustments_minor WHERE s.adjustments_minor < 0 GROUP BY s.settlement_id HAVING count(*) = 1),
-own AS (SELECT settlement_id, list(payment_id ORDER BY payment_id) AS ids, list(amount_minor ORDER BY payment_id) AS amounts, CAST(sum(amount_minor) AS BIGINT) AS whole FROM payments WHERE payment_id NOT IN (SELECT payment_id FROM claw) GROUP BY settlement_id),
-sets AS (SELECT b.*, ids, amounts, whole, unnest(range(1, 1 << len(ids))) AS mask FROM batch b JOIN own USING (settlement_id)),
-sums AS (SELECT *, CAST(list_sum(list_transform(range(len(ids)), lambda i: CASE WHEN (mask >> i) & 1 = 1 THEN amounts[i + 1] ELSE 0 END)) AS BIGINT) AS part FROM sets),
-valued AS (SELECT *, CASE WHEN part >= whole THEN net ELSE CAST(part * net // whole + CASE WHEN part * net % whole > 0 AND part * net % whole >= (whole - part) * net % whole THEN 1 ELSE 0 END AS BIGINT) END AS expected,
-CASE WHEN part <= 0 THEN net ELSE CAST((whole - part) * net // whole + CASE WHEN (whole - part) * net % whole > 0 AND (whole - part) * net % whole >= part * net % whole THEN 1 ELSE 0 END AS BIGINT) END AS rest FROM sums),
-fits AS (SELECT settlement_id, count(*) AS n, min(mask) AS mask, bool_and(part < whole AND abs(rest - second_minor) <= 300) AS closes FROM valued WHERE abs(expected - first_minor) <= 300 GROUP BY settlement_id),
-verdicts AS (SELECT b.*, ids, CASE WHEN n > 1 THEN 'AMBIGUOUS' WHEN n = 1 AND closes THEN 'UNIQUE' ELSE 'FAILED' END AS verdict, mask FROM batch b JOIN own USING (settlement_id) LEFT JOIN fits USING (settlement_id))
-SELECT settlement_id, verdict, ids[i + 1] AS payment_id, CASE WHEN (mask >> i) & 1 = 1 THEN first_id ELSE second_id END AS txn_id FROM (SELECT *, unnest(range(len(ids))) AS i FROM verdicts WHERE verdict = 'UNIQUE')
-UNION ALL SELECT settlement_id, verdict, NULL, CASE WHEN verdict = 'AMBIGUOUS' THEN first_id END FROM verdicts WHERE verdict <> 'UNIQUE'"""
-
-
-@query("t2_partition", PARTITION)
+@query("t2_partition", "SELECT * FROM q", partition("q", split_batches("left_settlements", "left_pool")))
 def t2_partition(c: Corpus) -> DataFrame:
     settlements, pool, _ = after_tier0(c)
+    settlements, pool = stored(settlements, "open"), stored(pool, "pool")
     return subset.tier2(settlements, pool, c.payments)
 
 
@@ -275,15 +263,16 @@ def name_scores(c: Corpus) -> DataFrame:
     return lexical.name_scores(pairs.select("name", "other"), "name", "other")
 
 
-@query("t3_assign")
+@query("t3_assign", "SELECT * FROM q", assigned("q", "left_settlements", "left_settlements", "left_pool"))
 def t3_assign(c: Corpus) -> DataFrame:
     settlements, pool, _ = after_tier0(c)
     return lexical.tier3(settlements, pool, lexical.merchant_profiles(c.settlements, credits_of(c)))
 
 
-@query("split_completion")
+@query("split_completion", "SELECT * FROM q", completed("q", "left_settlements", "left_pool"))
 def split_completion(c: Corpus) -> DataFrame:
     settlements, pool, _ = after_tier0(c)
+    settlements, pool = stored(settlements, "open"), stored(pool, "pool")
     return subset.split_completion(settlements, pool, c.payments, lexical.merchant_profiles(c.settlements, credits_of(c)))
 
 
@@ -532,11 +521,12 @@ def run_of(c: Corpus) -> DataFrame:
     return reconcile(c.settlements, stored(c.payments, "payments"), c.statement)
 
 
-@query("reconcile_end_to_end")
+@query("reconcile_end_to_end", "SELECT * FROM run")
 def reconcile_end_to_end(c: Corpus) -> DataFrame:
     return run_of(c)
 
 
-@query("reconcile_audit")
+@query("reconcile_audit", "SELECT 'run' AS run_id, concat('tier', tier) AS node, decision AS event_type, concat('payment:', payment_id, ' bank:', txn_id) AS refs, p, share_minor, outcome FROM run")
 def reconcile_audit(c: Corpus) -> DataFrame:
-    return audit_events(run_of(c), "run")
+    events = audit_events(run_of(c), "run")
+    return events.select("run_id", "node", "event_type", F.array_join("refs", " ").alias("refs"), F.from_json("payload", "p double, share_minor bigint, outcome string").alias("x")).select("run_id", "node", "event_type", "refs", "x.*")

@@ -7,6 +7,7 @@ its key, so both engines derive the same rows, no row depends on another's order
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -140,6 +141,12 @@ class Corpus:
         parts = [f"{n} AS ({with_inputs(ctes[n])})" for n in ctes if n in names]
         return self.spark.sql("WITH " + ", ".join(parts) + f" SELECT * FROM {name}", **inputs)
 
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        """A table that several queries start from, written when first asked for."""
+        if name not in self._made:
+            self._made[name] = stored(make(), name)
+        return self._made[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)
