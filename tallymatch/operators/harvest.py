@@ -36,7 +36,7 @@ def aggregation_contenders(settlements: DataFrame, credits: DataFrame, payments:
     several = keyed.groupBy("settlement_id").agg(F.count("*").alias("n")).where("n > 1").select("settlement_id")
     open_ = settlements.join(several, "settlement_id", "left_semi")
     own = travelled(open_, payments)
-    gross = payments.join(several, "settlement_id", "left_semi").groupBy("settlement_id").agg(F.sum("amount_minor").alias("gross")).where("gross > 0")
+    gross = own.groupBy("settlement_id").agg(F.sum("amount_minor").alias("gross")).where("gross > 0")
     few = own.groupBy("settlement_id").agg(F.count("*").alias("n")).where(F.col("n") <= config.subset_most).select("settlement_id")
     gathered = own.join(few, "settlement_id", "left_semi").groupBy("settlement_id").agg(F.sort_array(F.collect_list(F.struct("payment_id", "amount_minor"))).alias("payments"))
     points = keyed.join(open_.select("settlement_id", "net_minor", "settled_on"), "settlement_id").join(gross, "settlement_id").join(gathered, "settlement_id")

@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import money, text
 from ..functions.stats import verdict, wilson
+from ..operators import harvest as contenders
 from ..operators.verify import verify_proposals
-from ..operators import baselines, calibration, duplicates, exceptions, graph, keyed, lexical, metrics, policy, subset
+from ..operators import baselines, bundle, calibration, duplicates, exceptions, graph, keyed, lexical, metrics, policy, subset
 from ..sources.corpus import Corpus, corpus, with_ctes
 from ..sources.readers import date_order, slash_date
+from ..sources.shared import new_path
 from ..sources.sinks import audit_events, running_balance, stored
 from .ladder import harvest, reconcile
+from .exception_sql import CTES as EXCEPTIONS
 from .ladder_sql import CTES as LADDER
 from .ladder_sql import assigned, completed, partition, split_batches
 
@@ -38,7 +41,20 @@ CTES = {
              FROM t0_keyed k JOIN t0_counts n USING (settlement_id) WHERE k.fits AND (k.peers > 1 OR NOT (n.n_keyed > 1 AND n.n_fit <= 1))""",
     "left_settlements": "SELECT * FROM settlements WHERE settlement_id NOT IN (SELECT settlement_id FROM t0)",
     "left_pool": "SELECT * FROM pool WHERE txn_id NOT IN (SELECT txn_id FROM t0 WHERE outcome = 'LINKED')",
-    "candidates": "SELECT item, CAST(no % 5 AS INTEGER) AS tier, ((no * 37) % 100) / 100.0 AS p, no % 3 <> 0 AS verified, (no * 7) % 10 < (no * 37) % 100 // 10 AS label FROM items",
+}
+
+#: Tier 3's contenders, and what the queries about probabilities run over.
+CONTENDERS = {
+    "contenders_ranked": "SELECT * FROM (SELECT n.*, row_number() OVER (PARTITION BY settlement_id ORDER BY score DESC, txn_id) AS place FROM t3_near n WHERE settlement_id IN (SELECT settlement_id FROM open2)) WHERE place <= 3",
+    "contenders_cells": "SELECT l.*, o.payment_id, o.amount_minor, CAST(l.credit_minor AS HUGEINT) * o.amount_minor AS scaled, sum(o.amount_minor) OVER (PARTITION BY l.settlement_id, l.txn_id) AS whole FROM contenders_ranked l JOIN covered o USING (settlement_id)",
+    "contenders_dealt": "SELECT *, row_number() OVER (PARTITION BY settlement_id, txn_id ORDER BY scaled % whole DESC, payment_id) AS nth, sum(scaled // whole) OVER (PARTITION BY settlement_id, txn_id) AS given FROM contenders_cells",
+    "contenders": """SELECT d.payment_id, d.txn_id, 3 AS tier, CAST(place - 1 AS INTEGER) AS rank, d.settlement_id, CAST(scaled // whole + CASE WHEN nth <= d.credit_minor - given THEN 1 ELSE 0 END AS BIGINT) AS share_minor, g.paid = s.gross_minor AS verified, d.credit_minor - d.net_minor AS amount_delta_minor, greatest(100, (abs(d.net_minor) * 50 + 9999) // 10000) AS tolerance_band_minor,
+            round(abs(d.credit_minor - d.net_minor) / abs(d.net_minor), 9) AS amount_delta_ratio, CAST(c.value_date - s.settled_on AS INTEGER) AS date_delta_days, round(score, 9) AS lexical_score, t.payment_id IS NOT NULL AS positive, a.settlement_id IS NOT NULL AS accepted, r.payment_id IS NOT NULL AS asserted
+            FROM contenders_dealt d JOIN settlements s ON s.settlement_id = d.settlement_id JOIN gross g ON g.settlement_id = d.settlement_id JOIN credit c ON c.txn_id = d.txn_id LEFT JOIN truth_links t ON t.payment_id = d.payment_id AND t.txn_id = d.txn_id
+            LEFT JOIN (SELECT DISTINCT settlement_id FROM run WHERE tier = 3 AND outcome = 'LINKED' AND verified) a ON a.settlement_id = d.settlement_id LEFT JOIN (SELECT payment_id, txn_id FROM run WHERE tier = 3 AND outcome = 'LINKED' AND verified) r ON r.payment_id = d.payment_id AND r.txn_id = d.txn_id""",
+    "contenders_summed": "SELECT tier, count(*) AS rows, count(*) FILTER (positive) AS positives, count(*) FILTER (accepted) AS fit_rows, count(*) FILTER (accepted AND positive) AS fit_positives, count(*) FILTER (asserted) AS asserted, count(DISTINCT settlement_id) AS points, count(DISTINCT settlement_id) FILTER (accepted) AS resolved_points FROM contenders GROUP BY tier",
+    "candidates": """SELECT concat_ws('|', k.payment_id, k.txn_id, CAST(tier AS VARCHAR)) AS item, CAST(tier AS INTEGER) AS tier, CAST(p AS DOUBLE) AS p, verified, t.payment_id IS NOT NULL AS label FROM (SELECT payment_id, txn_id, tier, p, verified FROM run WHERE tier < 2 UNION ALL SELECT payment_id, txn_id, 3, score, g.paid = s.gross_minor FROM contenders_cells d JOIN settlements s ON s.settlement_id = d.settlement_id JOIN gross g ON g.settlement_id = d.settlement_id) k
+            LEFT JOIN truth_links t ON t.payment_id = k.payment_id AND t.txn_id = k.txn_id""",
 }
 
 
@@ -48,7 +64,7 @@ def query(name: str, oracle: str | None = None, more: dict[str, str] | None = No
     def put(make: Callable[[Corpus], DataFrame]) -> Callable[[Corpus], DataFrame]:
         QUERIES[name] = lambda spark, folder: make(corpus(spark, folder))
         if oracle:
-            ORACLES[name] = with_ctes("duckdb", oracle, **CTES | LADDER | (more or {}))
+            ORACLES[name] = with_ctes("duckdb", oracle, **CTES | LADDER | EXCEPTIONS | CONTENDERS | (more or {}))
         return make
 
     return put
@@ -74,9 +90,17 @@ def after_tier0(c: Corpus) -> tuple[DataFrame, DataFrame, DataFrame]:
     return c.settlements.join(links.select("settlement_id"), "settlement_id", "left_anti"), pool.join(links.where("outcome = 'LINKED'").select("txn_id"), "txn_id", "left_anti"), links
 
 
+def harvest_once(c: Corpus) -> DataFrame:
+    """Labelled contenders of the residual tiers."""
+    return c.once("contenders", lambda: harvest(c.settlements, payments_once(c), c.statement, c.truth_links))
+
+
 def candidates_of(c: Corpus) -> DataFrame:
-    no = F.col("no")
-    return c.items.select("item", (no % 5).cast("int").alias("tier"), ((no * 37) % 100 / 100.0).alias("p"), (no % 3 != 0).alias("verified"), ((no * 7) % 10 < F.floor((no * 37) % 100 / 10)).alias("label"))
+    """What the keyed tiers link or refuse, and tier 3's contenders, with p, verified and whether truth has the link."""
+    keyed_ = run_once(c).where("tier < 2").select("payment_id", "txn_id", "tier", "p", "verified")
+    named = harvest_once(c).where("tier = 3").select("payment_id", "txn_id", "tier", F.col("lexical_score").alias("p"), "verified")
+    rows = keyed_.unionAll(named).join(c.truth_links.select("payment_id", "txn_id", F.lit(True).alias("label")).distinct(), ["payment_id", "txn_id"], "left")
+    return rows.select(F.concat_ws("|", "payment_id", "txn_id", "tier").alias("item"), "tier", "p", "verified", F.coalesce("label", F.lit(False)).alias("label"))
 
 
 @query("order_leg", """SELECT r.payment_id, r.order_ref, l.customer_ref, CASE WHEN r.order_ref IS NULL THEN 'NO_REFERENCE' WHEN l.order_id IS NULL THEN 'UNKNOWN_REFERENCE' WHEN l.amount_minor <> r.amount_minor THEN 'AMOUNT_DIFFERS' ELSE 'LINKED' END AS outcome
@@ -320,92 +344,122 @@ def severity(c: Corpus) -> DataFrame:
     return c.table("orders").select("o_orderkey", exceptions.severity(F.round(F.col("o_totalprice") * 100).cast("bigint"), F.col("o_orderkey") % 30).alias("severity"))
 
 
-_RESIDUAL = """claw AS (SELECT s.settlement_id, CASE count(p.payment_id) WHEN 1 THEN 'NETTED_PAYMENT' WHEN 0 THEN 'EXTERNAL' ELSE 'AMBIGUOUS' END AS clawback FROM settlements s LEFT JOIN payments p ON p.settlement_id = s.settlement_id AND p.amount_minor = -s.adjustments_minor WHERE s.adjustments_minor < 0 GROUP BY s.settlement_id),
-unsettled AS (SELECT *, greatest(100, (abs(net_minor) * 50 + 9999) // 10000) AS band FROM (SELECT *, settlement_id IN (SELECT settlement_id FROM t0 WHERE outcome = 'LINKED') AS credited, net_minor - (gross_minor - fee_minor - tax_minor + adjustments_minor) AS net_delta FROM settlements) WHERE NOT credited OR net_delta <> 0),
-bearers AS (SELECT u.settlement_id, count(*) AS n_keyed, CAST(sum(c.credit_minor) AS BIGINT) AS keyed_minor, min((c.value_date, c.txn_id))[1] - any_value(u.settled_on) AS keyed_gap FROM unsettled u JOIN credit c ON c.utr = u.utr GROUP BY u.settlement_id),
-about AS (SELECT u.settlement_id, count(*) AS n_near, count(*) FILTER (abs(c.value_date - u.settled_on) <= 3) AS n_near_in_time FROM unsettled u JOIN credit c ON c.credit_minor BETWEEN u.net_minor - u.band AND u.net_minor + u.band WHERE c.utr IS DISTINCT FROM u.utr GROUP BY u.settlement_id),
-residual_settlements AS (SELECT concat('settlement:', u.settlement_id) AS ref, CASE WHEN u.settlement_id IN (SELECT settlement_id FROM t0 WHERE outcome = 'RIVALS') THEN 'E_AMBIGUOUS_AGGREGATION' WHEN net_delta <> 0 THEN 'E_FEE_TAX_MISMATCH' WHEN clawback = 'NETTED_PAYMENT' THEN 'E_CHARGEBACK_NETTED' WHEN clawback IS NOT NULL THEN 'E_POST_SETTLEMENT_REFUND'
-WHEN n_keyed > 1 THEN 'E_SPLIT_PAYOUT_INCOMPLETE' WHEN n_keyed = 1 AND keyed_minor < net_minor THEN 'E_POST_SETTLEMENT_REFUND' WHEN n_keyed = 1 AND abs(keyed_gap) > 3 THEN 'E_TIMING_SHIFT' WHEN n_keyed = 1 THEN 'E_UNKNOWN_RESIDUAL' WHEN n_near > 0 AND n_near_in_time = 0 THEN 'E_TIMING_SHIFT' WHEN n_near > 0 THEN 'E_MISSING_REFERENCE' ELSE 'E_LATE_ARRIVAL' END AS class,
-CASE WHEN credited THEN abs(net_delta) ELSE abs(net_minor) END AS impact_minor, settled_on AS as_of, coalesce(n_keyed, 0) + coalesce(n_near, 0) AS n_evidence FROM unsettled u LEFT JOIN claw USING (settlement_id) LEFT JOIN bearers USING (settlement_id) LEFT JOIN about USING (settlement_id))"""
+def payments_once(c: Corpus) -> DataFrame:
+    return c.once("payments_read", lambda: payments_of(c))
+
+
+def run_once(c: Corpus) -> DataFrame:
+    """The links of the whole ladder, which many queries start from."""
+    return c.once("run", lambda: reconcile(c.settlements, payments_once(c), c.statement))
+
+
+def queue_once(c: Corpus) -> DataFrame:
+    """The whole queue of the ladder's run, with what a bounded rule has taken marked."""
+
+    def make() -> DataFrame:
+        credits = credits_of(c)
+        queue = stored(exceptions.classify_exceptions(c.settlements, payments_once(c), credits, c.ledger, run_once(c), duplicates.duplicate_postings(credits), lexical.merchant_profiles(c.settlements, credits)), "queue")
+        return exceptions.mark_resolvable(queue, exceptions.resolve_bounded(queue))
+
+    return c.once("queue", make)
+
+
+def shown(queue: DataFrame) -> DataFrame:
+    """The queue with its evidence as text."""
+    text = F.array_join(F.transform("evidence", lambda x: F.concat_ws(":", x["kind"], x["ref"], x["amount_minor"])), " ")
+    return queue.withColumn("evidence", text).withColumn("n_hypotheses", F.when(F.col("hypotheses").isNotNull(), F.size("hypotheses").cast("bigint"))).drop("hypotheses")
+
 
+_SHOWN = "SELECT * REPLACE (array_to_string(evidence[1:10], ' ') AS evidence) FROM queue"
 
-@query("exception_settlement", f"WITH {_RESIDUAL} SELECT * FROM residual_settlements")
+
+@query("exception_queue", _SHOWN)
+def exception_queue(c: Corpus) -> DataFrame:
+    return exceptions.queue_order(shown(queue_once(c)))
+
+
+@query("exception_settlement", f"{_SHOWN} WHERE ref LIKE 'settlement:%' AND counterpart IS DISTINCT FROM substr(ref, 12)")
 def exception_settlement(c: Corpus) -> DataFrame:
-    links = stored(keyed.tier0(c.settlements, pool_of(c)), "links")
-    return exceptions.residual_settlements(c.settlements, c.payments, credits_of(c), links.where("outcome = 'LINKED'"), links.where("outcome = 'RIVALS'"))
+    return shown(queue_once(c)).where("ref like 'settlement:%' and not counterpart <=> substr(ref, 12)")
 
 
-@query("exception_credit", """SELECT concat('bank:', c.txn_id) AS ref, CASE WHEN c.txn_id IN (SELECT txn_id FROM reposted) THEN 'E_DUPLICATE_CREDIT' WHEN c.utr IN (SELECT utr FROM settlements) AND (SELECT count(*) FROM credit o WHERE o.utr = c.utr AND o.credit_minor = c.credit_minor) > 1 THEN 'E_DUPLICATE_CREDIT'
-WHEN c.utr IN (SELECT utr FROM settlements) AND (SELECT count(*) FROM credit o WHERE o.utr = c.utr) > 1 THEN 'E_SPLIT_PAYOUT_INCOMPLETE' WHEN c.utr IN (SELECT utr FROM settlements) THEN 'E_UNKNOWN_RESIDUAL' WHEN c.utr IS NOT NULL THEN 'E_ORPHAN_BANK_CREDIT'
-WHEN c.merchant IN (SELECT o.merchant FROM credit o JOIN settlements s ON s.utr = o.utr WHERE o.merchant IS NOT NULL) THEN 'E_MISSING_REFERENCE' WHEN c.merchant IS NULL THEN 'UNMATCHABLE' ELSE 'E_ORPHAN_BANK_CREDIT' END AS class, c.credit_minor AS impact_minor
-FROM credit c WHERE c.txn_id NOT IN (SELECT txn_id FROM t0 WHERE outcome = 'LINKED')""")
+@query("exception_credit", f"{_SHOWN} WHERE ref LIKE 'bank:%'")
 def exception_credit(c: Corpus) -> DataFrame:
-    credits = credits_of(c)
-    reposted = duplicates.duplicate_postings(credits)
-    claimed = keyed.tier0(c.settlements, pool_of(c)).where("outcome = 'LINKED'")
-    return exceptions.residual_credits(credits, c.settlements, claimed, reposted, lexical.merchant_profiles(c.settlements, credits)).select("ref", "class", "impact_minor")
-
-
-@query("exception_queue", f"""WITH {_RESIDUAL},
-residual_credits AS (SELECT concat('bank:', c.txn_id) AS ref, CASE WHEN c.txn_id IN (SELECT txn_id FROM reposted) THEN 'E_DUPLICATE_CREDIT' WHEN c.utr IN (SELECT utr FROM settlements) AND (SELECT count(*) FROM credit o WHERE o.utr = c.utr AND o.credit_minor = c.credit_minor) > 1 THEN 'E_DUPLICATE_CREDIT'
-WHEN c.utr IN (SELECT utr FROM settlements) AND (SELECT count(*) FROM credit o WHERE o.utr = c.utr) > 1 THEN 'E_SPLIT_PAYOUT_INCOMPLETE' WHEN c.utr IN (SELECT utr FROM settlements) THEN 'E_UNKNOWN_RESIDUAL' WHEN c.utr IS NOT NULL THEN 'E_ORPHAN_BANK_CREDIT'
-WHEN c.merchant IN (SELECT o.merchant FROM credit o JOIN settlements s ON s.utr = o.utr WHERE o.merchant IS NOT NULL) THEN 'E_MISSING_REFERENCE' WHEN c.merchant IS NULL THEN 'UNMATCHABLE' ELSE 'E_ORPHAN_BANK_CREDIT' END AS class, c.credit_minor AS impact_minor, c.value_date AS as_of, (SELECT count(*) FROM credit o WHERE o.utr = c.utr) AS n_evidence
-FROM credit c WHERE c.txn_id NOT IN (SELECT txn_id FROM t0 WHERE outcome = 'LINKED')),
-aged AS (SELECT *, CAST(greatest(0, (SELECT max(value_date) FROM credit) - as_of) AS INTEGER) AS age_days FROM (SELECT * FROM residual_settlements UNION ALL SELECT * FROM residual_credits))
-SELECT *, ['LOW', 'MEDIUM', 'HIGH', 'CRITICAL'][1 + least(3, CASE WHEN impact_minor >= 10000000 THEN 3 WHEN impact_minor >= 1000000 THEN 2 WHEN impact_minor >= 100000 THEN 1 ELSE 0 END + CASE WHEN age_days >= 14 THEN 1 ELSE 0 END)] AS severity,
-CAST(CASE WHEN class = 'E_UNKNOWN_RESIDUAL' THEN 0.30 WHEN class IN ('E_FEE_TAX_MISMATCH', 'E_DUPLICATE_CREDIT', 'E_CHARGEBACK_NETTED', 'E_ORPHAN_BANK_CREDIT', 'E_AMBIGUOUS_AGGREGATION') THEN 1.0 WHEN n_evidence >= 3 THEN 0.90 ELSE 0.75 END AS DOUBLE) AS confidence,
-class IN ('E_ROUNDING_DRIFT', 'E_TIMING_SHIFT', 'E_DUPLICATE_CREDIT') AS resolvable FROM aged""")
-def exception_queue(c: Corpus) -> DataFrame:
-    credits, links = credits_of(c), stored(keyed.tier0(c.settlements, pool_of(c)), "links")
-    linked = links.where("outcome = 'LINKED'")
-    rows = stored(exceptions.residual_settlements(c.settlements, c.payments, credits, linked, links.where("outcome = 'RIVALS'")), "residual").unionAll(exceptions.residual_credits(credits, c.settlements, linked, duplicates.duplicate_postings(credits), lexical.merchant_profiles(c.settlements, credits)))
-    return exceptions.exception_queue(rows, credits.agg(F.max("value_date").alias("latest")))
+    return shown(queue_once(c)).where("ref like 'bank:%'")
+
+
+@query("exception_payment", f"{_SHOWN} WHERE ref LIKE 'payment:%'")
+def exception_payment(c: Corpus) -> DataFrame:
+    return shown(queue_once(c)).where("ref like 'payment:%'")
+
+
+@query("external_refunds", "SELECT ref, impact_minor, as_of, counterpart, n_evidence, array_to_string(evidence[1:10], ' ') AS evidence FROM queue_refunds")
+def external_refunds(c: Corpus) -> DataFrame:
+    rows = exceptions.external_refunds(c.settlements, payments_once(c), c.ledger, run_once(c))
+    return shown(rows).select("ref", "impact_minor", "as_of", "counterpart", "n_evidence", "evidence")
+
+
+@query("queue_preview", "SELECT ref, class, impact_minor, severity FROM queue ORDER BY impact_minor DESC, ref LIMIT 10")
+def queue_preview(c: Corpus) -> DataFrame:
+    return exceptions.queue_order(queue_once(c)).select("ref", "class", "impact_minor", "severity").limit(10)
 
 
-def residual_of(c: Corpus) -> DataFrame:
-    """The queue's settlement rows, as tier 0 leaves them."""
-    links = stored(keyed.tier0(c.settlements, pool_of(c)), "links")
-    return exceptions.residual_settlements(c.settlements, c.payments, credits_of(c), links.where("outcome = 'LINKED'"), links.where("outcome = 'RIVALS'"))
+@query("resolve_bounded", """SELECT ref, class, CASE WHEN class = 'E_TIMING_SHIFT' THEN 'REWINDOW_AND_REMATCH' ELSE 'FLAG_AND_LINK' END AS rule, CASE WHEN class = 'E_TIMING_SHIFT' THEN 0 ELSE impact_minor END AS amount_minor, resolvable AS applied,
+CASE WHEN class = 'E_TIMING_SHIFT' AND day_gap IS NULL THEN 'NO_DAY_GAP' WHEN class = 'E_TIMING_SHIFT' AND abs(day_gap) > 5 THEN 'OVER_DAYS' END AS refusal FROM queue WHERE class IN ('E_TIMING_SHIFT', 'E_DUPLICATE_CREDIT')""")
+def resolve_bounded(c: Corpus) -> DataFrame:
+    return exceptions.resolve_bounded(queue_once(c))
+
+
+@query("near_counts", """SELECT s.settlement_id, count(c.txn_id) AS n_near FROM settlements s LEFT JOIN credit c ON c.credit_minor BETWEEN s.net_minor - greatest(100, (abs(s.net_minor) * 50 + 9999) // 10000) AND s.net_minor + greatest(100, (abs(s.net_minor) * 50 + 9999) // 10000) GROUP BY s.settlement_id""")
+def near_counts(c: Corpus) -> DataFrame:
+    width = money.band(F.col("net_minor"), 100, 50)
+    return exceptions.near_counts(c.settlements, F.col("net_minor") - width, F.col("net_minor") + width, credits_of(c).select(F.col("credit_minor").alias("amount_minor"))).select("settlement_id", "n_near")
 
 
 def anomalies_of(c: Corpus) -> DataFrame:
     return c.settlements.select(F.concat(F.lit("settlement:"), "settlement_id").alias("ref"), "anomaly")
 
 
-@query("exception_confusion", f"WITH {_RESIDUAL} SELECT anomaly, coalesce(class, 'NONE') AS class, count(*) AS n FROM settlements s LEFT JOIN residual_settlements r ON r.ref = concat('settlement:', s.settlement_id) GROUP BY ALL")
+@query("exception_confusion", "SELECT anomaly, coalesce(class, 'NONE') AS class, count(*) AS n FROM settlements s LEFT JOIN (SELECT DISTINCT ref, class FROM queue) r ON r.ref = concat('settlement:', s.settlement_id) GROUP BY ALL")
 def exception_confusion(c: Corpus) -> DataFrame:
-    return metrics.exception_confusion(anomalies_of(c), residual_of(c))
+    return metrics.exception_confusion(anomalies_of(c), queue_once(c))
 
 
-@query("exception_coverage", f"WITH {_RESIDUAL} SELECT anomaly, count(*) AS n, count(r.ref) AS covered, round(count(r.ref) / count(*), 9) AS coverage FROM settlements s LEFT JOIN residual_settlements r ON r.ref = concat('settlement:', s.settlement_id) GROUP BY anomaly")
+@query("exception_coverage", "SELECT anomaly, count(*) AS n, count(r.ref) AS covered, round(count(r.ref) / count(*), 9) AS coverage FROM settlements s LEFT JOIN (SELECT DISTINCT ref FROM queue) r ON r.ref = concat('settlement:', s.settlement_id) GROUP BY anomaly")
 def exception_coverage(c: Corpus) -> DataFrame:
-    return metrics.exception_coverage(anomalies_of(c), residual_of(c)).withColumn("coverage", F.round("coverage", 9))
+    return metrics.exception_coverage(anomalies_of(c), queue_once(c)).withColumn("coverage", F.round("coverage", 9))
 
 
-@query("exceptions_by_class", f"WITH {_RESIDUAL} SELECT class, count(*) AS n, CAST(sum(impact_minor) AS BIGINT) AS impact_minor FROM residual_settlements GROUP BY class")
+@query("exceptions_by_class", "SELECT class, count(*) AS n, CAST(sum(impact_minor) AS BIGINT) AS impact_minor FROM (SELECT DISTINCT ref, class, impact_minor FROM queue) GROUP BY class")
 def exceptions_by_class(c: Corpus) -> DataFrame:
-    return metrics.exceptions_by_class(residual_of(c))
+    return metrics.exceptions_by_class(queue_once(c).select("ref", "class", "impact_minor").distinct())
+
 
+@query("exceptions_by_severity", "SELECT severity, count(*) AS n, count(*) FILTER (resolvable) AS resolvable, count(*) FILTER (class = 'UNMATCHABLE') AS unmatchable, CAST(sum(impact_minor) AS BIGINT) AS impact_minor FROM queue GROUP BY severity")
+def exceptions_by_severity(c: Corpus) -> DataFrame:
+    return queue_once(c).groupBy("severity").agg(F.count("*").alias("n"), F.count_if("resolvable").alias("resolvable"), F.count_if(F.col("class") == "UNMATCHABLE").alias("unmatchable"), F.sum("impact_minor").alias("impact_minor"))
 
-@query("rounding_budget", """WITH RECURSIVE drifts AS (SELECT concat('payment:', item) AS ref, no * 11 + 1 AS impact_minor FROM items),
+
+@query("rounding_budget", """WITH RECURSIVE drifts AS (SELECT DISTINCT concat('settlement:', r.settlement_id) AS ref, abs(c.credit_minor - s.net_minor) AS impact_minor FROM run r JOIN credit c USING (txn_id) JOIN settlements s USING (settlement_id) WHERE r.tier = 1 AND r.outcome = 'LINKED'),
 amounts AS (SELECT impact_minor, count(*) AS n, row_number() OVER (ORDER BY impact_minor DESC) AS turn FROM drifts WHERE impact_minor BETWEEN 1 AND 500 GROUP BY impact_minor),
 spent AS (SELECT 0 AS turn, 0 AS impact_minor, 0 AS paid, 50000 AS rest UNION ALL SELECT a.turn, a.impact_minor, least(a.n, s.rest // a.impact_minor), s.rest - least(a.n, s.rest // a.impact_minor) * a.impact_minor FROM spent s JOIN amounts a ON a.turn = s.turn + 1)
 SELECT d.ref, d.impact_minor, coalesce(row_number() OVER (PARTITION BY d.impact_minor ORDER BY d.ref) <= s.paid, false) AS applied FROM drifts d LEFT JOIN spent s ON s.impact_minor = d.impact_minor AND s.turn > 0""")
 def rounding_budget(c: Corpus) -> DataFrame:
-    drifts = c.items.select(F.concat(F.lit("payment:"), "item").alias("ref"), (F.col("no") * 11 + 1).alias("impact_minor"))
-    return exceptions.rounding_budget(drifts)
+    links = run_once(c).where("tier = 1 and outcome = 'LINKED'").select("settlement_id", "txn_id").distinct()
+    drifts = links.join(c.settlements.select("settlement_id", "net_minor"), "settlement_id").join(credits_of(c).select("txn_id", "credit_minor"), "txn_id")
+    return exceptions.rounding_budget(drifts.select(F.concat(F.lit("settlement:"), "settlement_id").alias("ref"), F.abs(F.col("credit_minor") - F.col("net_minor")).alias("impact_minor")))
 
 
-@query("link_confusion", "SELECT payment_id, txn_id, CASE WHEN p AND t THEN 'TP' WHEN p THEN 'FP' ELSE 'FN' END AS verdict FROM (SELECT payment_id, txn_id, bool_or(p) AS p, bool_or(t) AS t FROM (SELECT pay.payment_id, t0.txn_id, true AS p, false AS t FROM t0 JOIN payments pay USING (settlement_id) WHERE outcome = 'LINKED' UNION ALL SELECT payment_id, txn_id, false, true FROM truth_links) GROUP BY ALL)")
-def link_confusion(c: Corpus) -> DataFrame:
-    return metrics.link_confusion(_predicted(c), c.truth_links)
+_PREDICTED = "predicted AS (SELECT payment_id, txn_id, share_minor FROM run WHERE decision = 'AUTO_MATCHED')"
 
 
 def _predicted(c: Corpus) -> DataFrame:
-    return keyed.tier0(c.settlements, pool_of(c)).where("outcome = 'LINKED'").join(c.payments, "settlement_id").select("payment_id", "txn_id")
+    return run_once(c).where("decision = 'AUTO_MATCHED'").select("payment_id", "txn_id", "share_minor")
 
 
-_PREDICTED = "predicted AS (SELECT pay.payment_id, t0.txn_id FROM t0 JOIN payments pay USING (settlement_id) WHERE outcome = 'LINKED')"
+@query("link_confusion", f"WITH {_PREDICTED} SELECT payment_id, txn_id, CASE WHEN p AND t THEN 'TP' WHEN p THEN 'FP' ELSE 'FN' END AS verdict FROM (SELECT payment_id, txn_id, bool_or(p) AS p, bool_or(t) AS t FROM (SELECT payment_id, txn_id, true AS p, false AS t FROM predicted UNION ALL SELECT payment_id, txn_id, false, true FROM truth_links) GROUP BY ALL)")
+def link_confusion(c: Corpus) -> DataFrame:
+    return metrics.link_confusion(_predicted(c), c.truth_links)
 
 
 @query("link_metrics", f"""WITH {_PREDICTED}, n AS (SELECT (SELECT count(*) FROM predicted SEMI JOIN truth_links USING (payment_id, txn_id)) AS tp, (SELECT count(*) FROM predicted) AS np, (SELECT count(*) FROM truth_links) AS nt)
@@ -517,6 +571,57 @@ def truth_links(c: Corpus) -> DataFrame:
     return c.truth_links
 
 
+@query("harvest_lexical", "SELECT * FROM contenders")
+def harvest_lexical(c: Corpus) -> DataFrame:
+    """Tier 3's contenders with features and labels."""
+    return harvest_once(c).where("tier = 3").withColumns({"lexical_score": F.round("lexical_score", 9), "amount_delta_ratio": F.round("amount_delta_ratio", 9)}).drop("subset_size", "graph_support")
+
+
+@query("harvest_contenders")
+def harvest_contenders(c: Corpus) -> DataFrame:
+    return harvest_once(c)
+
+
+@query("harvest_summary", "SELECT * FROM contenders_summed")
+def harvest_summary(c: Corpus) -> DataFrame:
+    return contenders.harvest_summary(harvest_once(c).where("tier = 3"))
+
+
+def bundle_of(c: Corpus) -> bundle.Bundle:
+    """Fitted on a third of the settlements, its steps on another, both told apart by a hash of the merchant, so that no
+    merchant is in both."""
+    rows = harvest_once(c).join(c.settlements.select("settlement_id", "merchant_id"), "settlement_id")
+    part = F.pmod(F.xxhash64("merchant_id"), F.lit(3))
+    return bundle.fit_bundle(rows.where(part == 0), rows.where(part == 1))
+
+
+@query("fitted_bundle")
+def fitted_bundle(c: Corpus) -> DataFrame:
+    """The bundle as the rows that it is kept in, saved to a new table and read again from there."""
+    spark, made = c.spark, bundle_of(c)
+    path = new_path(spark, "bundles")
+    version = bundle.save_bundle(spark, made, path)
+    return spark.createDataFrame(bundle.as_rows(bundle.load_bundle(spark, path, version)), bundle.COLUMNS)
+
+
+def blended(c: Corpus) -> DataFrame:
+    features = bundle.link_features(run_once(c), c.settlements, payments_once(c), credits_of(c))
+    return bundle.apply_bundle(features, bundle_of(c))
+
+
+@query("blend_outcomes", "SELECT tier, CASE WHEN tier < 2 THEN 'BYPASSED' WHEN NOT verified THEN 'REFUSAL' ELSE 'SCORED' END AS blend, count(*) AS n FROM run GROUP BY ALL")
+def blend_outcomes(c: Corpus) -> DataFrame:
+    return blended(c).groupBy("tier", "blend").agg(F.count("*").alias("n"))
+
+
+@query("residual_calibration")
+def residual_calibration(c: Corpus) -> DataFrame:
+    """Reliability of the bundle's probabilities over the residual links of the merchants that it was not fitted on."""
+    rows = blended(c).where("tier >= 2 and blend = 'SCORED'").join(c.settlements.select("settlement_id", "merchant_id"), "settlement_id").where(F.pmod(F.xxhash64("merchant_id"), F.lit(3)) == 2)
+    rows = rows.join(c.truth_links.select("payment_id", "txn_id", F.lit(True).alias("label")).distinct(), ["payment_id", "txn_id"], "left").withColumn("label", F.coalesce("label", F.lit(False)))
+    return calibration.reliability(rows, "p", "label")
+
+
 def run_of(c: Corpus) -> DataFrame:
     return reconcile(c.settlements, stored(c.payments, "payments"), c.statement)
 
@@ -528,5 +633,5 @@ def reconcile_end_to_end(c: Corpus) -> DataFrame:
 
 @query("reconcile_audit", "SELECT 'run' AS run_id, concat('tier', tier) AS node, decision AS event_type, concat('payment:', payment_id, ' bank:', txn_id) AS refs, p, share_minor, outcome FROM run")
 def reconcile_audit(c: Corpus) -> DataFrame:
-    events = audit_events(run_of(c), "run")
+    events = audit_events(run_once(c), "run")
     return events.select("run_id", "node", "event_type", F.array_join("refs", " ").alias("refs"), F.from_json("payload", "p double, share_minor bigint, outcome string").alias("x")).select("run_id", "node", "event_type", "refs", "x.*")

@@ -19,7 +19,7 @@ from .sinks import stored
 #: Digits of a merchant's number as syllables, so that names differ by more than a digit.
 SYLLABLES = ("BA", "CEX", "DIM", "FOR", "GUN", "KAV", "LEP", "MIZ", "NOS", "PUT")
 #: Anomalies by the settlement's number below 100: first number of each, in order; the rest are clean.
-ANOMALIES = (("ROUNDING", 0, 5), ("FEE_MISMATCH", 5, 9), ("TIMING", 9, 14), ("DUPLICATE", 14, 16), ("NO_REFERENCE", 16, 22), ("CHARGEBACK", 22, 25), ("SPLIT", 25, 30), ("ORPHAN", 30, 32), ("LATE", 32, 33), ("SHARED_REFERENCE", 33, 36), ("SPLIT_BARE", 36, 38), ("SPLIT_CHARGEBACK", 38, 41))
+ANOMALIES = (("ROUNDING", 0, 5), ("FEE_MISMATCH", 5, 9), ("TIMING", 9, 14), ("DUPLICATE", 14, 16), ("NO_REFERENCE", 16, 22), ("CHARGEBACK", 22, 25), ("SPLIT", 25, 30), ("ORPHAN", 30, 32), ("LATE", 32, 33), ("SHARED_REFERENCE", 33, 36), ("SPLIT_BARE", 36, 38), ("SPLIT_CHARGEBACK", 38, 41), ("EXTERNAL_REFUND", 41, 44))
 
 DIALECTS = {
     "spark": {"add": "date_add({0}, {1})", "div": "({0} div {1})", "ymd": "date_format({0}, 'yyyyMMdd')"},
@@ -54,14 +54,16 @@ def corpus_ctes(dialect: str) -> dict[str, str]:
         "batches": f"""
             SELECT settlement_id, merchant_id, merchant_no, month_no, (merchant_no * 7 + month_no * 13) % 100 AS no, count(*) AS n, sum(amount_minor) AS gross, max(amount_minor) AS largest, max(captured_on) AS last_day
             FROM payments GROUP BY settlement_id, merchant_id, merchant_no, month_no""",
+        "refunds": """
+            SELECT p.merchant_no, p.month_no + 1 AS month_no, min(p.amount_minor) AS refund FROM payments p JOIN items i ON concat('PAY-', i.item) = p.payment_id WHERE i.flag = 'R' AND i.no > 22 GROUP BY p.merchant_no, p.month_no""",
         "priced": f"""
-            SELECT b.*, {kind} AS anomaly, CAST({ceil_bps("gross", 200)} AS BIGINT) AS fee, {add("last_day", "1")} AS settled_on FROM batches b""",
+            SELECT b.*, CASE WHEN {kind} IN ('CHARGEBACK', 'SPLIT_CHARGEBACK') THEN -largest WHEN {kind} = 'EXTERNAL_REFUND' THEN -coalesce(r.refund, 0) ELSE 0 END AS adjusted, {kind} AS anomaly, CAST({ceil_bps("gross", 200)} AS BIGINT) AS fee, {add("last_day", "1")} AS settled_on FROM batches b LEFT JOIN refunds r ON r.merchant_no = b.merchant_no AND r.month_no = b.month_no""",
         "settlements": f"""
             SELECT settlement_id, merchant_id, merchant_no, month_no, no, n, anomaly, settled_on,
                    concat('UTR', CASE WHEN anomaly = 'SHARED_REFERENCE' THEN '20000101' ELSE {ymd("settled_on")} END, lpad(CAST(merchant_no % 1000000 AS VARCHAR(20)), 6, '0')) AS utr,
                    CAST(gross AS BIGINT) AS gross_minor, fee AS fee_minor, CAST({ceil_bps("fee", 1800)} AS BIGINT) AS tax_minor,
-                   CAST(CASE WHEN anomaly IN ('CHARGEBACK', 'SPLIT_CHARGEBACK') THEN -largest ELSE 0 END AS BIGINT) AS adjustments_minor,
-                   CAST(gross - fee - {ceil_bps("fee", 1800)} + CASE WHEN anomaly IN ('CHARGEBACK', 'SPLIT_CHARGEBACK') THEN -largest ELSE 0 END - CASE WHEN anomaly = 'FEE_MISMATCH' THEN 500 + no ELSE 0 END AS BIGINT) AS net_minor,
+                   CAST(adjusted AS BIGINT) AS adjustments_minor,
+                   CAST(gross - fee - {ceil_bps("fee", 1800)} + adjusted - CASE WHEN anomaly = 'FEE_MISMATCH' THEN 500 + no ELSE 0 END AS BIGINT) AS net_minor,
                    concat({name}, ' PVT LTD') AS merchant_name
             FROM priced""",
         "tranche_items": """
