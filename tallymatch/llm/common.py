@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,8 +41,20 @@ def kept(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """Returns what a worker has freed to the system: workers outlive their stage, and would hold it beside the next one's."""
+    gc.collect()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library of Linux has it
+    if trim:
+        trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], *columns: int, size: int = 1 << 22, rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """The batches without empty ones, cut so that the binary columns have about size bytes, or one row, at most."""
+    """The batches without empty ones, cut so that the binary columns have about size bytes, or one row, at most.
+
+    A worker starts on them without what its last task has freed.
+    """
+    give_back()
     for batch in batches:
         if not batch.num_rows:
             continue

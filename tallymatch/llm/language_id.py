@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import kept
+from .common import give_back, kept
 
 UNKNOWN = "und"
 #: Lengths of n-grams, from the first that an unseen word falls back to; words have a mark at either end.
@@ -175,6 +175,8 @@ def language_of(spark: SparkSession, model: Model, text: Column) -> Column:
         for texts in batches:
             rows = [identifier.text(t.as_py()) for t in texts]
             yield pa.StructArray.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], pa.float64())], ["lang_pred", "score"])
+        del identifier
+        give_back()
 
     return found(text)
 

@@ -114,7 +114,7 @@ def survey(texts: DataFrame, kind: str, n: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, counters = Shingles(n), Counters()
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, size=1 << 20):
             sigs, sizes = [], []
             for found in shingles.of(batch.column(1)):
                 counters.add(found)
@@ -169,7 +169,7 @@ def prefixes(texts: DataFrame, counts: np.ndarray, n: int, percent: int) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles, seen = Shingles(n), set()
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, size=1 << 20):
             rows = []
             for found in shingles.of(batch.column(1)):
                 sig = _digest(found)
