@@ -11,7 +11,7 @@ from ..functions import money, text
 from ..functions.stats import verdict, wilson
 from ..operators import harvest as contenders
 from ..operators.verify import verify_proposals
-from ..operators import baselines, bundle, calibration, duplicates, exceptions, graph, keyed, lexical, metrics, policy, subset
+from ..operators import baselines, bundle, calibration, duplicates, exceptions, graph, keyed, lexical, metrics, policy, studies, subset
 from ..sources.corpus import Corpus, corpus, with_ctes
 from ..sources.readers import date_order, slash_date
 from ..sources.shared import new_path
@@ -485,6 +485,79 @@ def money_view(c: Corpus) -> DataFrame:
     return metrics.money_view(_predicted(c), c.truth_links)
 
 
+def judged_once(c: Corpus) -> DataFrame:
+    return c.once("judged", lambda: studies.judged(studies.with_since(run_once(c), c.statement), c.truth_links))
+
+
+def placed_truth(c: Corpus) -> DataFrame:
+    return c.truth_links.join(c.payments.select("payment_id", "settlement_id"), "payment_id")
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, 9) for n in names})
+
+
+_JUDGED = "judged AS (SELECT r.payment_id, r.txn_id, r.settlement_id, r.share_minor, CASE WHEN r.tier = 2 AND c.utr IS NULL THEN 3 ELSE r.tier END AS since, r.tier, t.payment_id IS NOT NULL AS right_ FROM run r JOIN credit c USING (txn_id) LEFT JOIN truth_links t ON t.payment_id = r.payment_id AND t.txn_id = r.txn_id WHERE decision = 'AUTO_MATCHED')"
+
+
+@query("scorecard", f"""WITH {_PREDICTED}, named AS (SELECT DISTINCT unnest(list_concat([ref], list_transform(evidence[1:10], lambda x: regexp_replace(regexp_replace(x, '^[A-Z_]+:', ''), ':-?[0-9]+$', '')))) AS ref FROM queue),
+touched AS (SELECT DISTINCT unnest([concat('payment:', payment_id), concat('bank:', txn_id)]) AS ref FROM predicted),
+marked AS (SELECT r.*, t.ref IS NOT NULL AS touched, q.ref IS NOT NULL AS named FROM truth_records r LEFT JOIN touched t ON t.ref = r.ref LEFT JOIN named q ON q.ref = r.ref),
+pairs AS (SELECT p.share_minor, t.amount_minor, p.payment_id IS NOT NULL AS asserted, t.payment_id IS NOT NULL AS actual FROM predicted p FULL JOIN truth_links t ON t.payment_id = p.payment_id AND t.txn_id = p.txn_id),
+figures AS (SELECT 'precision' AS figure, count(*) FILTER (asserted AND actual) AS k, count(*) FILTER (asserted) AS n, CAST(coalesce(sum(share_minor) FILTER (NOT actual), 0) AS BIGINT) AS amount_minor, 0.99 AS target FROM pairs
+UNION ALL SELECT 'recall', count(*) FILTER (asserted AND actual), count(*) FILTER (actual), CAST(coalesce(sum(amount_minor) FILTER (NOT asserted), 0) AS BIGINT), NULL FROM pairs
+UNION ALL SELECT 'match_rate', count(*) FILTER (touched), count(*), NULL, 0.90 FROM marked WHERE verdict = 'MATCHED' AND ref NOT LIKE 'settlement:%'
+UNION ALL SELECT 'exception_recall', count(*) FILTER (named), count(*), NULL, 0.85 FROM marked WHERE verdict = 'EXCEPTION'
+UNION ALL SELECT 'unmatchable_coverage', count(*) FILTER (named), count(*), NULL, NULL FROM marked WHERE verdict = 'UNMATCHABLE'),
+bounds AS (SELECT *, CASE WHEN k = 0 THEN 0.0 ELSE greatest(0.0, (k / n + 1.959963984540054 ** 2 / (2 * n) - 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n)) END AS low, CASE WHEN k = n THEN 1.0 ELSE least(1.0, (k / n + 1.959963984540054 ** 2 / (2 * n) + 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n)) END AS high FROM figures)
+SELECT figure, k AS successes, n AS trials, round(k / n, 9) AS rate, round(low, 9) AS low, round(high, 9) AS high, CASE WHEN target IS NULL THEN 'UNTARGETED' WHEN low >= target THEN 'MET' WHEN high < target THEN 'MISSED' ELSE 'UNDECIDED' END AS verdict, amount_minor FROM bounds""")
+def scorecard(c: Corpus) -> DataFrame:
+    return rounded(studies.scorecard(_predicted(c), c.truth_links, c.truth_records, queue_once(c)), "rate", "low", "high")
+
+
+@query("recall_by_classes", f"""WITH {_PREDICTED}, ends AS (SELECT payment_id, txn_id, unnest([concat('payment:', payment_id), concat('bank:', txn_id)]) AS ref FROM truth_links),
+classes AS (SELECT DISTINCT e.payment_id, e.txn_id, r.anomaly FROM ends e JOIN truth_records r ON r.ref = e.ref WHERE r.anomaly <> 'CLEAN'),
+all_links AS (SELECT * FROM classes UNION ALL SELECT payment_id, txn_id, 'CLEAN' FROM truth_links ANTI JOIN classes USING (payment_id, txn_id))
+SELECT anomaly, count(*) AS n, count(p.payment_id) AS found, round(count(p.payment_id) / count(*), 9) AS recall FROM all_links l LEFT JOIN predicted p ON p.payment_id = l.payment_id AND p.txn_id = l.txn_id GROUP BY anomaly""")
+def recall_by_classes(c: Corpus) -> DataFrame:
+    return rounded(studies.recall_by_classes(_predicted(c), c.truth_links, c.truth_records), "recall")
+
+
+@query("truth_counts", "SELECT a.anomaly, count(*) FILTER (verdict = 'MATCHED') AS matched, count(*) FILTER (verdict = 'EXCEPTION') AS exceptions, count(*) FILTER (verdict = 'UNMATCHABLE') AS unmatchable, CAST(coalesce(sum(impact_minor), 0) AS BIGINT) AS impact_minor FROM (SELECT DISTINCT anomaly FROM settlements UNION SELECT DISTINCT anomaly FROM truth_records) a LEFT JOIN truth_records r USING (anomaly) GROUP BY a.anomaly")
+def truth_counts(c: Corpus) -> DataFrame:
+    return studies.truth_counts(c.truth_records, c.settlements.select("anomaly").union(c.truth_records.select("anomaly")))
+
+
+@query("ablation", f"""WITH {_JUDGED}, sizes AS (SELECT difficulty, count(*) AS n FROM truth_links t JOIN payments p USING (payment_id) JOIN difficulties d ON d.settlement_id = p.settlement_id GROUP BY difficulty),
+rungs AS (SELECT s.*, unnest(range(5)) AS since FROM sizes s),
+counted AS (SELECT r.difficulty, r.since, r.n, count(*) FILTER (j.right_) AS tp, count(*) FILTER (NOT j.right_) AS fp FROM rungs r LEFT JOIN (SELECT j.*, d.difficulty FROM judged j JOIN difficulties d ON d.settlement_id = j.settlement_id) j ON j.difficulty = r.difficulty AND j.since <= r.since GROUP BY ALL)
+SELECT concat('T0-T', since) AS ladder, difficulty, tp, fp, n, round(tp / nullif(tp + fp, 0), 9) AS precision, round(tp / n, 9) AS recall, round(tp / n - coalesce(lag(tp / n) OVER (PARTITION BY difficulty ORDER BY since), 0), 9) AS gained FROM counted""")
+def ablation(c: Corpus) -> DataFrame:
+    return rounded(studies.ablation(judged_once(c), placed_truth(c), c.difficulties), "precision", "recall", "gained")
+
+
+@query("sweep", f"""WITH {_JUDGED}, wanted AS (SELECT difficulty, corpus, count(*) AS links FROM truth_links t JOIN payments p USING (payment_id) JOIN difficulties d ON d.settlement_id = p.settlement_id GROUP BY ALL),
+found AS (SELECT difficulty, corpus, count(*) AS found FROM judged j JOIN difficulties d ON d.settlement_id = j.settlement_id WHERE right_ GROUP BY ALL), each AS (SELECT w.difficulty, coalesce(found, 0) / links AS recall FROM wanted w LEFT JOIN found f ON f.difficulty = w.difficulty AND f.corpus = w.corpus)
+SELECT difficulty, count(*) AS n, round(avg(recall), 9) AS mean, round(CASE WHEN count(*) > 1 THEN stddev_samp(recall) END, 9) AS std, round(min(recall), 9) AS least, round(max(recall), 9) AS greatest FROM each GROUP BY difficulty""")
+def sweep(c: Corpus) -> DataFrame:
+    return rounded(studies.sweep(judged_once(c), placed_truth(c), c.difficulties), "mean", "std", "least", "greatest")
+
+
+@query("comparison", f"""WITH {_JUDGED}, b0 AS (SELECT p.payment_id, c.txn_id, p.amount_minor AS share_minor FROM settlements s JOIN credit c ON c.utr = s.utr JOIN payments p ON p.settlement_id = s.settlement_id),
+arms AS (SELECT 'ladder' AS arm, payment_id, txn_id, share_minor FROM judged UNION ALL SELECT 'without completed splits', payment_id, txn_id, share_minor FROM judged WHERE NOT (tier = 2 AND since = 3) UNION ALL SELECT 'exact join', * FROM b0)
+SELECT arm, count(t.payment_id) AS tp, count(*) - count(t.payment_id) AS fp, (SELECT count(*) FROM truth_links) - count(t.payment_id) AS fn, round(count(t.payment_id) / count(*), 9) AS precision, round(count(t.payment_id) / (SELECT count(*) FROM truth_links), 9) AS recall, CAST(coalesce(sum(a.share_minor) FILTER (t.payment_id IS NULL), 0) AS BIGINT) AS cost_minor
+FROM arms a LEFT JOIN truth_links t ON t.payment_id = a.payment_id AND t.txn_id = a.txn_id GROUP BY arm""")
+def comparison(c: Corpus) -> DataFrame:
+    rows = judged_once(c)
+    columns = ("payment_id", "txn_id", "share_minor")
+    exact = baselines.exact_join(c.settlements, c.bank).join(c.payments.select("settlement_id", "payment_id", F.col("amount_minor").alias("share_minor")), "settlement_id")
+    arms = [("ladder", rows), ("without completed splits", rows.where("not (tier = 2 and since = 3)")), ("exact join", exact)]
+    every = arms[0][1].select(F.lit(arms[0][0]).alias("arm"), *columns)
+    for name, df in arms[1:]:
+        every = every.unionAll(df.select(F.lit(name), *columns))
+    return rounded(studies.comparison(every, c.truth_links), "precision", "recall")
+
+
 @query("wilson", """SELECT tier, n, k, round(greatest(0, (k / n + 1.959963984540054 ** 2 / (2 * n) - 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n)), 9) AS low,
 round(least(1, (k / n + 1.959963984540054 ** 2 / (2 * n) + 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n)), 9) AS high FROM (SELECT tier, count(*) AS n, count(*) FILTER (label) AS k FROM candidates GROUP BY tier)""")
 def wilson_interval(c: Corpus) -> DataFrame:

@@ -93,6 +93,17 @@ def corpus_ctes(dialect: str) -> dict[str, str]:
             SELECT p.payment_id, CASE WHEN s.anomaly IN ('SPLIT', 'SPLIT_BARE', 'SPLIT_CHARGEBACK') AND t.pos > {div("s.n", "2")} THEN concat('BNK-', p.settlement_id, '-2') ELSE concat('BNK-', p.settlement_id, '-1') END AS txn_id, p.amount_minor, s.anomaly
             FROM payments p JOIN settlements s ON s.settlement_id = p.settlement_id LEFT JOIN tranche_items t ON t.payment_id = p.payment_id
             WHERE NOT (s.anomaly IN ('CHARGEBACK', 'SPLIT_CHARGEBACK') AND p.amount_minor = -s.adjustments_minor)""",
+        "truth_records": """
+            SELECT concat('payment:', p.payment_id) AS ref, CASE WHEN p.amount_minor = -s.adjustments_minor AND s.anomaly IN ('CHARGEBACK', 'SPLIT_CHARGEBACK') THEN 'EXCEPTION' ELSE 'MATCHED' END AS verdict,
+                   CASE WHEN p.amount_minor = -s.adjustments_minor AND s.anomaly IN ('CHARGEBACK', 'SPLIT_CHARGEBACK') THEN 'CHARGEBACK' WHEN p.order_ref_raw IS NULL THEN 'NO_ORDER' ELSE 'CLEAN' END AS anomaly, p.amount_minor AS impact_minor
+            FROM payments p JOIN settlements s ON s.settlement_id = p.settlement_id
+            UNION ALL
+            SELECT concat('settlement:', settlement_id), CASE WHEN anomaly = 'FEE_MISMATCH' OR anomaly = 'EXTERNAL_REFUND' AND adjustments_minor < 0 THEN 'EXCEPTION' ELSE 'MATCHED' END, CASE WHEN anomaly = 'EXTERNAL_REFUND' AND adjustments_minor = 0 THEN 'CLEAN' ELSE anomaly END, abs(net_minor) FROM settlements
+            UNION ALL
+            SELECT concat('bank:', b.txn_id), CASE WHEN b.settlement_id IS NULL THEN 'UNMATCHABLE' WHEN b.txn_id LIKE '%-3' THEN 'EXCEPTION' ELSE 'MATCHED' END, CASE WHEN b.settlement_id IS NULL THEN 'ORPHAN' WHEN b.txn_id LIKE '%-3' THEN 'DUPLICATE' WHEN s.anomaly IN ('ROUNDING', 'TIMING', 'NO_REFERENCE', 'SPLIT', 'LATE', 'SHARED_REFERENCE', 'SPLIT_BARE', 'SPLIT_CHARGEBACK') THEN s.anomaly ELSE 'CLEAN' END, b.credit_minor
+            FROM bank b LEFT JOIN settlements s ON s.settlement_id = b.settlement_id WHERE b.credit_minor > 0""",
+        "difficulties": """
+            SELECT settlement_id, CASE WHEN anomaly IN ('SPLIT_BARE', 'SPLIT_CHARGEBACK', 'SHARED_REFERENCE') THEN 'HARD' WHEN anomaly IN ('CLEAN', 'EXTERNAL_REFUND', 'FEE_MISMATCH', 'ORPHAN') THEN 'EASY' ELSE 'STANDARD' END AS difficulty, year(settled_on) AS corpus FROM settlements""",
         "proposed": """
             SELECT concat('PROP-', t.txn_id) AS proposal_id, t.txn_id, p.settlement_id, t.payment_id, s.month_no % 9 AS kind, row_number() OVER (PARTITION BY t.txn_id ORDER BY t.payment_id) AS pos
             FROM truth_links t JOIN payments p ON p.payment_id = t.payment_id JOIN settlements s ON s.settlement_id = p.settlement_id""",
