@@ -39,7 +39,7 @@ def refund_rings(ledger: DataFrame, config: Config = DEFAULTS) -> DataFrame:
     return rings.where((F.col("events") >= config.ring_events) & (F.col("merchants") >= config.ring_merchants))
 
 
-def reachable(edges: DataFrame, sources: DataFrame, most: int = 32) -> DataFrame:
+def reachable(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """(source, node) for every node that src -> dst edges lead to from a source, itself included; safe on cycles.
 
     A level of the search is one join; it ends when a level finds nothing new. Levels are checkpointed, so that neither
@@ -49,9 +49,8 @@ def reachable(edges: DataFrame, sources: DataFrame, most: int = 32) -> DataFrame
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(edges.sparkSession))
     seen = front = sources.select(F.col("node").alias("source"), "node").distinct().checkpoint()
-    for _ in range(most):
+    while True:
         front = front.join(edges.select(F.col("src").alias("node"), "dst"), "node").select("source", F.col("dst").alias("node")).distinct().join(seen, ["source", "node"], "left_anti").checkpoint()
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionAll(front).checkpoint()
-    return seen

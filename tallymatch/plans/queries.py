@@ -13,9 +13,11 @@ from ..operators import harvest as contenders
 from ..operators.verify import verify_proposals
 from ..operators import baselines, bundle, calibration, duplicates, exceptions, graph, keyed, lexical, metrics, policy, studies, subset
 from ..sources.corpus import Corpus, corpus, with_ctes
+from ..sources.dataset import BANK_FILE, LEDGER_FILE, PSP_FILE, IngestResult, ingest_dataset
 from ..sources.readers import date_order, slash_date
 from ..sources.shared import new_path
 from ..sources.sinks import audit_events, running_balance, stored
+from ..streaming import audit
 from .ladder import harvest, reconcile
 from .exception_sql import CTES as EXCEPTIONS
 from .ladder_sql import CTES as LADDER
@@ -243,9 +245,7 @@ def utr_collisions(c: Corpus) -> DataFrame:
     return c.settlements.groupBy("utr").agg(F.count("*").alias("peers"), F.min("settlement_id").alias("least_id")).where("peers > 1")
 
 
-@query("payment_links", """WITH claw AS (SELECT s.settlement_id, count(p.payment_id) AS hits, min(p.payment_id) AS payment_id FROM settlements s LEFT JOIN payments p ON p.settlement_id = s.settlement_id AND p.amount_minor = -s.adjustments_minor WHERE s.adjustments_minor < 0 GROUP BY s.settlement_id),
-gross AS (SELECT settlement_id, sum(amount_minor) AS paid FROM payments GROUP BY settlement_id),
-own AS (SELECT * FROM payments WHERE payment_id NOT IN (SELECT payment_id FROM claw WHERE hits = 1)),
+@query("payment_links", """WITH own AS (SELECT * FROM payments WHERE payment_id NOT IN (SELECT payment_id FROM claw WHERE hits = 1)),
 cells AS (SELECT o.payment_id, t.txn_id, t.settlement_id, t.tier, t.p, t.outcome, c.credit_minor, CAST(c.credit_minor AS HUGEINT) * o.amount_minor AS scaled, sum(o.amount_minor) OVER (PARTITION BY t.settlement_id, t.txn_id) AS whole FROM t0 t JOIN own o USING (settlement_id) JOIN credit c USING (txn_id)),
 parts AS (SELECT *, scaled // whole AS part, scaled % whole AS rest FROM cells),
 dealt AS (SELECT *, row_number() OVER (PARTITION BY settlement_id, txn_id ORDER BY rest DESC, payment_id) AS place, sum(part) OVER (PARTITION BY settlement_id, txn_id) AS given FROM parts)
@@ -264,10 +264,10 @@ def t2_partition(c: Corpus) -> DataFrame:
 
 
 @query("verify_arithmetic", """WITH known AS (SELECT q.*, p.settlement_id AS nested, p.amount_minor FROM proposals q LEFT JOIN payments p ON p.payment_id = q.payment_id),
-gross AS (SELECT settlement_id, sum(amount_minor) AS whole FROM payments GROUP BY settlement_id),
+nested_sums AS (SELECT settlement_id, sum(amount_minor) AS whole FROM payments GROUP BY settlement_id),
 summed AS (SELECT proposal_id, min(txn_id) AS txn_id, max(settlement_id) AS named, count(payment_id) AS n_payments, count(payment_id) <> count(DISTINCT payment_id) AS repeated, count(*) FILTER (payment_id IS NOT NULL AND nested IS NULL) AS unknown, min(nested) AS least, max(nested) AS most, sum(amount_minor) AS part FROM known GROUP BY proposal_id),
 valued AS (SELECT u.*, b.credit_minor, s.net_minor, CAST(CASE WHEN part >= whole THEN s.net_minor ELSE part * s.net_minor // whole + CASE WHEN part * s.net_minor % whole > 0 AND part * s.net_minor % whole >= (whole - part) * s.net_minor % whole THEN 1 ELSE 0 END END AS BIGINT) AS expected
-FROM summed u LEFT JOIN bank b ON b.txn_id = u.txn_id LEFT JOIN gross g ON g.settlement_id = u.least LEFT JOIN settlements s ON s.settlement_id = u.least),
+FROM summed u LEFT JOIN bank b ON b.txn_id = u.txn_id LEFT JOIN nested_sums g ON g.settlement_id = u.least LEFT JOIN settlements s ON s.settlement_id = u.least),
 judged AS (SELECT *, CASE WHEN credit_minor IS NULL THEN 'NO_SUCH_CREDIT' WHEN credit_minor <= 0 THEN 'OUTGOING' WHEN n_payments = 0 THEN 'NO_PAYMENTS' WHEN repeated THEN 'REPEATED_PAYMENT' WHEN unknown > 0 THEN 'UNKNOWN_PAYMENT' WHEN least <> most THEN 'SEVERAL_SETTLEMENTS' WHEN named <> least THEN 'OTHER_SETTLEMENT' WHEN abs(expected - credit_minor) > 300 THEN 'DOES_NOT_ADD_UP' ELSE 'VERIFIED' END AS reason FROM valued)
 SELECT proposal_id, txn_id, CASE WHEN reason IN ('OTHER_SETTLEMENT', 'DOES_NOT_ADD_UP', 'VERIFIED') THEN least END AS settlement_id, n_payments, CASE WHEN reason IN ('DOES_NOT_ADD_UP', 'VERIFIED') THEN CAST(part AS BIGINT) END AS gross_minor, CASE WHEN reason IN ('DOES_NOT_ADD_UP', 'VERIFIED') THEN expected END AS expected_minor,
 CASE WHEN reason IN ('DOES_NOT_ADD_UP', 'VERIFIED') THEN credit_minor END AS credit_minor, CASE WHEN reason IN ('DOES_NOT_ADD_UP', 'VERIFIED') THEN credit_minor - expected END AS residual_minor, reason = 'VERIFIED' AS verified, reason FROM judged""")
@@ -639,11 +639,79 @@ def balance(c: Corpus) -> DataFrame:
     return running_balance(c.bank, 19_844_210).select("txn_id", "balance_minor")
 
 
+def files_of(c: Corpus) -> str:
+    """A folder with the three source files of the corpus, some rows of which are spoilt by a number of theirs."""
+
+    def write() -> str:
+        top, money_ = new_path(c.spark, "files"), lambda name: F.col(name).cast("string")
+        number = c.items.select(F.concat(F.lit("ORD-"), "item").alias("order_id"), "no")
+        no = F.col("no")
+        ledger = c.ledger.join(number, "order_id").select(
+            F.when(no == 6, "").otherwise(F.col("order_id")).alias("order_id"), "merchant_id", "customer_ref", F.when(no == 1, "12.5").when(no == 2, F.concat(F.lit("-"), money_("amount_minor"))).otherwise(money_("amount_minor")).alias("amount_gross_paise"),
+            F.when(no == 4, "USD").otherwise("INR").alias("currency"), F.when(no == 5, "yesterday").otherwise(F.date_format("booked_on", "yyyy-MM-dd'T'00:00:00")).alias("booked_at"), F.when(no == 3, "VOID").otherwise(F.col("status")).alias("status"),
+        )
+        ledger.write.option("header", True).csv(f"{top}/{LEDGER_FILE}")
+        nested = c.payments.withColumn("captured_at", F.date_format("captured_on", "yyyy-MM-dd'T'00:00:00")).groupBy("settlement_id").agg(F.collect_list(F.struct("payment_id", F.col("order_ref_raw").alias("order_ref"), money_("amount_minor").alias("amount_paise"), "captured_at")).alias("payments"))
+        psp = c.settlements.join(nested, "settlement_id").select(
+            "settlement_id", "merchant_id", "utr", F.when(no == 90, "soon").otherwise(money_("settled_on")).alias("settled_on"), F.when(no == 91, "x").otherwise(money_("gross_minor")).alias("gross_paise"), F.when(no == 92, "-1").otherwise(money_("fee_minor")).alias("fee_paise"),
+            money_("tax_minor").alias("tax_paise"), money_("adjustments_minor").alias("adjustments_paise"), money_("net_minor").alias("net_paise"), "payments",
+        )
+        psp.write.json(f"{top}/{PSP_FILE}")
+        both = F.col("credit_minor") % 50 == 7
+        bank = c.bank.select("txn_id", F.date_format("value_date", "dd/MM/yyyy").alias("value_date"), "narration", money_("credit_minor").alias("credit_paise"), F.when((F.col("credit_minor") > 0) & both, "5").when(F.col("debit_minor") % 10 == 3, F.concat(F.lit("-"), money_("debit_minor"))).otherwise(money_("debit_minor")).alias("debit_paise"))
+        bank.write.option("header", True).csv(f"{top}/{BANK_FILE}")
+        return top
+
+    return c.path_once("files", write)
+
+
+def ingested(c: Corpus) -> IngestResult:
+    return ingest_dataset(c.spark, files_of(c))
+
+
+@query("ingest_counts", """WITH l AS (SELECT CASE i.no WHEN 6 THEN 'MISSING_FIELD' WHEN 1 THEN 'MALFORMED_MONEY' WHEN 2 THEN 'NEGATIVE_AMOUNT' WHEN 5 THEN 'MALFORMED_DATE' WHEN 3 THEN 'UNKNOWN_ENUM_VALUE' WHEN 4 THEN 'UNKNOWN_ENUM_VALUE' ELSE 'SOUND' END AS code FROM ledger l JOIN items i ON concat('ORD-', i.item) = l.order_id),
+p AS (SELECT settlement_id, CASE no WHEN 91 THEN 'MALFORMED_MONEY' WHEN 92 THEN 'NEGATIVE_AMOUNT' WHEN 90 THEN 'MALFORMED_DATE' ELSE 'SOUND' END AS code FROM settlements),
+b AS (SELECT CASE WHEN credit_minor > 0 AND credit_minor % 50 = 7 THEN 'MALFORMED_MONEY' WHEN debit_minor % 10 = 3 OR credit_minor < 0 THEN 'NEGATIVE_AMOUNT' ELSE 'SOUND' END AS code FROM bank)
+SELECT 'ledger' AS source, code, count(*) AS n FROM l GROUP BY code UNION ALL SELECT 'psp', code, count(*) FROM p GROUP BY code UNION ALL SELECT 'psp_payment', 'SOUND', count(*) FROM payments JOIN p USING (settlement_id) WHERE code = 'SOUND' UNION ALL SELECT 'bank', code, count(*) FROM b GROUP BY code""")
+def ingest_counts(c: Corpus) -> DataFrame:
+    return ingested(c).counts()
+
+
+@query("ingest_problems", """SELECT 'ledger' AS source, CASE i.no WHEN 6 THEN 'MISSING_FIELD' WHEN 1 THEN 'MALFORMED_MONEY' WHEN 2 THEN 'NEGATIVE_AMOUNT' WHEN 5 THEN 'MALFORMED_DATE' ELSE 'UNKNOWN_ENUM_VALUE' END AS code, CASE i.no WHEN 6 THEN 'order_id' WHEN 1 THEN 'amount_gross_paise' WHEN 2 THEN 'amount_gross_paise' WHEN 5 THEN 'booked_at' WHEN 3 THEN 'status' ELSE 'currency' END AS field,
+CASE WHEN i.no = 6 THEN '' ELSE l.order_id END AS id FROM ledger l JOIN items i ON concat('ORD-', i.item) = l.order_id WHERE i.no BETWEEN 1 AND 6
+UNION ALL SELECT 'psp', CASE no WHEN 91 THEN 'MALFORMED_MONEY' WHEN 92 THEN 'NEGATIVE_AMOUNT' ELSE 'MALFORMED_DATE' END, CASE no WHEN 91 THEN 'gross_paise' WHEN 92 THEN 'fee_paise' ELSE 'settled_on' END, settlement_id FROM settlements WHERE no BETWEEN 90 AND 92
+UNION ALL SELECT 'bank', CASE WHEN credit_minor > 0 AND credit_minor % 50 = 7 THEN 'MALFORMED_MONEY' ELSE 'NEGATIVE_AMOUNT' END, CASE WHEN credit_minor < 0 THEN 'credit_paise' ELSE 'debit_paise' END, txn_id FROM bank WHERE credit_minor > 0 AND credit_minor % 50 = 7 OR debit_minor % 10 = 3 OR credit_minor < 0""")
+def ingest_problems(c: Corpus) -> DataFrame:
+    key = F.when(F.col("source") == "ledger", "order_id").when(F.col("source") == "psp", "settlement_id").otherwise("txn_id")
+    named = F.from_json("raw", "map<string,string>")
+    return ingested(c).ordered_problems().select("source", "code", "field", F.coalesce(F.element_at(named, key), F.lit("")).alias("id"))
+
+
+@query("ingest_reading", """WITH sound AS (SELECT * FROM statement WHERE NOT (credit_minor > 0 AND credit_minor % 50 = 7) AND NOT debit_minor % 10 = 3 AND credit_minor >= 0), p AS (SELECT r.* FROM refs r JOIN settlements s USING (settlement_id) WHERE s.no NOT BETWEEN 90 AND 92)
+SELECT count(*) FILTER (credit_minor > 0) AS credits, count(*) FILTER (credit_minor > 0 AND utr IS NOT NULL) AS with_utr, count(*) FILTER (credit_minor > 0 AND merchant IS NOT NULL) AS with_merchant, count(*) FILTER (credit_minor > 0 AND utr IS NULL AND merchant IS NULL) AS with_neither,
+(SELECT count(*) FROM p) AS payments, (SELECT count(*) FROM p WHERE order_ref_raw IS NULL) AS no_order_ref, (SELECT count(*) FROM p WHERE order_ref_raw IS NOT NULL AND order_ref_raw IS DISTINCT FROM order_ref) AS changed_order_ref FROM sound""")
+def ingest_reading(c: Corpus) -> DataFrame:
+    return ingested(c).reading()
+
+
 @query("truth_links", "SELECT payment_id, txn_id, amount_minor, anomaly FROM truth_links")
 def truth_links(c: Corpus) -> DataFrame:
     return c.truth_links
 
 
+@query("audit_by_node", "SELECT concat('tier', tier) AS node, decision AS event_type, count(*) AS n FROM run GROUP BY ALL")
+def audit_by_node(c: Corpus) -> DataFrame:
+    """The run's events through the stream into the log, and counted from there."""
+
+    def write() -> str:
+        top = new_path(c.spark, "audit")
+        audit_events(run_once(c), "run").write.parquet(f"{top}/events")
+        audit.append_events(audit.event_stream(c.spark, f"{top}/events"), f"{top}/log", f"{top}/checkpoint").awaitTermination()
+        return f"{top}/log"
+
+    return audit.by_node(audit.read_log(c.spark, c.path_once("audit", write)), "run")
+
+
 @query("harvest_lexical", "SELECT * FROM contenders")
 def harvest_lexical(c: Corpus) -> DataFrame:
     """Tier 3's contenders with features and labels."""

@@ -133,7 +133,7 @@ class Corpus:
     """The derived tables of a folder as DataFrames, each made only when it is asked for, once in a session."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self.spark, self.folder, self._made = spark, folder, {}
+        self.spark, self.folder, self._made, self._paths = spark, folder, {}, {}
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
@@ -160,6 +160,12 @@ class Corpus:
             self._made[name] = stored(make(), name)
         return self._made[name]
 
+    def path_once(self, name: str, make: Callable[[], str]) -> str:
+        """A folder of files, written when first asked for."""
+        if name not in self._paths:
+            self._paths[name] = make()
+        return self._paths[name]
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.money import parse_minor
 from ..functions.text import blank_to_null, fold_text, narration_merchant, narration_utr, normalize_identifier, normalize_narration, normalize_utr
@@ -37,7 +38,7 @@ def _split(rows: DataFrame, source: str, tests: list[tuple[str, str, Column]], k
         code, field = F.when(wrong, c).otherwise(code), F.when(wrong, f).otherwise(field)
     judged = rows.withColumns({"_code": code, "_field": field})
     if key:
-        turn = F.row_number().over(Window.partitionBy(key, F.col("_code").isNull()).orderBy("ord"))
+        turn = F.row_number().over(Window.partitionBy(key, F.col("_code").isNull()).orderBy("ord", *(c for c in ("pos",) if c in rows.columns)))
         judged = judged.withColumn("_turn", turn)
         again = F.col("_code").isNull() & (F.col("_turn") > 1)
         judged = judged.withColumns({"_field": F.when(again, key).otherwise(F.col("_field")), "_code": F.when(again, "DUPLICATE_ID").otherwise(F.col("_code"))})
@@ -65,6 +66,7 @@ def check_ledger(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         ("MALFORMED_STRUCTURE", "row", F.col("_broken").isNotNull()),
         *(("MISSING_FIELD", c, blank_to_null(F.col(c)).isNull()) for c in ("order_id", "merchant_id", "customer_ref", "amount_gross_paise", "booked_at", "status")),
         ("MALFORMED_MONEY", "amount_gross_paise", F.col("_amount").isNull()),
+        ("NEGATIVE_AMOUNT", "amount_gross_paise", F.col("_amount") < 0),
         ("MALFORMED_DATE", "booked_at", F.col("_booked").isNull()),
         ("UNKNOWN_ENUM_VALUE", "currency", F.col("_currency") != "INR"),
         ("UNKNOWN_ENUM_VALUE", "status", ~F.trim("status").isin(*STATUSES)),
@@ -73,22 +75,35 @@ def check_ledger(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     return good.select(*(F.trim(c).alias(c) for c in ("order_id", "merchant_id", "customer_ref")), F.col("_amount").alias("amount_minor"), F.col("_currency").alias("currency"), F.col("_booked").alias("booked_at"), F.trim("status").alias("status"), "ord"), bad
 
 
+def _line_schema() -> StructType:
+    """A settlement of the document, as a line's own schema."""
+    return StructType.fromDDL(PSP)["settlements"].dataType.elementType
+
+
 def read_settlements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """psp_settlements.json: (settlements, payments, quarantine). A bad batch takes its payments with it; bad payments don't."""
-    nested = spark.read.option("multiLine", True).schema(PSP).json(path)
-    rows = nested.select(F.posexplode("settlements").alias("pos", "s")).select(F.col("pos").cast("bigint").alias("ord"), "s.*")
+    """psp_settlements.json: (settlements, payments, quarantine). A bad batch takes its payments with it; bad payments don't.
+
+    One document of all settlements, or, where files are large, lines with a settlement each, which are read in parts.
+    """
+    whole = spark.read.text(path).where("trim(value) != ''").select(F.ltrim("value").alias("value")).first()
+    if whole and whole.value.startswith("{") and '"settlement_id"' in whole.value.split('"settlements"')[0]:
+        rows = spark.read.schema(_line_schema()).json(path).withColumn("ord", F.monotonically_increasing_id())
+    else:
+        nested = spark.read.option("multiLine", True).schema(PSP).json(path)
+        rows = nested.select(F.posexplode("settlements").alias("pos", "s")).select(F.col("pos").cast("bigint").alias("ord"), "s.*")
     money = {f"_{c}": parse_minor(F.coalesce(F.col(f"{c}_paise"), F.lit("0"))) if c in ("tax", "adjustments") else parse_minor(F.col(f"{c}_paise")) for c in ("gross", "fee", "tax", "adjustments", "net")}
     rows = rows.withColumns(money | {"_day": F.col("settled_on").try_cast("date")})
     tests = [
         ("EMPTY_IDENTIFIER", "settlement_id", blank_to_null(F.col("settlement_id")).isNull()),
         *(("MALFORMED_MONEY", f"{c}_paise", F.col(f"_{c}").isNull()) for c in ("gross", "fee", "tax", "adjustments", "net")),
+        *(("NEGATIVE_AMOUNT", f"{c}_paise", F.col(f"_{c}") < 0) for c in ("gross", "fee", "tax")),
         ("MALFORMED_DATE", "settled_on", F.col("_day").isNull()),
     ]
     good, bad = _split(rows, "psp", tests, "settlement_id")
     settlements = good.select(F.trim("settlement_id").alias("settlement_id"), "merchant_id", normalize_utr(fold_text("utr")).alias("utr"), F.col("_day").alias("settled_on"), *(F.col(f"_{c}").alias(f"{c}_minor") for c in ("gross", "fee", "tax", "adjustments", "net")), "ord")
     nested_payments = good.select("settlement_id", F.col("ord").alias("batch"), F.posexplode(F.coalesce("payments", F.array().cast("array<struct<payment_id:string,order_ref:string,amount_paise:string,captured_at:string>>"))).alias("pos", "p"))
-    flat = nested_payments.select("settlement_id", "pos", (F.col("batch") * F.lit(1 << 32) + F.col("pos")).alias("ord"), "p.*").withColumns({"_amount": parse_minor(F.col("amount_paise")), "_at": F.col("captured_at").try_cast("timestamp_ntz")})
-    good_payments, bad_payments = _split(flat, "psp_payment", [("EMPTY_IDENTIFIER", "payment_id", blank_to_null(F.col("payment_id")).isNull()), ("MALFORMED_MONEY", "amount_paise", F.col("_amount").isNull()), ("MALFORMED_DATE", "captured_at", F.col("_at").isNull())], "payment_id")
+    flat = nested_payments.select("settlement_id", "pos", F.col("batch").alias("ord"), "p.*").withColumns({"_amount": parse_minor(F.col("amount_paise")), "_at": F.col("captured_at").try_cast("timestamp_ntz")})
+    good_payments, bad_payments = _split(flat, "psp_payment", [("EMPTY_IDENTIFIER", "payment_id", blank_to_null(F.col("payment_id")).isNull()), ("MALFORMED_MONEY", "amount_paise", F.col("_amount").isNull()), ("NEGATIVE_AMOUNT", "amount_paise", F.col("_amount") < 0), ("MALFORMED_DATE", "captured_at", F.col("_at").isNull())], "payment_id")
     payments = good_payments.select("payment_id", "settlement_id", F.col("order_ref").alias("order_ref_raw"), normalize_identifier(fold_text("order_ref")).alias("order_ref"), F.col("_amount").alias("amount_minor"), F.col("_at").alias("captured_at"), F.col("pos").cast("int"), "ord")
     return settlements, payments, bad.unionAll(bad_payments)
 
@@ -134,7 +149,8 @@ def read_bank(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         ("MALFORMED_STRUCTURE", "row", F.col("_broken").isNotNull()),
         *(("MISSING_FIELD", c, blank_to_null(F.col(c)).isNull()) for c in ("txn_id", "value_date", "narration", "credit_paise", "debit_paise")),
         ("MALFORMED_DATE", "value_date", F.col("_date").isNull()),
-        *(("MALFORMED_MONEY", f"{c}_paise", F.col(f"_{c}").isNull() | (F.col(f"_{c}") < 0)) for c in ("credit", "debit")),
+        *(("MALFORMED_MONEY", f"{c}_paise", F.col(f"_{c}").isNull()) for c in ("credit", "debit")),
+        *(("NEGATIVE_AMOUNT", f"{c}_paise", F.col(f"_{c}") < 0) for c in ("credit", "debit")),
         ("MALFORMED_MONEY", "debit_paise", (F.col("_credit") > 0) & (F.col("_debit") > 0)),
     ]
     good, bad = _split(rows, "bank", tests, "txn_id")
