@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,18 +48,21 @@ class Model:
     gram_logs: np.ndarray
 
 
-def _logs(table: list, languages: list[str], totals: dict) -> tuple[dict[str, int], np.ndarray]:
-    """totals: (order, language) -> n. Rows are (order, entry, language, n)."""
-    names: dict[str, int] = {}
-    for _, entry, _, _ in table:
-        names.setdefault(entry, len(names))
-    sizes = Counter(order for order, _ in {(o, e) for o, e, _, _ in table})
-    counts, orders = np.full((len(names), len(languages)), SMOOTH), np.zeros(len(names), int)
-    for order, entry, language, n in table:
-        counts[names[entry], languages.index(language)] += n
-        orders[names[entry]] = order
-    whole = {o: np.array([totals.get((o, x), 0) + SMOOTH * (sizes[o] + 1) for x in languages]) for o in sizes}
-    return names, np.log(counts / np.array([whole[o] for o in orders])) if len(names) else counts
+def _logs(table: pa.Table, languages: list[str], totals: dict) -> tuple[dict[str, int], np.ndarray]:
+    """totals: (order, language) -> n. Columns are size (the order), entry, lang, n; entries differ from order to order."""
+    entries = table["entry"].combine_chunks().dictionary_encode()
+    if isinstance(entries, pa.ChunkedArray):
+        entries = entries.combine_chunks()
+    codes, sizes = entries.indices.to_numpy(zero_copy_only=False), table["size"].to_numpy()
+    at = pc.index_in(table["lang"], pa.array(languages, pa.string())).to_numpy()
+    orders = np.zeros(len(entries.dictionary), int)
+    orders[codes] = sizes
+    counts = np.full((len(orders), len(languages)), SMOOTH)
+    counts[codes, at] += table["n"].to_numpy()
+    whole = {o: np.array([totals.get((o, x), 0) + SMOOTH * (n + 1) for x in languages]) for o, n in zip(*np.unique(orders, return_counts=True), strict=True)}
+    for order, sums in whole.items():
+        counts[orders == order] /= sums
+    return dict(zip(entries.dictionary.to_pylist(), range(len(orders)), strict=True)), np.log(counts, out=counts)
 
 
 def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = 6_000, max_words: int = 120_000, max_grams: int = 160_000) -> Model:
@@ -112,11 +116,11 @@ def fit(df: DataFrame, text_col: str = "text", lang_col: str = "lang", per_langu
     totals = {(r["size"], r.lang): r.n for r in tables.groupBy("size", "lang").agg(F.sum("n").alias("n")).collect()}
     languages = sorted({lang for _, lang in totals})
 
-    def best(where: str, most: int) -> list:
+    def best(where: str, most: int) -> pa.Table:
         entries = tables.where(where).where(F.char_length("entry") <= LONGEST)
         place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "size", "entry"))
         named = entries.withColumn("place", place).where(F.col("place") <= most // max(1, len(languages))).select("size", "entry").distinct()
-        return [(r["size"], r.entry, r.lang, r.n) for r in entries.join(named, ["size", "entry"], "left_semi").select("size", "entry", "lang", "n").collect()]
+        return entries.join(named, ["size", "entry"], "left_semi").select("size", "entry", "lang", "n").toArrow()
 
     return Model(languages, *_logs(best("size = 0", max_words), languages, totals), *_logs(best("size > 0", max_grams), languages, totals))
 
