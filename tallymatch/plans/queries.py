@@ -506,8 +506,8 @@ marked AS (SELECT r.*, t.ref IS NOT NULL AS touched, q.ref IS NOT NULL AS named
 pairs AS (SELECT p.share_minor, t.amount_minor, p.payment_id IS NOT NULL AS asserted, t.payment_id IS NOT NULL AS actual FROM predicted p FULL JOIN truth_links t ON t.payment_id = p.payment_id AND t.txn_id = p.txn_id),
 figures AS (SELECT 'precision' AS figure, count(*) FILTER (asserted AND actual) AS k, count(*) FILTER (asserted) AS n, CAST(coalesce(sum(share_minor) FILTER (NOT actual), 0) AS BIGINT) AS amount_minor, 0.99 AS target FROM pairs
 UNION ALL SELECT 'recall', count(*) FILTER (asserted AND actual), count(*) FILTER (actual), CAST(coalesce(sum(amount_minor) FILTER (NOT asserted), 0) AS BIGINT), NULL FROM pairs
-UNION ALL SELECT 'match_rate', count(*) FILTER (touched), count(*), NULL, 0.90 FROM marked WHERE verdict = 'MATCHED' AND ref NOT LIKE 'settlement:%'
-UNION ALL SELECT 'exception_recall', count(*) FILTER (named), count(*), NULL, 0.85 FROM marked WHERE verdict = 'EXCEPTION'
+UNION ALL SELECT 'match_rate', count(*) FILTER (touched), count(*), NULL, 0.85 FROM marked WHERE verdict = 'MATCHED' AND ref NOT LIKE 'settlement:%'
+UNION ALL SELECT 'exception_recall', count(*) FILTER (named), count(*), NULL, 0.95 FROM marked WHERE verdict = 'EXCEPTION'
 UNION ALL SELECT 'unmatchable_coverage', count(*) FILTER (named), count(*), NULL, NULL FROM marked WHERE verdict = 'UNMATCHABLE'),
 bounds AS (SELECT *, CASE WHEN k = 0 THEN 0.0 ELSE greatest(0.0, (k / n + 1.959963984540054 ** 2 / (2 * n) - 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n)) END AS low, CASE WHEN k = n THEN 1.0 ELSE least(1.0, (k / n + 1.959963984540054 ** 2 / (2 * n) + 1.959963984540054 * sqrt(k / n * (1 - k / n) / n + 1.959963984540054 ** 2 / (4 * n * n))) / (1 + 1.959963984540054 ** 2 / n)) END AS high FROM figures)
 SELECT figure, k AS successes, n AS trials, round(k / n, 9) AS rate, round(low, 9) AS low, round(high, 9) AS high, CASE WHEN target IS NULL THEN 'UNTARGETED' WHEN low >= target THEN 'MET' WHEN high < target THEN 'MISSED' ELSE 'UNDECIDED' END AS verdict, amount_minor FROM bounds""")
