@@ -103,6 +103,7 @@ def reconcile(settlements: DataFrame, payments: DataFrame, bank: DataFrame, conf
 
     def shares(links: list[DataFrame], split: list[DataFrame]) -> DataFrame:
         rows = spread(reduce(DataFrame.unionByName, [k.select(none.columns) for k in links], none), payments, credits, settlements)
+        rows = rows.withColumn("verified", F.col("verified") & ((F.col("tier") < 2) | (F.col("outcome") == "LINKED")))  # a refusal of theirs proves nothing
         if split:
             whole = reduce(DataFrame.unionAll, split)
             own = travelled(settlements.join(whole.select("settlement_id").distinct(), "settlement_id", "left_semi"), payments)

@@ -100,7 +100,7 @@ CTES = {
     "gross": "SELECT settlement_id, sum(amount_minor) AS paid FROM payments GROUP BY settlement_id",
     "reconciled": "SELECT s.settlement_id, coalesce(g.paid = s.gross_minor, false) AND s.settlement_id NOT IN (SELECT settlement_id FROM claw WHERE hits > 1) AS verified FROM settlements s LEFT JOIN gross g USING (settlement_id)",
     "run_links": "SELECT * FROM t0 UNION ALL SELECT * FROM t1 UNION ALL SELECT * FROM t3 UNION ALL SELECT settlement_id, txn_id, 2, 0.5, verdict FROM t2 WHERE verdict = 'AMBIGUOUS'",
-    "run_rows": """SELECT o.payment_id, o.amount_minor, l.txn_id, l.settlement_id, l.tier, l.p, l.outcome, r.verified FROM run_links l JOIN covered o USING (settlement_id) JOIN reconciled r USING (settlement_id)
+    "run_rows": """SELECT o.payment_id, o.amount_minor, l.txn_id, l.settlement_id, l.tier, l.p, l.outcome, r.verified AND (l.tier < 2 OR l.outcome = 'LINKED') AS verified FROM run_links l JOIN covered o USING (settlement_id) JOIN reconciled r USING (settlement_id)
             UNION ALL SELECT payment_id, amount_minor, txn_id, t.settlement_id, 2, 1.0, 'LINKED', true FROM (SELECT * FROM t2 UNION ALL SELECT * FROM sc) t JOIN covered o USING (payment_id) WHERE verdict = 'UNIQUE'""",
     "run_cells": "SELECT w.*, c.credit_minor, CAST(c.credit_minor AS HUGEINT) * amount_minor AS scaled, sum(amount_minor) OVER (PARTITION BY settlement_id, txn_id) AS whole FROM run_rows w JOIN credit c USING (txn_id)",
     "run_dealt": "SELECT *, scaled // whole AS part, row_number() OVER (PARTITION BY settlement_id, txn_id ORDER BY scaled % whole DESC, payment_id) AS place, sum(scaled // whole) OVER (PARTITION BY settlement_id, txn_id) AS given FROM run_cells",
