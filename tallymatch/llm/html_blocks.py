@@ -144,16 +144,16 @@ def branches_and_blocks(html: str) -> tuple[list[Branch], list[tuple[int, str]]]
     return branches, blocks
 
 
-def candidates(branches: list[Branch], blocks: list[tuple[int, str]]) -> tuple[list[tuple[int, str]], bool]:
-    """The blocks that may be the article's, and whether marks have settled that they are.
+def candidates(branches: list[Branch], blocks: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The blocks that may be the article's, for the site's tree to decide among.
 
-    An unmarked article element settles it, also one within a form or a wrapper whose class only seems to set it apart. Else
-    what main has, or all of the page, is left to the site's tree.
+    What an unmarked article element has, also one within a form or a wrapper whose class only seems to set it apart; else
+    what main has, or all of the page.
     """
     own = [(i, text) for i, text in blocks if branches[i].noise == PLAIN]
     for most in (PLAIN, HINTED):
         for region in CONTENT_TAGS:
             found = [(i, text) for i, text in own if branches[i].region == region and branches[i].outer <= most]
             if found:
-                return found, region == "article"
-    return [(i, text) for i, text in own if branches[i].outer == PLAIN], False
+                return found
+    return [(i, text) for i, text in own if branches[i].outer == PLAIN]

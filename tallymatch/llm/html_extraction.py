@@ -2,7 +2,8 @@
 
 All pages of a host are merged into one tree: a node for each branch by its presentation path, with how its pages style its
 children and which texts its pages have below it. A node whose pages look alike and say the same is of low importance, and
-branches at such nodes go from every page. Where a page says itself what is its article and what is not, it is believed.
+branches at such nodes go from every page. Where a page says itself what is none of its article, it is believed; what it says
+is the article goes through the tree as well.
 """
 
 from __future__ import annotations
@@ -61,10 +62,10 @@ def page_statistics(host: str, html: str) -> Iterator[tuple[int, bool, int, int,
 
 def page_pieces(host: str | None, html: str) -> list[tuple[list[int], str, bool]]:
     """A page's texts in order, each with the nodes that the tree may remove it by, and whether it is in the branch with most
-    text of its own. No nodes where marks have settled it, or where the page has no host."""
+    text of its own. No nodes where the page has no host: marks say what may be the article's, and the tree is asked of that too."""
     branches, blocks = branches_and_blocks(html)
-    found, settled = candidates(branches, blocks)
-    if settled or host is None or not found:
+    found = candidates(branches, blocks)
+    if host is None or not found:
         return [([], text, True) for _, text in found]
     sizes: Counter[int] = Counter()
     for i, text in found:

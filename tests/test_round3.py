@@ -1,5 +1,6 @@
 """What the third round's review found."""
 
+from tallymatch.llm import html_extraction
 from tallymatch.operators import metrics
 
 
@@ -8,3 +9,10 @@ def test_classes_count_a_settlement_with_two_rows_twice(spark):
     rows = [("settlement:s", "E_POST_SETTLEMENT_REFUND", 500), ("settlement:s", "E_POST_SETTLEMENT_REFUND", 70), ("settlement:s", "E_POST_SETTLEMENT_REFUND", 70), ("bank:b", "UNMATCHABLE", 9)]
     out = metrics.exceptions_by_class(spark.createDataFrame(rows, "ref string, class string, impact_minor bigint"))
     assert {tuple(r) for r in out.collect()} == {("E_POST_SETTLEMENT_REFUND", 2, 570), ("UNMATCHABLE", 1, 9)}
+
+
+def test_the_tree_is_asked_of_pages_with_an_article_too(spark):
+    """A passage that all of a site's articles have goes, although it lies in an article element."""
+    site = [(i, f"http://h/{i}", f"<article><div class=body><p>story {i} of its own</p></div><div class=tail><p>all rights are ours</p></div></article>") for i in range(10)]
+    out = html_extraction.main_texts(spark.createDataFrame(site, "page_id long, url string, html string"))
+    assert {r.page_id: r.text for r in out.collect()} == {i: f"story {i} of its own" for i in range(10)}
