@@ -1,7 +1,13 @@
 """What the third round's review found."""
 
+import random
+
+from pyspark.sql import functions as F
+
 from tallymatch.llm import html_extraction
-from tallymatch.operators import metrics
+from tallymatch.operators import keyed, metrics
+from tallymatch.plans import ladder, queries
+from tallymatch.sources.corpus import Corpus
 
 
 def test_classes_count_a_settlement_with_two_rows_twice(spark):
@@ -16,3 +22,35 @@ def test_the_tree_is_asked_of_pages_with_an_article_too(spark):
     site = [(i, f"http://h/{i}", f"<article><div class=body><p>story {i} of its own</p></div><div class=tail><p>all rights are ours</p></div></article>") for i in range(10)]
     out = html_extraction.main_texts(spark.createDataFrame(site, "page_id long, url string, html string"))
     assert {r.page_id: r.text for r in out.collect()} == {i: f"story {i} of its own" for i in range(10)}
+
+
+def test_shares_read_payments_once(spark, tmp_path):
+    """One pass over the payments says what a batch comes to, what it lost and what each payment's share is."""
+    spark.createDataFrame([("s", "p", 60), ("s", "q", 40), ("s", "r", 30)], "settlement_id string, payment_id string, amount_minor bigint").write.parquet(f"{tmp_path}/payments")
+    settlements = spark.createDataFrame([("s", 130, -30)], "settlement_id string, gross_minor bigint, adjustments_minor bigint")
+    links = spark.createDataFrame([("s", "b", 0, 1.0, "LINKED")], "settlement_id string, txn_id string, tier int, p double, outcome string")
+    out = keyed.spread(links, spark.read.parquet(f"{tmp_path}/payments"), spark.createDataFrame([("b", 99)], "txn_id string, credit_minor bigint"), settlements)
+    assert {(r.payment_id, r.share_minor, r.verified) for r in out.collect()} == {("p", 59, True), ("q", 40, True)}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+
+
+def test_rows_with_a_near_amount_without_pairs(spark):
+    rng = random.Random(3)
+    left = spark.createDataFrame([(i, rng.randrange(1, 300_000)) for i in range(80)], "i int, a bigint")
+    right = spark.createDataFrame([(j, rng.randrange(1, 300_000)) for j in range(400)], "j int, b bigint")
+    keep = F.abs(F.col("a") - F.col("b")) <= F.greatest(F.lit(100), F.ceil(F.col("a") / 200))
+    pairs = keyed.near_amount(left, right, "a", "b", keep)
+    semi = keyed.near_amount(left, right, "a", "b", keep, how="left_semi")
+    assert {r.i for r in pairs.collect()} == {r.i for r in semi.collect()}
+    assert {(r.i, r.j) for r in pairs.collect()} == {(r.i, r.j) for r in left.join(right, keep).collect()}
+
+
+def test_contenders_and_run_are_one_run(spark, monkeypatch):
+    made = []
+    reconcile = ladder.reconcile
+    for module in (ladder, queries):
+        monkeypatch.setattr(module, "reconcile", lambda *a, **k: made.append(1) or reconcile(*a, **k))
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    queries.candidates_of(c)
+    queries.run_once(c)
+    assert len(made) == 1
