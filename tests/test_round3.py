@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tallymatch.llm import html_extraction
+from tallymatch.llm import html_extraction, substring_dedup
 from tallymatch.operators import keyed, metrics
 from tallymatch.plans import ladder, queries
 from tallymatch.sources.corpus import Corpus
@@ -54,3 +55,50 @@ def test_contenders_and_run_are_one_run(spark, monkeypatch):
     queries.candidates_of(c)
     queries.run_once(c)
     assert len(made) == 1
+
+
+def test_texts_that_share_a_run_have_one_group(spark):
+    """Two texts share a passage whose seeds have other partners, and each has it within a longer passage with a text that lacks it."""
+    rng = random.Random(8)
+    some = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    lines = [some(20) for _ in range(3)]
+    shared = [w for line in lines for w in line]
+    stock = [some(5) + line + some(40) for line in (*lines, lines[0][8:] + lines[1][:12], lines[1][8:] + lines[2][:12]) for _ in range(25)]
+    made = stock
+    for _ in range(2):
+        head, tail = some(150), some(150)
+        made = [*made, head + shared + tail, head + some(60) + tail]
+    made.append(made[-2])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(made)], "doc_id long, text string").repartition(3)
+    got = substring_dedup.repeated_passages(df).collect()
+    group = {r.doc_id: r.group_id for r in got}
+    assert {i: group.get(i) for i in range(125, 130)} == dict.fromkeys(range(125, 130), 125)
+    root = list(range(len(made)))  # what the rows connect
+    for _ in made:
+        for r in got:
+            root[r.doc_id] = root[r.other_id] = min(root[r.doc_id], root[r.other_id])
+    assert {r.doc_id: root[r.doc_id] for r in got} == group
+
+
+def test_runs_of_seeds_across_batches(spark):
+    """Pairs of a seed's run are those of a plain walk along it, however batches cut the run."""
+    rng = random.Random(9)
+    lists = [(n, sorted(rng.sample(range(40), 6))) for n in range(30)]
+    seeds = {(n, x): rng.randrange(6) for n, at in lists for x in at}
+    rows = [(n, np.array(at, "<i4").tobytes(), np.array([seeds[n, x] for x in at], "<u8").tobytes()) for n, at in lists]
+    wanted = set()
+    for seed in range(6):
+        run = sorted(k for k, s in seeds.items() if s == seed)
+        for n, x in run[1:]:
+            wanted.add((n, x, *run[0]))
+            befores = [k for k in run if k[0] < n]
+            if befores and befores[-1][0] != run[0][0]:
+                wanted.add((n, x, *min(k for k in befores if k[0] == befores[-1][0])))
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "3", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            found = substring_dedup.seed_pairs(spark.createDataFrame(rows, "node long, at binary, seeds binary"), np.zeros(substring_dedup.COUNTERS, np.uint32))
+            assert sorted(map(tuple, found.collect())) == sorted(wanted)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
