@@ -9,6 +9,7 @@ from tallymatch.llm import html_extraction, substring_dedup
 from tallymatch.operators import keyed, metrics
 from tallymatch.plans import ladder, queries
 from tallymatch.sources.corpus import Corpus
+from tallymatch.sources.readers import read_narrations
 
 
 def test_classes_count_a_settlement_with_two_rows_twice(spark):
@@ -102,3 +103,19 @@ def test_runs_of_seeds_across_batches(spark):
             assert sorted(map(tuple, found.collect())) == sorted(wanted)
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+
+
+def test_statement_and_truth_shuffle_few_payments(spark):
+    """Narrations are read in place, and of the payments only those of split or netted settlements are shuffled for the truth."""
+    bank = spark.createDataFrame([("a", "NEFT CR-UTR20000101000001-BACEX PVT LTD"), ("b", None)], "txn_id string, narration string")
+    read = read_narrations(bank)
+    assert [(r.txn_id, r.utr) for r in read.collect()] == [("a", "UTR20000101000001")]
+    assert "Exchange" not in read._jdf.queryExecution().executedPlan().toString()
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    split = "anomaly IN ('SPLIT', 'SPLIT_BARE', 'SPLIT_CHARGEBACK', 'CHARGEBACK')"
+    sides = c.truth_links.where(f"NOT {split}")
+    assert c.truth_links.where(split).count() + sides.count() == c.truth_links.count()
+    own = spark.sql("SELECT p.payment_id, s.anomaly FROM {p} p JOIN {s} s ON p.settlement_id = s.settlement_id", p=c.payments, s=c.settlements)
+    assert sides.select("payment_id", "anomaly").exceptAll(own).isEmpty()
+    refunds = c._planned("refunds")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in refunds
