@@ -3,10 +3,11 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallymatch.llm import html_extraction, substring_dedup
-from tallymatch.operators import keyed, metrics
+from tallymatch.operators import exceptions, harvest, keyed, lexical, metrics, studies
 from tallymatch.plans import ladder, queries
 from tallymatch.sources.corpus import Corpus
 from tallymatch.sources.readers import read_narrations
@@ -119,3 +120,81 @@ def test_statement_and_truth_shuffle_few_payments(spark):
     assert sides.select("payment_id", "anomaly").exceptAll(own).isEmpty()
     refunds = c._planned("refunds")._jdf.queryExecution().optimizedPlan().toString()
     assert "Join" not in refunds
+
+
+def test_re_postings_are_sought_once_in_a_run(spark, monkeypatch):
+    """The pool that the keyed tiers get is a table, and not the search for re-postings once more for each of them."""
+
+    class Seen(Exception):
+        pass
+
+    def tier0(settlements, pool):
+        raise Seen(pool._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(ladder, "tier0", tier0)
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    with pytest.raises(Seen) as seen:
+        ladder.reconcile(c.settlements, c.payments, c.statement)
+    assert "Aggregate" not in str(seen.value)
+
+
+def test_one_pass_gives_keyed_shares_and_what_they_leave(spark, tmp_path):
+    """A settled batch, one refused over two credits with a payment taken out, and one that no link has."""
+    rows = [("s", "p", 60), ("s", "q", 40), ("r", "t", 70), ("r", "u", 31), ("r", "v", 30), ("o", "w", 5)]
+    spark.createDataFrame(rows, "settlement_id string, payment_id string, amount_minor bigint").write.parquet(f"{tmp_path}/payments")
+    payments = spark.read.parquet(f"{tmp_path}/payments")
+    settlements = spark.createDataFrame([("s", 100, 0), ("r", 131, -30), ("o", 6, 0)], "settlement_id string, gross_minor bigint, adjustments_minor bigint")
+    links = spark.createDataFrame([("s", "b", 0, 1.0, "LINKED"), ("r", "c", 1, 0.5, "RIVALS"), ("r", "d", 1, 0.5, "RIVALS")], "settlement_id string, txn_id string, tier int, p double, outcome string")
+    credits = spark.createDataFrame([("b", 99), ("c", 100), ("d", 101)], "txn_id string, credit_minor bigint")
+    out = keyed.spread_batches(links, payments, credits, settlements)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 1
+    plain = keyed.spread(links, payments, credits, settlements)
+    assert sorted(map(tuple, out.where("txn_id is not null").select(plain.columns).collect())) == sorted(map(tuple, plain.collect()))
+    assert sorted(map(tuple, out.where("open").select("settlement_id", "payment_id", "amount_minor").collect())) == sorted(rows[2:])
+
+
+def test_the_queue_asks_for_clawbacks_once(spark, monkeypatch):
+    made, clawbacks = [], exceptions.clawbacks
+    monkeypatch.setattr(exceptions, "clawbacks", lambda *a: made.append(1) or clawbacks(*a))
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    links = spark.createDataFrame([], "payment_id string, txn_id string, settlement_id string, tier int, p double, outcome string, share_minor bigint, verified boolean, decision string")
+    credits = queries.credits_of(c)
+    exceptions.classify_exceptions(c.settlements, queries.payments_of(c), credits, c.ledger, links, spark.createDataFrame([], "txn_id string, original_id string"), lexical.merchant_profiles(c.settlements, credits))
+    assert len(made) == 1
+
+
+def test_contenders_travel_twice_to_be_labelled(spark, monkeypatch):
+    """Once to truth and to the run's links alike, once to what was settled."""
+    row = "settlement_id string, payment_id string, txn_id string, tier int, rank int, share_minor bigint, verified boolean"
+    seen = spark.createDataFrame([("s", "p", "b", 3, 1, 9, True), ("s", "p", "b", 3, 0, 9, True), ("s", "p", "c", 3, 2, 9, True), ("r", "q", "c", 2, 0, 5, True)], row)
+    links = spark.createDataFrame([("s", "p", "b", 3, "LINKED", True), ("r", "q", "d", 3, "LINKED", True)], "settlement_id string, payment_id string, txn_id string, tier int, outcome string, verified boolean")
+    truth = spark.createDataFrame([("p", "c"), ("p", "c"), ("q", "c")], "payment_id string, txn_id string")
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = harvest.labelled([seen], links, truth)
+        got = {(r.payment_id, r.txn_id, r.tier, r["rank"], r.positive, r.accepted, r.asserted) for r in out.collect()}
+        plan = out._jdf.queryExecution().sparkPlan().toString()
+        assert got == {("p", "b", 3, 0, False, True, True), ("p", "c", 3, 2, True, True, False), ("q", "c", 2, 0, True, False, False)}
+        assert plan.count("Join") == 2
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+
+
+def test_candidates_are_a_table(spark, monkeypatch):
+    """Queries over the candidates read them; before, each joined them with truth again."""
+    c = Corpus(spark, "/root/testdata/sf0.001")
+    run = spark.createDataFrame([("p", "b", 0, 1.0, True), ("q", "b", 1, 0.5, False)], "payment_id string, txn_id string, tier int, p double, verified boolean")
+    weighed = spark.createDataFrame([("r", "c", 3, 0.9, True, True)], "payment_id string, txn_id string, tier int, lexical_score double, verified boolean, positive boolean")
+    monkeypatch.setattr(queries, "run_once", lambda c: run)
+    monkeypatch.setattr(queries, "harvest_once", lambda c: weighed)
+    c.keep("truth_links", spark.createDataFrame([("q", "b"), ("q", "b")], "payment_id string, txn_id string"))
+    out = queries.candidates_of(c)
+    assert {tuple(r) for r in out.collect()} == {("p|b|0", 0, 1.0, True, False), ("q|b|1", 1, 0.5, False, True), ("r|c|3", 3, 0.9, True, True)}
+    assert "Join" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_link_of_two_systems_meets_truth_once(spark):
+    arms = spark.createDataFrame([(["a", "b"], "p", "x", 5), (["b"], "q", "x", 7)], "arm array<string>, payment_id string, txn_id string, share_minor bigint")
+    truth = spark.createDataFrame([("p", "x"), ("p", "x"), ("r", "x")], "payment_id string, txn_id string")
+    assert {tuple(r) for r in studies.comparison(arms, truth).collect()} == {("a", 1, 0, 1, 1.0, 0.5, 0), ("b", 1, 1, 1, 0.5, 0.5, 7)}
