@@ -10,7 +10,7 @@ from tallymatch.llm import html_extraction, substring_dedup
 from tallymatch.operators import exceptions, harvest, keyed, lexical, metrics, studies
 from tallymatch.plans import ladder, queries
 from tallymatch.sources.corpus import Corpus
-from tallymatch.sources.readers import read_narrations
+from tallymatch.sources.readers import check_ledger, read_narrations
 
 
 def test_classes_count_a_settlement_with_two_rows_twice(spark):
@@ -198,3 +198,15 @@ def test_a_link_of_two_systems_meets_truth_once(spark):
     arms = spark.createDataFrame([(["a", "b"], "p", "x", 5), (["b"], "q", "x", 7)], "arm array<string>, payment_id string, txn_id string, share_minor bigint")
     truth = spark.createDataFrame([("p", "x"), ("p", "x"), ("r", "x")], "payment_id string, txn_id string")
     assert {tuple(r) for r in studies.comparison(arms, truth).collect()} == {("a", 1, 0, 1, 1.0, 0.5, 0), ("b", 1, 1, 1, 0.5, 0.5, 7)}
+
+
+def test_sound_rows_travel_only_where_keys_repeat(spark):
+    """Of sound rows with one id the first stays, and an unsound one does not count; without repeated ids nothing is ranked."""
+    row = lambda i, id, amount="5", day="2024-01-01": (i, id, "m", "c", amount, day, "CAPTURED", None)
+    schema = "ord long, order_id string, merchant_id string, customer_ref string, amount_gross_paise string, booked_at string, status string, currency string"
+    rows = [row(0, "a", "x"), row(1, "a"), row(2, "b", day="no"), row(3, "a", "6"), row(4, "c"), row(5, ""), row(6, ""), row(7, "a", "7")]
+    good, bad = check_ledger(spark.createDataFrame(rows, schema))
+    assert sorted((r.order_id, r.amount_minor) for r in good.collect()) == [("a", 5), ("c", 5)]
+    assert sorted((r.ord, r.code, r.field) for r in bad.collect()) == [(0, "MALFORMED_MONEY", "amount_gross_paise"), (2, "MALFORMED_DATE", "booked_at"), (3, "DUPLICATE_ID", "order_id"), (5, "MISSING_FIELD", "order_id"), (6, "MISSING_FIELD", "order_id"), (7, "DUPLICATE_ID", "order_id")]
+    good, bad = check_ledger(spark.createDataFrame([row(0, "a"), row(1, "b", "x")], schema))
+    assert not any("Window" in df._jdf.queryExecution().optimizedPlan().toString() for df in (good, bad))
